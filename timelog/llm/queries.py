@@ -76,7 +76,7 @@ dw AS (
   SELECT doc_id, n, k, array_to_string(words[k : k + n - 1], ' ') AS gram
   FROM (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM w, lengths)
 ), hits AS (SELECT dw.doc_id, dw.k, dw.n, g.item FROM dw JOIN grams g ON dw.gram = g.gram AND dw.n = g.n),
-marked AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS at FROM hits) GROUP BY doc_id),
+marked AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS pos FROM hits) GROUP BY doc_id),
 items AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256 FROM hits GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
