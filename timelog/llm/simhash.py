@@ -77,7 +77,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _planes(values: np.ndarray) -> np.ndarray:
     """[words, 64 lanes] fingerprints -> [words, 64 planes]: bit i of plane k is bit k of lane i."""
     bits = np.unpackbits(values.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view(np.uint64).reshape(-1, 64)
+    packed = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(packed).view(np.uint64).reshape(-1, 64)
 
 
 def near_lanes(queries: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +122,8 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of the links inside each unit. Sides 0 and 1 of a unit are compared with each other, side 2 with itself."""
+    if not len(fp):
+        return fp, fp
     order = np.lexsort((fp, side, unit))
     unit, side, fp = unit[order], side[order], fp[order]
     new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])])
