@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timelog.llm import decontam, exact, mixing, quality, simhash
+from timelog.llm import chat, chunking, decontam, exact, langid, mixing, quality, simhash, suffix, urlfilter
 from timelog.llm.common import docs_of
 
 
@@ -23,15 +23,37 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(docs_of(spark, sf_dir))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_components(docs_of(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir)
+    found = langid.predict(docs, langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs_of(spark, sf_dir))
 
 
+def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_dedup(docs_of(spark, sf_dir))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -41,8 +63,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_pareto_mix,
     "op2_decontaminate": op2_decontaminate,
+    "op3_url_filter": op3_url_filter,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_chat_format": op5_chat_format,
     "op6_simhash": op6_simhash,
+    "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_chunk_dedup": op9_chunk_dedup,
     "op10_quality": op10_quality,
 }
 
@@ -83,4 +110,21 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0
 FROM w LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_decontaminate": _OP2, "op8_exact_dedup": _OP8}
+_OP5 = """
+WITH turns AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+whole AS (SELECT conv_id, list({'t': turn, 'r': role, 'x': text} ORDER BY turn, role, text) AS said, count(DISTINCT turn) AS n_turns FROM turns GROUP BY conv_id),
+ends AS (SELECT DISTINCT conv_id, turn FROM turns),
+prefixes AS (
+  SELECT DISTINCT list_filter(w.said, lambda s: s.t <= e.turn) AS said
+  FROM ends e JOIN whole w USING (conv_id)
+  WHERE e.turn < list_max(list_transform(w.said, lambda s: s.t))
+),
+one AS (SELECT min(conv_id) AS conv_id, said, n_turns, count(*) AS copies FROM whole GROUP BY said, n_turns),
+kept AS (SELECT * FROM one WHERE said NOT IN (SELECT said FROM prefixes))
+SELECT k.conv_id, t.part, k.n_turns, k.copies,
+       string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.turn, t.role, t.text) AS rendered
+FROM kept k JOIN (SELECT *, CAST(floor(turn / 1024) AS BIGINT) AS part FROM turns) t ON k.conv_id = t.conv_id
+GROUP BY k.conv_id, t.part, k.n_turns, k.copies
+"""
+
+ORACLES: dict[str, str] = {"op5_chat_format": _OP5, "op2_decontaminate": _OP2, "op8_exact_dedup": _OP8}
