@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,12 @@ def discard(*tables: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no live plan refers to any more; it learns of that by garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def scan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of `df`; for a file scan, the size of its files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

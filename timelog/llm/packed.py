@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelog.llm.common import NO_ID, flat
@@ -22,13 +22,17 @@ from timelog.llm.common import NO_ID, flat
 PACK = "bucket long, kind int, id long, th long, a binary, b binary, c binary"
 _NAMES = ["bucket", "kind", "id", "th", "a", "b", "c"]
 _TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-#: Documents are told apart by id and text hash, so repeated ids with other texts do no harm.
+#: Documents are told apart by id and 32 bits of a text hash, so repeated ids with other texts do no harm.
 KEYED = "id long, th long, spans binary"
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text_hash(text).alias("th"), text.alias("text"))
 
 
 def packed_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -44,8 +48,12 @@ def done(ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, begin: np.ndarray, e
     return [(int(ths[d]) % n_buckets, 0, int(ids[d]), int(ths[d]), pairs[a:b].tobytes(), None, None) for a, b, d in zip(cut, np.append(cut[1:], len(doc)), doc[cut].tolist())]
 
 
+def _index_kind(size: int) -> type:
+    return np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.uint32
+
+
 def dealt(bucket: np.ndarray, ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """One row per bucket: documents (id, th) of its entries in a, the entry columns joined in b, their row count in c."""
+    """One row per bucket: documents (id, th) of its entries in a, the entry columns joined in b, their row count in c. `doc` is the first column, in as few bytes as do."""
     order = np.lexsort((doc, bucket))
     bucket, doc = bucket[order], doc[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
@@ -54,7 +62,7 @@ def dealt(bucket: np.ndarray, ids: np.ndarray, ths: np.ndarray, doc: np.ndarray,
     for a, b in zip(cut, np.append(cut[1:], len(bucket))):
         own, back = np.unique(doc[a:b], return_inverse=True)
         table = np.stack([ids[own], ths[own]], 1).astype(np.int64)
-        blob = back.astype(np.uint32).tobytes() + b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
+        blob = back.astype(_index_kind(len(own))).tobytes() + b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
         rows.append((int(bucket[a]), 1, None, None, table.tobytes(), blob, np.int64(b - a).tobytes()))
     return rows
 
@@ -64,8 +72,8 @@ def opened(row: tuple[bytes, bytes, bytes], *kinds: np.dtype) -> tuple[np.ndarra
     a, b, c = row
     n = int(np.frombuffer(c, np.int64)[0])
     table = np.frombuffer(a, np.int64).reshape(-1, 2)
-    doc = np.frombuffer(b, np.uint32, n)
-    out, at = [], 4 * n
+    doc = np.frombuffer(b, _index_kind(len(table)), n)
+    out, at = [], doc.nbytes
     for kind in kinds:
         kind = np.dtype(kind)
         out.append(np.frombuffer(b, kind, n, at))

@@ -1,12 +1,14 @@
 """Suffix-array dedup: bytes covered by a long string that an earlier document has too.
 
-1. Anchors: of every `length`-byte window the GRAM-byte string of least hash is
-   its anchor, so equal windows have equal anchors. Packed anchor hashes meet by
-   bucket; documents get the positions of anchors that another document shares.
-2. Contexts: around each shared anchor lie all windows it can be the anchor of.
+1. Anchors: of every `length`-byte window the first GRAM-byte string of least
+   hash is its anchor, so equal windows have equal anchors. Packed anchor hashes
+   meet by bucket; documents get the anchors that another document shares.
+2. Contexts: the windows of an anchor follow each other and form its context.
    Equal contexts inside a task are settled there; one of each goes to the
    bucket of its anchor.
-3. In a bucket, the distinct contexts are sorted into a suffix array (by the
+3. A window reaches half its other bytes beyond its anchor on one side, so a
+   context is of use only if it shares a half with another document's. In a
+   bucket, the distinct contexts of use are sorted into a suffix array (by the
    first symbols, as many as the windows need), and intervals of the
    Burrows-Wheeler transform are expanded breadth first: strings are extended
    backwards, and the extension at step l finds the borders between suffixes
@@ -30,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelog.llm.common import NO_ID, buckets, byte_slices, discard, stored
-from timelog.llm.packed import KEYED, PACK, by_document, cut_out, dealt, done, heap, joined_spans, keyed, opened, packed_batch, passed, slice_bytes
+from timelog.llm.common import NO_ID, buckets, byte_slices, discard, release, stored
+from timelog.llm.packed import KEYED, PACK, by_document, cut_out, dealt, done, heap, joined_spans, keyed, opened, packed_batch, passed, slice_bytes, text_hash
 
 LENGTH = 50
 GRAM = 16
@@ -61,8 +63,8 @@ def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
     return best(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors of all windows inside the texts that `starts` delimits."""
+def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all windows inside the texts that `starts` delimits: position, hash, and the first and last window of each."""
     width = length - gram + 1
     found, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     total = len(data) - length + 1
@@ -84,7 +86,34 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     if len(found) > 2:
         p, once = np.unique(p, return_index=True)
         h = h[once]
-    return p, h
+    return (p, h, *_own_windows(p, h, starts, length, width))
+
+
+def _own_windows(p: np.ndarray, h: np.ndarray, starts: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window whose first least hash is at p; last < first if there is none.
+
+    A window belongs to the anchor p unless it holds an anchor of lower hash, or of
+    equal hash before p; that anchor is at most width - 1 positions away.
+    """
+    rank = (h >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    doc = np.searchsorted(starts, p, "right") - 1
+    first = np.maximum(starts[doc], p - width + 1)
+    last = np.minimum(p, starts[doc + 1] - length)
+    for way in (-1, 1):
+        open_, step = np.arange(len(p)), 0
+        while len(open_):
+            step += way
+            open_ = open_[(open_ + step >= 0) & (open_ + step < len(p))]
+            other = open_ + step
+            near = np.abs(p[other] - p[open_]) < width
+            open_, other = open_[near], other[near]
+            beats = rank[other] <= rank[open_] if way < 0 else rank[other] < rank[open_]
+            if way < 0:
+                first[open_[beats]] = np.maximum(first[open_[beats]], p[other[beats]] + 1)
+            else:
+                last[open_[beats]] = np.minimum(last[open_[beats]], p[other[beats]] - width)
+            open_ = open_[~beats]
+    return first, last
 
 
 def _flushed(batches: Iterator[pa.RecordBatch], take, flush, most: int) -> Iterator[pa.RecordBatch]:
@@ -113,37 +142,39 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """Keyed documents -> rows of KEYED whose spans are (position, position + GRAM) of anchors that two documents or more have."""
+    """Keyed documents -> rows of KEYED with pairs (position, 256 * before + after) of anchors that two documents or more have.
+
+    `before` and `after` are the bytes of the anchor's context on either side.
+    """
 
     def take(batch, data, starts):
-        p, h = anchors(data, starts, length)
+        p, h, first, last = anchors(data, starts, length)
+        own = first <= last
+        p, h, first, last = p[own], h[own], first[own], last[own]
         doc = np.searchsorted(starts, p, "right") - 1
-        return doc, h, (p - starts[doc]).astype(np.uint32)
+        return doc, h, (p - starts[doc]).astype(np.uint32), ((p - first) * 256 + last + length - p - GRAM).astype(np.uint16)
 
-    def flush(ids, ths, doc, h, pos):
+    def flush(ids, ths, doc, h, pos, sides):
         order = np.lexsort((ids[doc], h))
-        doc, h, pos = doc[order], h[order], pos[order]
+        doc, h, pos, sides = doc[order], h[order], pos[order], sides[order]
         begin, size = _runs(h)
-        first = np.repeat(begin, size)
-        several = np.repeat(np.maximum.reduceat(ids[doc], begin), size) > ids[doc[first]] if len(begin) else np.zeros(0, bool)
-        rows = done(ids, ths, doc[several], pos[several], pos[several], n_buckets)
-        rep = begin
-        lead = (h[rep] >> np.uint64(32)).astype(np.int64) % n_buckets
-        return rows + dealt(lead, ids, ths, doc[rep], (h[rep]).astype(np.uint64), pos[rep])
+        several = np.repeat(np.maximum.reduceat(ids[doc], begin) > ids[doc[begin]], size) if len(begin) else np.zeros(0, bool)
+        rows = done(ids, ths, doc[several], pos[several], sides[several], n_buckets)
+        # One of each hash goes on, of the least id.
+        return rows + dealt((h[begin] >> np.uint64(32)).astype(np.int64) % n_buckets, ids, ths, doc[begin], h[begin].astype(np.uint32), pos[begin], sides[begin])
 
     def share(key, table):
         out = [passed(table)]
-        parts = [opened(r, np.uint64, np.uint32) for r in heap(table)]
+        parts = [opened(r, np.uint32, np.uint32, np.uint16) for r in heap(table)]
         if parts:
             ids, ths = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            h, pos = (np.concatenate([p[2][k] for p in parts]) for k in (0, 1))
+            h, pos, sides = (np.concatenate([p[2][k] for p in parts]) for k in range(3))
             order = np.lexsort((ids, h))
             begin, size = _runs(h[order])
             least = np.repeat(ids[order][begin], size)
             most = np.repeat(np.maximum.reduceat(ids[order], begin), size)
             mine = order[most > least]
-            rows = spans_by_document(ids[mine], ths[mine], pos[mine], pos[mine])
-            out.append(rows)
+            out.append(spans_by_document(ids[mine], ths[mine], pos[mine], sides[mine]))
         return pa.concat_tables(out)
 
     return docs.mapInArrow(lambda it: _flushed(it, take, flush, _FLUSH), PACK).groupBy("bucket").applyInArrow(share, KEYED)
@@ -158,14 +189,18 @@ def spans_by_document(ids: np.ndarray, ths: np.ndarray, begin: np.ndarray, end:
     return pa.table({"id": pa.array(ids[cut], pa.int64()), "th": pa.array(ths[cut], pa.int64()), "spans": pa.array(blobs, pa.binary())})
 
 
-def _sorted_ranks(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys that leave `bits` high bits free, and the dense rank of each; one plain sort of keys with positions attached."""
+def _sorted_ranks(key: np.ndarray, bits: int, used: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of keys of `used` bits and the dense rank of each; where `bits` more fit, by one plain sort of keys with positions attached."""
     n = len(key)
-    both = key << np.uint64(bits)
-    both |= np.arange(n, dtype=np.uint64)
-    both.sort()
-    order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
-    both >>= np.uint64(bits)
+    if used + bits <= 64:
+        both = key << np.uint64(bits)
+        both |= np.arange(n, dtype=np.uint64)
+        both.sort()
+        order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+        both >>= np.uint64(bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        both = key[order]
     ranks = np.empty(n, np.uint64)
     step = np.zeros(n, np.uint64)
     np.not_equal(both[1:], both[:-1], out=step[1:], casting="unsafe")
@@ -174,16 +209,14 @@ def _sorted_ranks(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of rows of symbols (0 ends a row, every row ends in 0), in order of their first `depth` symbols at least. Up to 2**21 symbols."""
+    """Suffixes of rows of symbols (0 ends a row, every row ends in 0), in order of their first `depth` symbols at least."""
     n = len(symbols)
     used = np.unique(symbols)
     dense = np.zeros(int(used[-1]) + 1, np.uint64)
     dense[used] = np.arange(len(used)) if used[0] == 0 else np.arange(1, len(used) + 1)
     code = dense[symbols]
     bits, width = max(1, n.bit_length()), int(code.max()).bit_length() or 1
-    if bits > 21:
-        raise ValueError("too many symbols for one suffix array")
-    size = (63 - bits) // width
+    size = max(1, (63 - bits) // width)
     ends = np.flatnonzero(symbols == 0)
     left = np.repeat(ends, np.diff(np.concatenate([[-1], ends]))) - np.arange(n)  # symbols before the row's end
     key = code.copy()
@@ -192,12 +225,12 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         if k >= n:
             continue
         key[: n - k] |= np.where(left[: n - k] > k, code[k:], np.uint64(0))
-    order, ranks = _sorted_ranks(key, bits)
+    order, ranks = _sorted_ranks(key, bits, size * width)
     while size < depth:
         after = np.zeros(n, np.uint64)
         inside = np.flatnonzero(left > size)
         after[inside] = ranks[inside + size] + np.uint64(1)
-        order, ranks = _sorted_ranks(ranks << np.uint64(bits) | after, bits)
+        order, ranks = _sorted_ranks(ranks << np.uint64(bits) | after, bits, 2 * bits)
         size *= 2
     return order
 
@@ -221,21 +254,29 @@ def prefix_borders(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
     following[by_symbol[:-1][same]] = by_symbol[1:][same]
     following[bwt == 0] = -1  # nothing goes on before the start of a row
     keys = sorted_bwt.astype(np.int64) * n + by_symbol
+    used = np.unique(sorted_bwt[sorted_bwt > 0]).astype(np.int64) * n
     border = np.zeros(n + 1, bool)
     border[0] = border[n] = True
     low, high = np.array([0]), np.array([n])
     for _ in range(length):
         size = high - low
-        owner = np.repeat(np.arange(len(low)), size)
-        row = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + low[owner]
-        last = following[row] >= high[owner]
-        row, owner = row[last], owner[last]
-        right = reached[row] + 1
-        new = ~border[right]
-        row, owner, right = row[new], owner[new], right[new]
-        border[right] = True
-        low = np.searchsorted(keys, bwt[row].astype(np.int64) * n + low[owner])
-        high = right
+        if 4 * len(low) * len(used) < size.sum():
+            # Few wide intervals: count each symbol before either end.
+            new_low = np.searchsorted(keys, (used + low[:, None]).reshape(-1))
+            right = np.searchsorted(keys, (used + high[:, None]).reshape(-1))
+            new = (right > new_low) & ~border[right]
+            low, high = new_low[new], right[new]
+        else:
+            # Many narrow ones: look at the last row of each symbol inside.
+            owner = np.repeat(np.arange(len(low)), size)
+            row = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size - low, size)
+            last = np.flatnonzero(following[row] >= np.repeat(high, size))
+            row, owner = row[last], owner[last]
+            right = reached[row] + 1
+            new = ~border[right]
+            row, owner, high = row[new], owner[new], right[new]
+            low = np.searchsorted(keys, bwt[row].astype(np.int64) * n + low[owner])
+        border[high] = True
         if not len(low):
             break
     return border[:n]
@@ -244,22 +285,23 @@ def prefix_borders(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
 def window_owners(contexts: np.ndarray, lead: np.ndarray, tail: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """contexts [n, c] bytes, of which the first `lead` and last `tail` are padding -> least owner of each window start [n, c - length + 1]."""
     n, width = contexts.shape
-    at = np.arange(width)
-    real = (at >= lead[:, None]) & (at < width - tail[:, None])
+    at = np.arange(width + 1)
+    there = (at >= lead[:, None]) & (at <= width - tail[:, None])  # with one symbol more, which ends the row
+    row, t = np.nonzero(there)
     symbols = np.zeros((n, width + 1), np.uint16)
-    symbols[:, :width] = np.where(real, contexts.astype(np.uint16) + 1, 0)
-    symbols = symbols.reshape(-1)
+    symbols[:, :width] = contexts
+    symbols = symbols[there] + np.uint16(1)
+    symbols[t == (width - tail)[row]] = 0
     order = suffix_order(symbols, length)
     border = prefix_borders(symbols, order, length)
-    starts = width - length + 1
-    row, t = order // (width + 1), order % (width + 1)
-    valid = (t < starts) & (t >= lead[row]) & (t + length <= width - tail[row])
+    row, t = row[order], t[order]
+    valid = t + length <= width - tail[row]
     value = np.where(valid, owner[row], NO_ID)
     begin = np.flatnonzero(border)
     least = np.repeat(np.minimum.reduceat(value, begin), np.diff(np.append(begin, len(value))))
-    out = np.full((n, width + 1), NO_ID, np.int64)
+    out = np.full((n, width - length + 1), NO_ID, np.int64)
     out[row[valid], t[valid]] = least[valid]
-    return out[:, :starts]
+    return out
 
 
 def covered(docs: DataFrame, shared: DataFrame, length: int, n_buckets: int) -> DataFrame:
@@ -270,16 +312,15 @@ def covered(docs: DataFrame, shared: DataFrame, length: int, n_buckets: int) ->
     def take(batch, data, starts):
         padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(width, np.uint8)])
         lists = batch.column("spans").to_pylist()
-        spots = [np.unique(np.frombuffer(b"".join(x), np.int64).reshape(-1, 2)[:, 0]) for x in lists]
-        doc = np.repeat(np.arange(len(lists)), [len(s) for s in spots])
-        pos = np.concatenate([np.zeros(0, np.int64), *spots])
-        size = np.diff(starts)[doc]
-        index = (pos + starts[doc])[:, None] + np.arange(width)
-        lead = np.maximum(0, reach - pos).astype(np.uint8)
-        tail = np.maximum(0, pos + GRAM + reach - size).astype(np.uint8)
+        pairs = [np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in lists]
+        pairs = [x[np.unique(x[:, 0], return_index=True)[1]] for x in pairs]
+        doc = np.repeat(np.arange(len(lists)), [len(x) for x in pairs])
+        pos, sides = np.concatenate([np.zeros((0, 2), np.int64), *pairs]).T
+        lead, tail = reach - sides // 256, reach - sides % 256
         at = np.arange(width)
-        rows = np.where((at >= lead[:, None]) & (at < width - tail[:, None]), padded[index], 0).astype(np.uint8)
-        return doc, pos.astype(np.int64), lead, tail, rows
+        rows = padded[(pos + starts[doc])[:, None] + at]
+        rows[(at < lead[:, None]) | (at >= width - tail[:, None])] = 0
+        return doc, pos, lead.astype(np.uint8), tail.astype(np.uint8), rows
 
     def flush(ids, ths, doc, pos, lead, tail, rows):
         full = np.concatenate([rows, lead[:, None], tail[:, None]], 1).tobytes()
@@ -291,29 +332,32 @@ def covered(docs: DataFrame, shared: DataFrame, length: int, n_buckets: int) ->
         first = np.repeat(ids[doc[order[begin]]], np.diff(np.append(begin, len(order)))) if len(order) else np.zeros(0, np.int64)
         later = ids[doc[order]] > first
         gone, lead_rows = order[later], order[~later]
-        out = done(ids, ths, doc[gone], pos[gone] - reach + lead[gone], pos[gone] + GRAM + reach - tail[gone], n_buckets)
+        out = done(ids, ths, doc[gone], pos[gone] - reach + lead[gone], pos[gone] + GRAM + reach - tail[gone].astype(np.int64), n_buckets)
         middle = np.ascontiguousarray(rows[lead_rows, reach : reach + GRAM]).view(np.uint64)
         mixed = (middle[:, 0] * np.uint64(_MULT) ^ middle[:, 1]) * np.uint64(0xD6E8FEB86659FD93)
         bucket = (mixed >> np.uint64(32)).astype(np.int64) % n_buckets
-        return out + dealt(bucket, ids, ths, doc[lead_rows], pos[lead_rows], lead[lead_rows], tail[lead_rows], rows[lead_rows].view(f"S{width}").reshape(-1) if len(lead_rows) else rows[:0].reshape(0))
+        return out + dealt(bucket, ids, ths, doc[lead_rows], pos[lead_rows].astype(np.uint32), lead[lead_rows], tail[lead_rows], rows[lead_rows].view(f"S{width}").reshape(-1) if len(lead_rows) else rows[:0].reshape(0))
 
     def settle(key, table):
         out = [passed(table)]
-        parts = [opened(r, np.int64, np.uint8, np.uint8, f"V{width}") for r in heap(table)]
+        parts = [opened(r, np.uint32, np.uint8, np.uint8, f"V{width}") for r in heap(table)]
         if parts:
             ids, ths = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            pos, lead, tail, rows = (np.concatenate([p[2][k] for p in parts]) for k in range(4))
-            rows = np.frombuffer(rows.tobytes(), np.uint8).reshape(-1, width)
-            whole = np.concatenate([rows, lead[:, None], tail[:, None]], 1)
-            _, one, back = np.unique(np.ascontiguousarray(whole).view(f"V{width + 2}").reshape(-1), return_index=True, return_inverse=True)
+            pos, lead, tail = (np.concatenate([p[2][k] for p in parts]).astype(np.int64) for k in range(3))
+            rows = np.frombuffer(b"".join(p[2][3].tobytes() for p in parts), np.uint8).reshape(-1, width)
+            use = np.flatnonzero(of_use(rows, lead, tail, ids, reach))
+            ids, ths, pos, lead, tail, rows = (x[use] for x in (ids, ths, pos, lead, tail, rows))
+            one, back = distinct_rows(rows, lead, tail)
             least = np.full(len(one), NO_ID, np.int64)
             np.minimum.at(least, back, ids)
+            by_context = np.argsort(back, kind="stable")
+            first = np.searchsorted(back[by_context], np.arange(len(one) + 1))
             for group in anchor_pieces(rows[one], reach):
-                member = np.zeros(len(one), np.int64) - 1
-                member[group] = np.arange(len(group))
-                owners = window_owners(rows[one][group], lead[one][group].astype(np.int64), tail[one][group].astype(np.int64), least[group], length)
-                entry = np.flatnonzero(member[back] >= 0)
-                gone = owners[member[back[entry]]] < ids[entry][:, None]
+                owners = window_owners(rows[one[group]], lead[one[group]], tail[one[group]], least[group], length)
+                count = first[group + 1] - first[group]
+                slot = np.repeat(np.arange(len(group)), count)
+                entry = by_context[np.arange(len(slot)) - np.repeat(np.cumsum(count) - count - first[group], count)]
+                gone = owners[slot] < ids[entry][:, None]
                 edge = np.diff(np.pad(gone.astype(np.int8), ((0, 0), (1, 1))), axis=1)
                 r, t0 = np.nonzero(edge == 1)
                 _, t1 = np.nonzero(edge == -1)
@@ -321,18 +365,50 @@ def covered(docs: DataFrame, shared: DataFrame, length: int, n_buckets: int) ->
                 out.append(spans_by_document(ids[e], ths[e], pos[e] - reach + t0, pos[e] - reach + t1 - 1 + length))
         return pa.concat_tables(out)
 
-    texts = docs.join(by_document(shared), ["id", "th"])
+    texts = docs.join(shared, ["id", "th"])
     return texts.mapInArrow(lambda it: _flushed(it, take, flush, 60_000), PACK).groupBy("bucket").applyInArrow(settle, KEYED)
 
 
-def anchor_pieces(rows: np.ndarray, reach: int, most: int = 8192) -> Iterator[np.ndarray]:
+def distinct_rows(rows: np.ndarray, lead: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one of each distinct context, and for each context which of those it is."""
+    step = rows.shape[1] + 2
+    full = np.concatenate([rows, lead[:, None].astype(np.uint8), tail[:, None].astype(np.uint8)], 1).tobytes()
+    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(full[k : k + step]) for k in range(0, len(full), step)]), np.uint64).reshape(-1, 2)
+    order = np.lexsort((digest[:, 1], digest[:, 0]))
+    new = np.concatenate([[True], (digest[order[1:]] != digest[order[:-1]]).any(axis=1)]) if len(order) else np.zeros(0, bool)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
+def of_use(rows: np.ndarray, lead: np.ndarray, tail: np.ndarray, ids: np.ndarray, reach: int) -> np.ndarray:
+    """Contexts whose anchor, with half of a window's other bytes before or after it, a document of another id has too."""
+    half = reach // 2
+    use = np.zeros(len(rows), bool)
+    for a, there in ((reach - half, lead <= reach - half), (reach, tail <= reach - half)):
+        has = np.flatnonzero(there)
+        part = np.zeros((len(has), -(-(half + GRAM) // 8) * 8), np.uint8)
+        part[:, : half + GRAM] = rows[has, a : a + half + GRAM]
+        key = np.zeros(len(has), np.uint64)
+        for word in part.view(np.uint64).T:
+            key = (key ^ word) * np.uint64(_MULT)
+            key ^= key >> np.uint64(29)
+        order = np.argsort(key, kind="stable")
+        begin, size = _runs(key[order])
+        if len(begin):
+            own = ids[has[order]]
+            use[has[order]] |= np.repeat(np.maximum.reduceat(own, begin) > np.minimum.reduceat(own, begin), size)
+    return use
+
+
+def anchor_pieces(rows: np.ndarray, reach: int, most: int = 2048) -> Iterator[np.ndarray]:
     """Indices of contexts in pieces of about `most`; contexts of one anchor stay together."""
     middle = np.ascontiguousarray(rows[:, reach : reach + GRAM]).view(np.uint64)
     order = np.lexsort((middle[:, 1], middle[:, 0]))
-    new = np.flatnonzero(np.concatenate([[True], (middle[order[1:]] != middle[order[:-1]]).any(axis=1)]))
+    new = np.flatnonzero(np.concatenate([[True], (middle[order[1:]] != middle[order[:-1]]).any(axis=1)])) if len(order) else order
     at = 0
     while at < len(order):
-        k = np.searchsorted(new, at + most, "right")
+        k = np.searchsorted(new, at + most, "left")
         to = new[k] if k < len(new) else len(order)
         yield order[at:to]
         at = to
@@ -342,9 +418,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """(id, th, spans) of the documents with repeats: packed byte spans covered by `length`-byte strings of a smaller id."""
     rows = keyed(docs, id_col, text_col)
     n = buckets(docs)
-    shared = stored(shared_anchors(rows, length, n))
+    shared = stored(by_document(shared_anchors(rows, length, n)))
+    release(docs.sparkSession)
     spans = stored(by_document(covered(rows, shared, length, n)))
     discard(shared)
+    release(docs.sparkSession)
     return spans
 
 
@@ -375,5 +453,5 @@ def finished(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str, with
                 yield pa.RecordBatch.from_arrays([batch.column("own"), *(pa.array(c, t) for c, t in zip(zip(*rows), types))], [id_col, *names])
 
     rows = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text")).join(spans, ["id", "th"], "left").select("own", "text", "spans")
+    rows = rows.withColumn("th", text_hash(F.col("text"))).join(spans, ["id", "th"], "left").select("own", "text", "spans")
     return rows.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {kinds}")
