@@ -15,8 +15,7 @@ MIN_QUALITY = 0.3
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model doesn't reject. The model learns from the labels outside the held-out fold."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, model, keep=docs.columns)
-    return scored.where(F.col("score") >= MIN_QUALITY).select(docs.columns)
+    return quality.keep_quality(docs, model, MIN_QUALITY)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with how often (copies) and the words that makes (taken)."""
-    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), "size", "source_size", "target", "copies", "taken")
+    new = [c for c in ("size", "source_size", "target", "copies", "taken") if c not in docs.columns]
+    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), *new)
     return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
 
 

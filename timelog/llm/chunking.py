@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from timelog.llm.common import buckets, stored
+from timelog.llm.common import buckets, release, stored
 from timelog.llm.packed import KEYED, PACK, by_document, dealt, done, heap, keyed, opened, passed
 from timelog.llm.suffix import _flushed, finished, spans_by_document
 
@@ -95,21 +95,24 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again, first = order[~new], order[new]
         rows = done(ids, ths, doc[again], pos[again], pos[again] + size[again], n_buckets)
         bucket = (digest[first, 0] >> np.uint64(32)).astype(np.int64) % n_buckets
-        return rows + dealt(bucket, ids, ths, doc[first], digest[first, 0], digest[first, 1], pos[first], size[first])
+        return rows + dealt(bucket, ids, ths, doc[first], digest[first, 0], digest[first, 1], pos[first].astype(np.uint32), size[first])
 
     def settle(key, held):
         out = [passed(held)]
-        parts = [opened(r, np.uint64, np.uint64, np.int64, np.uint8) for r in heap(held)]
+        parts = [opened(r, np.uint64, np.uint64, np.uint32, np.uint8) for r in heap(held)]
         if parts:
             ids, ths = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
             one, two, pos, size = (np.concatenate([p[2][k] for p in parts]) for k in range(4))
+            pos = pos.astype(np.int64)
             order = np.lexsort((pos, ths, ids, two, one))
             again = order[1:][(one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])]
             out.append(spans_by_document(ids[again], ths[again], pos[again], pos[again] + size[again]))
         return pa.concat_tables(out)
 
     found = keyed(docs, id_col, text_col).mapInArrow(lambda it: _flushed(it, take, flush, 200_000), PACK).groupBy("bucket").applyInArrow(settle, KEYED)
-    return stored(by_document(found))
+    spans = stored(by_document(found))
+    release(docs.sparkSession)
+    return spans
 
 
 def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN, with_text: bool = False) -> DataFrame:

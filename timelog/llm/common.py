@@ -99,3 +99,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def unnamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with column names that clash with none of an operator's, and the new name of each old one."""
+    new = [f"__c{n}" for n in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelog.llm.common import byte_slices, utf8
+from timelog.llm.common import byte_slices, unnamed, utf8
 
 SHARD_BYTES = 16 << 20
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space.
@@ -214,13 +214,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     max_words=0 drops every document with a hit, None sets no limit on spans.
     Columns and rows are otherwise as they were; null texts stay.
     """
-    hits = benchmark_hits(docs, benchmark, window, id_col, text_col, keep=docs.columns)
+    plain, back = unnamed(docs)
+    hits = benchmark_hits(plain, benchmark, window, back[id_col], back[text_col], keep=plain.columns)
     size = F.transform("spans", lambda s: s[1] - s[0])
     hit = F.aggregate(size, F.lit(0), lambda a, b: a + b)
     bad = hit > F.col("n_words") * max_coverage
     if max_words is not None:
         bad = bad | F.exists(size, lambda n: n > max_words)
-    return hits.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return hits.where(~bad).select(*plain.columns).toDF(*docs.columns)
 
 
 def remove_spans(text: str, spans: list[list[int]]) -> str:

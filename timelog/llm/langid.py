@@ -121,9 +121,10 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = FIT_ROWS) -> Centroids | None:
     """Centroids from labelled rows outside the held-out fold; rows without id, language or letters teach nothing."""
     labelled = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
+    labelled = labelled.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # Ids first, so that no text travels to the one task that ends a top-n; the sample has `most` rows at most.
-    some = stored(labelled.select(F.col(id_col).alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(most))
-    rows = labelled.join(F.broadcast(some), F.col(id_col) == F.col("key"), "left_semi").select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    some = stored(labelled.select(F.col("own").alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(most))
+    rows = labelled.join(F.broadcast(some), F.col("own") == F.col("key"), "left_semi").select(F.col("own").cast("string").alias("id"), "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelog.llm.common import byte_slices, stored, utf8
+from timelog.llm.common import byte_slices, stored, unnamed, utf8
 
 #: Most labelled rows that a fit reads; beyond it, the first in hash order of the id.
 FIT_ROWS = 20_000
@@ -194,6 +194,13 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
     return source.mapInArrow(run, ", ".join([*kinds, "score double"]))
 
 
+def keep_quality(docs: DataFrame, model: Gam, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that score below `least`; columns as they were."""
+    plain, back = unnamed(docs)
+    scored = score_quality(plain, model, back[id_col], back[text_col], keep=plain.columns)
+    return scored.where(F.col("score") >= least).select(*plain.columns).toDF(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 

@@ -160,8 +160,11 @@ def shared_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
         begin, size = _runs(h)
         several = np.repeat(np.maximum.reduceat(ids[doc], begin) > ids[doc[begin]], size) if len(begin) else np.zeros(0, bool)
         rows = done(ids, ths, doc[several], pos[several], sides[several], n_buckets)
-        # One of each hash goes on, of the least id.
-        return rows + dealt((h[begin] >> np.uint64(32)).astype(np.int64) % n_buckets, ids, ths, doc[begin], h[begin].astype(np.uint32), pos[begin], sides[begin])
+        # Of hashes settled here one entry goes on, to tell others of the least id; of the rest all, which are of one id.
+        on = ~several
+        on[begin] = True
+        doc, h, pos, sides = doc[on], h[on], pos[on], sides[on]
+        return rows + dealt((h >> np.uint64(32)).astype(np.int64) % n_buckets, ids, ths, doc, h.astype(np.uint32), pos, sides)
 
     def share(key, table):
         out = [passed(table)]
