@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -89,10 +91,23 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str = "append", sink: Callable | None = None) -> DataFrame | None:
-    """Run a stream over all input there is, and return its rows from the memory sink (or hand batches to `sink`)."""
-    import tempfile
-
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", stream.sparkSession.conf.get("spark.checkpoint.dir", None) and f"{stream.sparkSession.conf.get('spark.checkpoint.dir')}/stream-{name}" or tempfile.mkdtemp())
-    query = (writer.foreachBatch(sink) if sink else writer.format("memory").queryName(name)).start()
-    query.awaitTermination()
-    return None if sink else stream.sparkSession.table(name)
+    """Run a stream over all input there is, and return its rows (or hand the batches to `sink`).
+
+    Batches are written by epoch in the shared folder, so a batch that is run
+    again replaces itself; in complete mode the last one is the result.
+    """
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timelog-")
+    folder = f"{base}/stream-{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        at = 0 if mode == "complete" else epoch
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={at}")
+
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state")
+    writer.foreachBatch(sink or write).start().awaitTermination()
+    if sink:
+        return None
+    # One empty epoch beside the others: a stream without input has a result too.
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{folder}/rows/epoch=-1")
+    return spark.read.parquet(f"{folder}/rows").select(*stream.columns)
