@@ -39,10 +39,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sorts last). Null counts as empty text. An empty table gives no groups.
     """
     narrow = stored(_keys(docs, id_col, text_col))
-    lengths = narrow.groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1").select("norm_len")
-    prefixes = (
-        narrow.join(lengths, "norm_len", "left_semi").groupBy("norm_len", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("norm_len", "prefix")
-    )
+    # Copies of a text are one row here, so no length is hot for the copies it has.
+    pairs = narrow.groupBy("norm_len", "prefix").agg(F.count("*").alias("n"))
+    lengths = pairs.groupBy("norm_len").agg(F.sum("n").alias("m")).where("m > 1").select("norm_len")
+    prefixes = pairs.join(lengths, "norm_len", "left_semi").where("n > 1").select("norm_len", "prefix")
     ids = stored(narrow.join(prefixes, ["norm_len", "prefix"], "left_semi").select("id").distinct())
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     survivors = text.join(ids.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left_semi")

@@ -45,7 +45,7 @@ def done(ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, begin: np.ndarray, e
     order = np.argsort(doc, kind="stable")
     doc, pairs = doc[order], np.stack([begin[order], end[order]], 1).astype(np.int64)
     cut = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, int)
-    return [(int(ths[d]) % n_buckets, 0, int(ids[d]), int(ths[d]), pairs[a:b].tobytes(), None, None) for a, b, d in zip(cut, np.append(cut[1:], len(doc)), doc[cut].tolist())]
+    return [(int(ids[d]) % n_buckets, 0, int(ids[d]), int(ths[d]), pairs[a:b].tobytes(), None, None) for a, b, d in zip(cut, np.append(cut[1:], len(doc)), doc[cut].tolist())]
 
 
 def _index_kind(size: int) -> type:
