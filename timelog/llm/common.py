@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,9 +54,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no live plan refers to any more; it learns of that by garbage collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete shuffle files that no live plan refers to any more; it learns of that by garbage collection, twice for what has finalizers."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def scan_bytes(df: DataFrame) -> int:
