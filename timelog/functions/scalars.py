@@ -203,3 +203,8 @@ def key_in_bounds(key: Column, least: Column, most: Column) -> Column:
     """least <= key < most by bytes; an empty bound is none."""
     k, a, b = (c.cast("binary") for c in (key, least, most))
     return ((F.length(a) == 0) | (k >= a)) & ((F.length(b) == 0) | (k < b))
+
+
+def client_supported(version: Column, least: int = 1, most: int = 1) -> Column:
+    """A client's protocol version is in range; none counts as the lowest."""
+    return F.coalesce(version, F.lit(least)).between(least, most)
