@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each component of linked fingerprints."""
-    return simhash.one_of_each(docs)
+    """The least doc_id of each component of linked fingerprints, five-word near copies included."""
+    return simhash.one_of_each(docs, wide=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,10 +68,10 @@ def test_near_lanes():
     rng = np.random.default_rng(0)
     lanes = rng.integers(0, 2**63, 64 * 3, np.int64).astype(np.uint64)
     for k in range(0, 192, 5):
-        flips = rng.choice(64, rng.integers(0, 6), replace=False)
+        flips = rng.choice(64, rng.integers(0, 15), replace=False)
         lanes[k] = lanes[0] ^ np.bitwise_or.reduce(np.uint64(1) << flips.astype(np.uint64)) if len(flips) else lanes[0]
     planes = simhash._planes(lanes)
-    for radius in (0, 1, 2, 3):
+    for radius in (0, 1, 2, 3, 5, 8, 12):
         queries = np.repeat(lanes[:20], 3)
         words = np.tile(np.arange(3), 20)
         row, lane = simhash.near_lanes(queries, planes[words], np.full(60, 2**64 - 1, np.uint64), radius)
@@ -111,3 +111,22 @@ def test_exact_edges(documents):
     kept = exact.drop_copies(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3, 8, 9]
     assert exact.exact_dedup(documents([])).count() == 0
+
+
+def test_wide_near_copies(documents):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    rows, near = [], []
+    for n in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(150, 400))]
+        rows.append((n, " ".join(base)))
+        edited = list(base)
+        for k in rng.sample(range(len(base)), len(base) // 100):
+            edited[k] = rng.choice(vocabulary)
+        rows.append((1000 + n, " ".join(edited)))
+        near.append(1000 + n)
+    rows += [(5000 + n, " ".join(rng.choice(vocabulary) for _ in range(8))) for n in range(100)]
+    kept = {r.doc_id for r in simhash.one_of_each(documents(rows, extra=True), wide=True).collect()}
+    assert {i for i, _ in rows if i not in near} <= kept
+    assert len(kept & set(near)) <= 3
+    assert simhash.one_of_each(documents([]), wide=True).count() == 0

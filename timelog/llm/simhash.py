@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelog.llm.common import byte_slices, discard, stored, utf8
+from timelog.llm.common import byte_slices, release, stored, utf8
 from timelog.llm.components import connected
 
 RADIUS = 3
@@ -82,21 +82,23 @@ def _planes(values: np.ndarray) -> np.ndarray:
 
 
 def near_lanes(queries: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Bit-sliced distances of queries[i] to the 64 lanes of planes[i]; (i, lane) within the radius (at most 3)."""
+    """Bit-sliced distances of queries[i] to the 64 lanes of planes[i]: (i, lane) within the radius."""
     alive = np.arange(len(queries))
-    over, ones, twos = ~valid, np.zeros(len(queries), np.uint64), np.zeros(len(queries), np.uint64)
+    over = ~valid
+    # Counters of just enough bits for the radius, started so that they overflow one past it.
+    bits = max(1, radius.bit_length())
+    start = (1 << bits) - 1 - radius
+    counter = [np.full(len(queries), _ALL if start >> k & 1 else 0, np.uint64) for k in range(bits)]
     for k in range(64):
-        differ = planes[alive, k] ^ (_ALL * (queries[alive] >> np.uint64(k) & _ONE))
-        carry = ones & differ
-        ones ^= differ
-        over |= twos & carry
-        twos ^= carry
-        if radius < 3:
-            over |= twos & ones if radius == 2 else twos if radius == 1 else ones | twos
+        carry = planes[alive, k] ^ (_ALL * (queries[alive] >> np.uint64(k) & _ONE))
+        for c in counter:
+            c ^= carry
+            carry &= ~c
+        over |= carry
         if k % 4 == 3:
             stay = over != _ALL
             if not stay.all():
-                alive, over, ones, twos = alive[stay], over[stay], ones[stay], twos[stay]
+                alive, over, counter = alive[stay], over[stay], [c[stay] for c in counter]
             if not len(alive):
                 break
     lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -120,7 +122,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of the links inside each unit. Sides 0 and 1 of a unit are compared with each other, side 2 with itself."""
     if not len(fp):
         return fp, fp
@@ -156,7 +158,7 @@ def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int = 1
         q = np.repeat(query[at:to], count[at:to])
         offset = np.arange(len(q)) - np.repeat(np.cumsum(count[at:to]) - count[at:to], count[at:to])
         word = np.repeat(begin[at:to], count[at:to]) + offset
-        row, lane = near_lanes(fp[q], planes[word], valid[word])
+        row, lane = near_lanes(fp[q], planes[word], valid[word], radius)
         a, b = q[row], index[word[row] * 64 + lane]
         keep = fp[a] != fp[b]
         a, b = a[keep], b[keep]
@@ -168,14 +170,26 @@ def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, most: int = 1
     return fp[a_all[0]], fp[b_all[0]]
 
 
-def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(fp) distinct fingerprints -> (u, v) links that connect exactly what links of at most RADIUS bits connect."""
+def field_keys() -> list[Column]:
+    """Ten keys, one per pair of bit fields: fingerprints within RADIUS bits agree in one at least."""
     shift, fields = 0, []
     for width in FIELDS:
         fields.append(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)))
         shift += width
-    keys = [F.lit(n).cast("long") * (1 << 26) + fields[a] * (1 << 13) + fields[b] for n, (a, b) in enumerate(combinations(range(len(FIELDS)), 2))]
-    filed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    return [F.lit(n).cast("long") * (1 << 26) + fields[a] * (1 << 13) + fields[b] for n, (a, b) in enumerate(combinations(range(len(FIELDS)), 2))]
+
+
+def sampled_keys(tables: int, bits: int, seed: int = 42) -> list[Column]:
+    """Keys of `bits` bits drawn at random: two fingerprints that differ in d of 64 bits agree in one with chance 1 - (1 - (1 - d / 64) ** bits) ** tables or so."""
+    rng = np.random.default_rng(seed)
+    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return [F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for n, m in enumerate(signed)]
+
+
+def near_links(distinct: DataFrame, radius: int = RADIUS, keys: list[Column] | None = None, block: int = BLOCK) -> DataFrame:
+    """(fp) distinct fingerprints -> (u, v) links that connect what pairs within `radius` bits that share a key connect; with the keys as they are, all pairs within RADIUS."""
+    filed = distinct.select("fp", F.explode(F.array(*(keys or field_keys()))).alias("key"))
     full = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     filed = filed.join(full, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     part = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("parts")).cast("int")
@@ -191,7 +205,7 @@ def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
 
         def links(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
             unit, side, fp = (np.concatenate([b.column(c).to_numpy() for b in tables]) for c in range(3))
-            a, b = unit_links(unit, side, fp.view(np.uint64))
+            a, b = unit_links(unit, side, fp.view(np.uint64), radius)
             return pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"])
 
         # Sorted by unit: a piece ends where a unit ends.
@@ -225,6 +239,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(fingerprints(docs, id_col, text_col))
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("low")))
     roots = connected(near_links(distinct.select("fp")))
+    return _named(rows, distinct, roots, id_col)
+
+
+def _named(rows: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """The least id of each row's component."""
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     joined = stored(joined)
     least = joined.groupBy("root").agg(F.min("low").alias("component"))
@@ -232,8 +251,47 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with the least id of each component only; repeated ids keep one row."""
-    found = near_components(docs, id_col, text_col)
+#: Near copies beyond the contract's radius: five-word shingles, about similarity 0.8 and up.
+WIDE_SHINGLE, WIDE_RADIUS, WIDE_TABLES, WIDE_BITS = 5, 12, 64, 18
+#: Texts of fewer words have too few shingles for a wide radius.
+WIDE_WORDS = 20
+
+
+def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_components, with links of texts whose five-word fingerprints differ in at most WIDE_RADIUS bits as well.
+
+    Shingle sets of Jaccard similarity 0.8 have a cosine near 0.89, which makes
+    9.7 of 64 bits differ on average. Wide links are found by sampled keys, not
+    by exhaustion: about two in three at similarity 0.8, nearly all from 0.9 on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in byte_slices(whole, "text", 4 << 20):
+                texts = utf8(batch.column("text"))
+                fps = np.array([fingerprint(t) for t in texts], np.uint64)
+                long = [len(t.translate(_FOLD).split(b" ")) >= WIDE_WORDS for t in texts]
+                wide = [fingerprint(t, WIDE_SHINGLE) if ok else None for t, ok in zip(texts, long)]
+                wide = pa.array([w if w is None or w < 1 << 63 else w - (1 << 64) for w in wide], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _signed(fps), wide], ["id", "fp", "wide"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, wide long"))
+    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    pairs = stored(rows.where("wide is not null").select("fp", "wide").distinct())
+    # Each wide fingerprint stands for its least narrow one, and ties its others to it.
+    least = stored(pairs.groupBy("wide").agg(F.min("fp").alias("rep")))
+    tied = pairs.join(least, "wide").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v"))
+    wide = stored(near_links(least.select(F.col("wide").alias("fp")), WIDE_RADIUS, sampled_keys(WIDE_TABLES, WIDE_BITS)))
+    a, b = (least.select(F.col("wide").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("u", "v"))
+    wide = wide.join(a, "u").join(b, "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
+    release(docs.sparkSession)
+    roots = connected(near_links(distinct.select("fp")).unionByName(tied).unionByName(wide))
+    return _named(rows.select("id", "fp"), distinct, roots, id_col)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """`docs` with the least id of each component only (of wide_components if `wide`); repeated ids keep one row."""
+    found = (wide_components if wide else near_components)(docs, id_col, text_col)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("__keep")).distinct()
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
