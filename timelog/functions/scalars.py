@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,11 @@ def byte_values(data: Column) -> Column:
     return F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
 
-def fnv1a64(data: Column) -> Column:
-    """struct(hi, lo): FNV-1a of the bytes as two unsigned 32-bit halves, so that nothing overflows a long."""
+def fnv1a64(data: Column, finish: Callable[[Column], Column] | None = None) -> Column:
+    """struct(hi, lo): FNV-1a of the bytes as two unsigned 32-bit halves, so that nothing overflows a long.
+
+    `finish` maps the struct inside the fold, so that the bytes are folded once.
+    """
     start = F.struct(F.lit(FNV_BASIS_HIGH).alias("hi"), F.lit(FNV_BASIS_LOW).cast("long").alias("lo"))
 
     def step(state: Column, byte: Column) -> Column:
@@ -29,17 +34,15 @@ def fnv1a64(data: Column) -> Column:
         high = state["hi"] * FNV_PRIME_LOW + F.shiftrightunsigned(low, 32) + F.shiftleft(x, 8)
         return F.struct(high.bitwiseAND(F.lit(_LOW32)).alias("hi"), low.bitwiseAND(F.lit(_LOW32)).alias("lo"))
 
-    return F.aggregate(byte_values(data), start, step)
+    return F.aggregate(byte_values(data), start, step, finish) if finish else F.aggregate(byte_values(data), start, step)
 
 
 def fnv_mod(data: Column, n: int) -> Column:
-    h = fnv1a64(data)
-    return ((h["hi"] % n) * ((1 << 32) % n) + h["lo"] % n) % n
+    return fnv1a64(data, lambda h: ((h["hi"] % n) * ((1 << 32) % n) + h["lo"] % n) % n)
 
 
 def fnv_hex(data: Column) -> Column:
-    h = fnv1a64(data)
-    return F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0")))
+    return fnv1a64(data, lambda h: F.lower(F.concat(F.lpad(F.hex(h["hi"]), 8, "0"), F.lpad(F.hex(h["lo"]), 8, "0"))))
 
 
 def partition_of(key: Column, n: int) -> Column:
