@@ -419,6 +419,8 @@ def anchor_pieces(rows: np.ndarray, reach: int, most: int = 2048) -> Iterator[np
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans) of the documents with repeats: packed byte spans covered by `length`-byte strings of a smaller id."""
+    if not GRAM < length <= GRAM + 255:
+        raise ValueError(f"length must be above {GRAM} and at most {GRAM + 255}")
     rows = keyed(docs, id_col, text_col)
     n = buckets(docs)
     shared = stored(by_document(shared_anchors(rows, length, n)))
