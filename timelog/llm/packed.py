@@ -52,8 +52,8 @@ def _index_kind(size: int) -> type:
     return np.uint8 if size <= 1 << 8 else np.uint16 if size <= 1 << 16 else np.uint32
 
 
-def dealt(bucket: np.ndarray, ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> list[tuple]:
-    """One row per bucket: documents (id, th) of its entries in a, the entry columns joined in b, their row count in c. `doc` is the first column, in as few bytes as do."""
+def dealt(bucket: np.ndarray, ids: np.ndarray, ths: np.ndarray, doc: np.ndarray, *columns: np.ndarray, kind: int = 1) -> list[tuple]:
+    """One row of `kind` per bucket: documents (id, th) of its entries in a, the entry columns joined in b, their row count in c. `doc` is the first column, in as few bytes as do."""
     order = np.lexsort((doc, bucket))
     bucket, doc = bucket[order], doc[order]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
@@ -61,9 +61,10 @@ def dealt(bucket: np.ndarray, ids: np.ndarray, ths: np.ndarray, doc: np.ndarray,
     rows = []
     for a, b in zip(cut, np.append(cut[1:], len(bucket))):
         own, back = np.unique(doc[a:b], return_inverse=True)
-        table = np.stack([ids[own], ths[own]], 1).astype(np.int64)
+        # Ids are sorted in most inputs: their differences have few bytes.
+        table = np.diff(ids[own], prepend=0).astype(np.int64).tobytes() + ths[own].astype(np.uint32).tobytes()
         blob = back.astype(_index_kind(len(own))).tobytes() + b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
-        rows.append((int(bucket[a]), 1, None, None, table.tobytes(), blob, np.int64(b - a).tobytes()))
+        rows.append((int(bucket[a]), kind, None, None, table, blob, np.int64(b - a).tobytes()))
     return rows
 
 
@@ -71,19 +72,20 @@ def opened(row: tuple[bytes, bytes, bytes], *kinds: np.dtype) -> tuple[np.ndarra
     """Inverse of `dealt`: (id, th) of each entry, and the columns."""
     a, b, c = row
     n = int(np.frombuffer(c, np.int64)[0])
-    table = np.frombuffer(a, np.int64).reshape(-1, 2)
-    doc = np.frombuffer(b, _index_kind(len(table)), n)
+    docs = memoryview(a).nbytes // 12
+    ids, ths = np.cumsum(np.frombuffer(a, np.int64, docs)), np.frombuffer(a, np.uint32, docs, 8 * docs).astype(np.int64)
+    doc = np.frombuffer(b, _index_kind(docs), n)
     out, at = [], doc.nbytes
     for kind in kinds:
         kind = np.dtype(kind)
         out.append(np.frombuffer(b, kind, n, at))
         at += n * kind.itemsize
-    return table[doc, 0], table[doc, 1], out
+    return ids[doc], ths[doc], out
 
 
-def heap(table: pa.Table) -> Iterator[tuple[bytes, bytes, bytes]]:
+def heap(table: pa.Table, kind: int = 1) -> Iterator[tuple[bytes, bytes, bytes]]:
     """The packed rows of a bucket."""
-    held = table.filter(pa.compute.equal(table["kind"], 1))
+    held = table.filter(pa.compute.equal(table["kind"], kind))
     for a, b, c in zip(held["a"], held["b"], held["c"]):
         yield a.as_buffer(), b.as_buffer(), c.as_buffer()
 

@@ -142,9 +142,11 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """Keyed documents -> rows of KEYED with pairs (position, 256 * before + after) of anchors that two documents or more have.
+    """Keyed documents -> a row of KEYED per document with anchors that two documents or more have.
 
-    `before` and `after` are the bytes of the anchor's context on either side.
+    `spans` holds their positions, 4 bytes each, then 256 * before + after, 2 bytes
+    each: the bytes of the anchor's context on either side. Answers go back in
+    packed rows too, to a bucket of the document's id.
     """
 
     def take(batch, data, starts):
@@ -159,7 +161,7 @@ def shared_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
         doc, h, pos, sides = doc[order], h[order], pos[order], sides[order]
         begin, size = _runs(h)
         several = np.repeat(np.maximum.reduceat(ids[doc], begin) > ids[doc[begin]], size) if len(begin) else np.zeros(0, bool)
-        rows = done(ids, ths, doc[several], pos[several], sides[several], n_buckets)
+        rows = dealt(ids[doc[several]] % n_buckets, ids, ths, doc[several], pos[several], sides[several], kind=2)
         # Of hashes settled here one entry goes on, to tell others of the least id; of the rest all, which are of one id.
         on = ~several
         on[begin] = True
@@ -167,20 +169,37 @@ def shared_anchors(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
         return rows + dealt((h >> np.uint64(32)).astype(np.int64) % n_buckets, ids, ths, doc, h.astype(np.uint32), pos, sides)
 
     def share(key, table):
-        out = [passed(table)]
         parts = [opened(r, np.uint32, np.uint32, np.uint16) for r in heap(table)]
-        if parts:
-            ids, ths = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-            h, pos, sides = (np.concatenate([p[2][k] for p in parts]) for k in range(3))
-            order = np.lexsort((ids, h))
-            begin, size = _runs(h[order])
-            least = np.repeat(ids[order][begin], size)
-            most = np.repeat(np.maximum.reduceat(ids[order], begin), size)
-            mine = order[most > least]
-            out.append(spans_by_document(ids[mine], ths[mine], pos[mine], sides[mine]))
-        return pa.concat_tables(out)
-
-    return docs.mapInArrow(lambda it: _flushed(it, take, flush, _FLUSH), PACK).groupBy("bucket").applyInArrow(share, KEYED)
+        settled = table.filter(pa.compute.equal(table["kind"], 2))
+        if not parts:
+            return settled
+        ids, ths = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        h, pos, sides = (np.concatenate([p[2][k] for p in parts]) for k in range(3))
+        order = np.lexsort((ids, h))
+        begin, size = _runs(h[order])
+        least = np.repeat(ids[order][begin], size)
+        most = np.repeat(np.maximum.reduceat(ids[order], begin), size)
+        mine = order[most > least]
+        ids, ths, pos, sides = (x[mine] for x in (ids, ths, pos, sides))
+        order = np.lexsort((ths, ids))
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(ids[order]) != 0) | (np.diff(ths[order]) != 0)])) if len(order) else order
+        doc = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(order))))
+        lead = order[new]
+        rows = dealt(ids[order] % n_buckets, ids[lead], ths[lead], doc, pos[order], sides[order], kind=2)
+        return pa.concat_tables([settled, pa.Table.from_batches([packed_batch(rows)])])
+
+    def gather(key, table):
+        parts = [opened(r, np.uint32, np.uint16) for r in heap(table, 2)]
+        ids, ths = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        pos, sides = (np.concatenate([p[2][k] for p in parts]) for k in (0, 1))
+        order = np.lexsort((pos, ths, ids))
+        ids, ths, pos, sides = (x[order] for x in (ids, ths, pos, sides))
+        cut = np.flatnonzero(np.concatenate([[True], (np.diff(ids) != 0) | (np.diff(ths) != 0)])) if len(ids) else order
+        blobs = [pos[a:b].tobytes() + sides[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(ids)))]
+        return pa.table({"id": pa.array(ids[cut], pa.int64()), "th": pa.array(ths[cut], pa.int64()), "spans": pa.array(blobs, pa.binary())})
+
+    found = docs.mapInArrow(lambda it: _flushed(it, take, flush, _FLUSH), PACK).groupBy("bucket").applyInArrow(share, PACK)
+    return found.groupBy("bucket").applyInArrow(gather, KEYED)
 
 
 def spans_by_document(ids: np.ndarray, ths: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Table:
@@ -315,7 +334,7 @@ def covered(docs: DataFrame, shared: DataFrame, length: int, n_buckets: int) ->
     def take(batch, data, starts):
         padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(width, np.uint8)])
         lists = batch.column("spans").to_pylist()
-        pairs = [np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in lists]
+        pairs = [np.stack([np.frombuffer(x, np.uint32, len(x) // 6), np.frombuffer(x, np.uint16, len(x) // 6, len(x) // 6 * 4)], 1).astype(np.int64) for x in lists]
         pairs = [x[np.unique(x[:, 0], return_index=True)[1]] for x in pairs]
         doc = np.repeat(np.arange(len(lists)), [len(x) for x in pairs])
         pos, sides = np.concatenate([np.zeros((0, 2), np.int64), *pairs]).T
@@ -423,7 +442,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         raise ValueError(f"length must be above {GRAM} and at most {GRAM + 255}")
     rows = keyed(docs, id_col, text_col)
     n = buckets(docs)
-    shared = stored(by_document(shared_anchors(rows, length, n)))
+    shared = stored(shared_anchors(rows, length, n))
     release(docs.sparkSession)
     spans = stored(by_document(covered(rows, shared, length, n)))
     discard(shared)
