@@ -130,3 +130,49 @@ def test_wide_near_copies(documents):
     assert {i for i, _ in rows if i not in near} <= kept
     assert len(kept & set(near)) <= 3
     assert simhash.one_of_each(documents([]), wide=True).count() == 0
+
+
+def plain_shingles(text):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_kept(rows):
+    """The least id of each component of 3-bit links and links of Jaccard similarity 0.8 or more."""
+    fp, own = {i: plain_fingerprint(t) for i, t in rows}, {i: plain_shingles(t) for i, t in rows}
+    alike = lambda a, b: bool(own[a] and own[b]) and 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])
+    of = classes([i for i, _ in rows], lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 3 or alike(a, b))
+    return set(of.values())
+
+
+def edited(rng, words, times, vocabulary):
+    out = list(words)
+    for k in rng.sample(range(len(out)), times):
+        out[k] = rng.choice(vocabulary)
+    return out
+
+
+def kept_ids(df):
+    return {r.doc_id for r in simhash.one_of_each(df, wide=True).collect()}
+
+
+def test_wide_links_are_exact(documents):
+    """Pairs on both sides of 0.8, a hot group of near copies, chains, a passage that many documents share."""
+    rng = random.Random(7)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    draw = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts = []
+    for _ in range(50):
+        base = draw(rng.randrange(60, 150))
+        texts += [base, edited(rng, base, rng.randrange(1, 6), vocabulary), base + draw(rng.randrange(5, 40))]
+    hot = draw(100)
+    texts += [edited(rng, hot, rng.randrange(4), vocabulary) for _ in range(60)]
+    for _ in range(3):
+        texts.append(hot)
+        for _ in range(6):
+            texts.append(edited(rng, texts[-1], 2, vocabulary))
+    passage = draw(80)
+    texts += [passage + draw(rng.randrange(10, 30)) for _ in range(40)]
+    rng.shuffle(texts)
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    assert kept_ids(documents(rows, extra=True)) == plain_kept(rows)

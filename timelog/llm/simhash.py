@@ -25,7 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelog.llm.common import byte_slices, release, stored, utf8
+from timelog.llm import setjoin
+from timelog.llm.common import byte_slices, stored, utf8
 from timelog.llm.components import connected
 
 RADIUS = 3
@@ -179,17 +180,9 @@ def field_keys() -> list[Column]:
     return [F.lit(n).cast("long") * (1 << 26) + fields[a] * (1 << 13) + fields[b] for n, (a, b) in enumerate(combinations(range(len(FIELDS)), 2))]
 
 
-def sampled_keys(tables: int, bits: int, seed: int = 42) -> list[Column]:
-    """Keys of `bits` bits drawn at random: two fingerprints that differ in d of 64 bits agree in one with chance 1 - (1 - (1 - d / 64) ** bits) ** tables or so."""
-    rng = np.random.default_rng(seed)
-    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return [F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for n, m in enumerate(signed)]
-
-
-def near_links(distinct: DataFrame, radius: int = RADIUS, keys: list[Column] | None = None, block: int = BLOCK) -> DataFrame:
-    """(fp) distinct fingerprints -> (u, v) links that connect what pairs within `radius` bits that share a key connect; with the keys as they are, all pairs within RADIUS."""
-    filed = distinct.select("fp", F.explode(F.array(*(keys or field_keys()))).alias("key"))
+def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(fp) distinct fingerprints -> (u, v) links that connect what pairs within RADIUS bits connect."""
+    filed = distinct.select("fp", F.explode(F.array(*field_keys())).alias("key"))
     full = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     filed = filed.join(full, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     part = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("parts")).cast("int")
@@ -205,7 +198,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, keys: list[Column] | N
 
         def links(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
             unit, side, fp = (np.concatenate([b.column(c).to_numpy() for b in tables]) for c in range(3))
-            a, b = unit_links(unit, side, fp.view(np.uint64), radius)
+            a, b = unit_links(unit, side, fp.view(np.uint64))
             return pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"])
 
         # Sorted by unit: a piece ends where a unit ends.
@@ -251,42 +244,45 @@ def _named(rows: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str)
     return rows.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component")
 
 
-#: Near copies beyond the contract's radius: five-word shingles, about similarity 0.8 and up.
-WIDE_SHINGLE, WIDE_RADIUS, WIDE_TABLES, WIDE_BITS = 5, 12, 64, 18
-#: Texts of fewer words have too few shingles for a wide radius.
+#: Texts of fewer words have too few shingles for a link by similarity.
 WIDE_WORDS = 20
 
 
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As near_components, with links of texts whose five-word fingerprints differ in at most WIDE_RADIUS bits as well.
+    """As near_components, with links of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more as well.
 
-    Shingle sets of Jaccard similarity 0.8 have a cosine near 0.89, which makes
-    9.7 of 64 bits differ on average. Wide links are found by sampled keys, not
-    by exhaustion: about two in three at similarity 0.8, nearly all from 0.9 on.
+    Both kinds of links are complete: see setjoin for the second.
     """
 
+    def long(text: bytes) -> bool:
+        return len(text.translate(_FOLD).split()) >= WIDE_WORDS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text", 4 << 20):
                 texts = utf8(batch.column("text"))
                 fps = np.array([fingerprint(t) for t in texts], np.uint64)
-                long = [len(t.translate(_FOLD).split(b" ")) >= WIDE_WORDS for t in texts]
-                wide = [fingerprint(t, WIDE_SHINGLE) if ok else None for t, ok in zip(texts, long)]
-                wide = pa.array([w if w is None or w < 1 << 63 else w - (1 << 64) for w in wide], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _signed(fps), wide], ["id", "fp", "wide"])
+                sigs = [setjoin.signature(setjoin.shingles(t)) if long(t) else None for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _signed(fps), pa.array(sigs, pa.int64())], ["id", "fp", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, wide long"))
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, sig long"))
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    pairs = stored(rows.where("wide is not null").select("fp", "wide").distinct())
-    # Each wide fingerprint stands for its least narrow one, and ties its others to it.
-    least = stored(pairs.groupBy("wide").agg(F.min("fp").alias("rep")))
-    tied = pairs.join(least, "wide").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v"))
-    wide = stored(near_links(least.select(F.col("wide").alias("fp")), WIDE_RADIUS, sampled_keys(WIDE_TABLES, WIDE_BITS)))
-    a, b = (least.select(F.col("wide").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("u", "v"))
-    wide = wide.join(a, "u").join(b, "v").select(F.least("rep_u", "rep_v").alias("u"), F.greatest("rep_u", "rep_v").alias("v"))
-    release(docs.sparkSession)
-    roots = connected(near_links(distinct.select("fp")).unionByName(tied).unionByName(wide))
+    pairs = stored(rows.where("sig is not null").select("fp", "sig").distinct())
+    # Each shingle set stands for its least fingerprint, and ties its others to it.
+    least = stored(pairs.groupBy("sig").agg(F.min("fp").alias("rep")))
+    tied = pairs.join(least, "sig").where("fp <> rep").select(F.col("rep").alias("u"), F.col("fp").alias("v"))
+    found: list[DataFrame] = []
+
+    def roots_of(links: DataFrame | None) -> DataFrame:
+        if links is None:
+            edges = near_links(distinct.select("fp")).unionByName(tied)
+        else:
+            edges = found[-1].select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(links)
+        found.append(connected(edges))
+        return found[-1]
+
+    roots = setjoin.joined_roots(docs, text_col, least, roots_of)
     return _named(rows.select("id", "fp"), distinct, roots, id_col)
 
 
