@@ -176,3 +176,14 @@ def test_wide_links_are_exact(documents):
     rng.shuffle(texts)
     rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
     assert kept_ids(documents(rows, extra=True)) == plain_kept(rows)
+
+
+def test_short_near_copies(documents):
+    """Texts of under 20 words and their copies with a word more."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts = [[rng.choice(vocabulary) for _ in range(n)] for n in range(1, 20) for _ in range(2)]
+    texts += [t + [rng.choice(vocabulary)] for t in texts] + [[], ["\t"], texts[8] * 2]
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    kept = kept_ids(documents(rows, extra=True))
+    assert kept == plain_kept(rows) and not {38 + n for n in range(14, 38)} & kept

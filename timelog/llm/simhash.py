@@ -244,25 +244,18 @@ def _named(rows: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str)
     return rows.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component")
 
 
-#: Texts of fewer words have too few shingles for a link by similarity.
-WIDE_WORDS = 20
-
-
 def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As near_components, with links of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more as well.
 
     Both kinds of links are complete: see setjoin for the second.
     """
 
-    def long(text: bytes) -> bool:
-        return len(text.translate(_FOLD).split()) >= WIDE_WORDS
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text", 4 << 20):
                 texts = utf8(batch.column("text"))
                 fps = np.array([fingerprint(t) for t in texts], np.uint64)
-                sigs = [setjoin.signature(setjoin.shingles(t)) if long(t) else None for t in texts]
+                sigs = [setjoin.signature(setjoin.shingles(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), _signed(fps), pa.array(sigs, pa.int64())], ["id", "fp", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
