@@ -133,3 +133,16 @@ def test_chunk_edges_and_shifts(documents):
     got = sorted(tuple(r) for r in chunking.chunk_dedup(documents(rows, extra=True)).collect())
     assert got == plain_chunk_dedup(rows, chunking.LEAST_RUN)
     assert dict((r[0], r[2]) for r in got)[2] > 2700
+
+
+def test_query_removes_short_copies(spark, documents, tmp_path):
+    """Equal documents of a few bytes, a repeated line: the query leaves no repeated chunk."""
+    from timelog.llm.queries import QUERIES
+
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(100))
+    rows = [(1, "tiny"), (2, "tiny"), (3, line), (4, line), (5, "".join(rng.choice("ijkl ") for _ in range(400)) + line)]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op9_chunk_dedup"](spark, str(tmp_path)).collect())
+    assert got == plain_chunk_dedup(rows, 0)
+    assert all(r[1] == r[2] for r in got if r[0] in (2, 4))

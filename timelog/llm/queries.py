@@ -51,7 +51,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.chunk_dedup(docs_of(spark, sf_dir))
+    return chunking.chunk_dedup(docs_of(spark, sf_dir), least_run=0)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
