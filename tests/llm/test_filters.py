@@ -214,3 +214,17 @@ def test_pipeline_stages(spark, sf_dir, sample_rows):
             assert set(after) == {r.doc_id for r in docs.where("copies > 0").collect()}
         if name != "source mixing":
             assert docs.columns == columns
+
+
+def test_simhash_stage_is_exact(spark, documents, sample, sf_dir):
+    """The pipeline's stage keeps what brute force over 3-bit links and exact Jaccard keeps, short texts and shared passages included."""
+    from test_links import plain_kept
+
+    base = [(r.doc_id, r.text) for r in sample.orderBy("doc_id").limit(150).collect()]
+    top = max(i for i, _ in base) + 1
+    long = [(i, (t or "").split()) for i, t in base if len((t or "").split()) > 60][:40]
+    # Ten or twelve words cut off the end of 60: five-word similarity 46/56 and 44/56, on both sides of 0.8.
+    rows = base + [(top + 10 * n + k, " ".join(w[: 60 - cut])) for n, (_, w) in enumerate(long) for k, cut in enumerate((0, 10, 12, 44))]
+    rows += [(top + 10 * n + 5, " ".join(long[0][1][:40] + w[:30])) for n, (_, w) in enumerate(long)]
+    stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
+    assert {r.doc_id for r in stage(spark, documents(rows), sf_dir).collect()} == plain_kept(rows)
