@@ -228,3 +228,12 @@ def test_simhash_stage_is_exact(spark, documents, sample, sf_dir):
     rows += [(top + 10 * n + 5, " ".join(long[0][1][:40] + w[:30])) for n, (_, w) in enumerate(long)]
     stage = dict(corpus_pipeline.STAGES)["simhash near-dedup"]
     assert {r.doc_id for r in stage(spark, documents(rows), sf_dir).collect()} == plain_kept(rows)
+
+
+def test_items_without_id_make_hits(spark, documents):
+    long = " ".join(f"w{n}" for n in range(12))
+    bench = spark.createDataFrame([(None, long), (None, "rare pair"), ("7", "other text")], "item_id string, text string")
+    docs = documents([(1, "a " + long), (2, "a rare pair"), (3, "clean"), (4, "other text, rare pair")])
+    got = {r.doc_id: (r.spans, r.items) for r in decontam.benchmark_hits(docs, bench).collect()}
+    assert got == {1: ([[1, 13]], []), 2: ([[1, 3]], []), 3: ([], []), 4: ([[0, 4]], ["7"])}
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [3]

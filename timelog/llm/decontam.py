@@ -35,7 +35,7 @@ def words(text: bytes) -> list[bytes]:
 class Automaton:
     """Generalised suffix automaton over the words of several items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.len = [-1], [0]
@@ -50,17 +50,17 @@ class Automaton:
             up = self.link[s]
             self.gram[s] = 0 if self.len[s] < window else s if self.len[up] < window else self.gram[up]
         self.holders: dict[int, set[str]] = {}
-        own: dict[int, list[tuple[int, str]]] = {}
+        own: dict[int, list[tuple[int, str | None]]] = {}
         for name, tokens in items:
             s = 0
             for n, w in enumerate(tokens, 1):
                 s = self.next[s][w]
                 if n >= window:
-                    self.holders.setdefault(self.gram[s], set()).add(name)
+                    self.holders.setdefault(self.gram[s], set()).update([name] if name is not None else [])
             if 0 < len(tokens) < window:
                 own.setdefault(s, []).append((len(tokens), name))
         # Whole short items that end wherever a state's strings end, longest first.
-        self.whole: dict[int, list[tuple[int, str]]] = {}
+        self.whole: dict[int, list[tuple[int, str | None]]] = {}
         for s in order[1:]:
             found = own.get(s, []) + self.whole.get(self.link[s], [])
             if found:
@@ -124,7 +124,8 @@ class Automaton:
                 for m, name in whole[s]:
                     if m <= n:
                         spans.append((i + 1 - m, i + 1))
-                        found.add(name)
+                        if name is not None:
+                            found.add(name)
         return spans, found, longest
 
 
@@ -138,8 +139,8 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null").orderBy("item", "text")
+def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null").orderBy("item", "text")
     shard, size = [], 0
     for item, text in rows.toLocalIterator():
         data = text.encode()
@@ -155,7 +156,7 @@ def _shards(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 HITS = "n_words long, longest long, spans array<array<int>>, items array<string>"
 
 
-def _pass(docs: DataFrame, shard: list[tuple[str, list[bytes]]], window: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
+def _pass(docs: DataFrame, shard: list[tuple[str | None, list[bytes]]], window: int, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(Automaton(shard, window))
     arrow = pa.schema([("n_words", pa.int64()), ("longest", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
 
@@ -182,6 +183,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_c
 
     Null and empty texts have no words and no hits; items without words match
     nothing; items with equal texts or ids both count (ids once per document).
+    An item without an id makes hits and spans but stands in no list of items.
     An empty benchmark leaves every document without hits. With a benchmark of
     several shards, rows are told apart by id and text hash.
     """
