@@ -187,3 +187,45 @@ def test_short_near_copies(documents):
     rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
     kept = kept_ids(documents(rows, extra=True))
     assert kept == plain_kept(rows) and not {38 + n for n in range(14, 38)} & kept
+
+
+def test_hot_bucket_stays_linear(spark, monkeypatch):
+    """50,000 fingerprints that agree on all but 17 bits, and far ones: one component each, rows in proportion."""
+    rng = np.random.default_rng(3)
+    low = rng.choice(1 << 17, 50_000, replace=False).astype(np.int64)
+    far = rng.integers(-(2**63), 2**63, 500)
+    made = []
+    refile = simhash._refile
+
+    def counted(hot):
+        out = refile(hot).cache()
+        made.append((hot.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(simhash, "_refile", counted)
+    df = spark.createDataFrame([(int(v),) for v in np.concatenate([low + (0x1234 << 40), far])], "fp long")
+    links = simhash.near_links(df)
+    assert links.count() <= 30 * 50_000 and made and all(b == 4 * a for a, b in made) and sum(b for _, b in made) <= 40 * 50_000
+    root = {r.node: r.root for r in connected(links).collect()}
+    top = min(int(v) + (0x1234 << 40) for v in low)
+    assert {root.get(int(v) + (0x1234 << 40), top) for v in low} == {top}
+    assert not any(int(v) in root for v in far)
+
+
+def test_quarters_cover_and_shrink():
+    for mask in (*simhash.field_masks(), 0b1011, 1, 0):
+        rest = ((1 << 64) - 1) & ~mask
+        parts = simhash.quarters(rest)
+        assert sum(parts) == rest and max(p.bit_count() for p in parts) - min(p.bit_count() for p in parts) <= 1
+
+
+def test_one_of_each_with_repeated_ids(spark, documents):
+    """Repeated and null ids with unlike texts lose no text; repeated rows are one."""
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "completely other words in this text here")
+    rows = [(0, a), (1, a), (1, b), (1, b), (None, c), (None, a), (None, b + " seven"), (2, None), (3, "")]
+    for wide in (False, True):
+        df = documents(rows, extra=True)
+        got = simhash.one_of_each(df, wide=wide)
+        assert got.columns == df.columns
+        kept = sorted((str(r.doc_id), r.text) for r in got.collect())
+        assert kept == sorted([("0", a), ("1", b), ("None", c), ("None", b + " seven"), ("2", None)]), wide

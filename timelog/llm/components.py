@@ -34,7 +34,7 @@ def _small(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """(u, v) long links, u < v -> (node, root): every linked vertex with the least vertex it reaches.
 
-    No edges give an empty table. Runs until a round leaves the edges as they
+    No edges give an empty table; `discard` deletes it. Runs until a round leaves the edges as they
     were: then each vertex points straight at its root.
     """
     now = stored(edges.select("u", "v").where("u < v").distinct())
@@ -45,5 +45,7 @@ def connected(edges: DataFrame) -> DataFrame:
         discard(now)
         now = then
         if mark == sign:
-            return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            out = now.select(F.col("v").alias("node"), F.col("u").alias("root"))
+            out._timelog_path = now._timelog_path
+            return out
         sign = mark

@@ -4,8 +4,10 @@ Fingerprints: majority bits of the XXH64 of a text's word shingles. Distinct
 fingerprints are split into five bit fields; two that differ in at most three
 bits agree in two fields at least, so each is filed under its ten pairs of
 fields and compared only inside those buckets. Buckets hold about n / 2**25
-unrelated fingerprints. A bucket above BLOCK is cut into blocks and each pair
-of blocks is a unit of its own, so no task gets a whole hot bucket.
+unrelated fingerprints. The members of a bucket above BLOCK are filed again
+under the quarters of the bits that the bucket leaves open (of four quarters,
+one has no differing bit), and so on until every bucket is small: no pair is
+lost, no task gets a whole hot bucket, and rows stay linear in the input.
 
 Inside a unit, fingerprints stand in lanes of 64: bit plane k of a lane word
 holds bit k of 64 fingerprints. A query's distances to all 64 are counted at
@@ -17,23 +19,25 @@ links, never all pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timelog.llm import setjoin
-from timelog.llm.common import byte_slices, stored, utf8
+from timelog.llm.common import byte_slices, discard, stored, unnamed, utf8
 from timelog.llm.components import connected
 
 RADIUS = 3
 FIELDS = (13, 13, 13, 13, 12)
-BLOCK = 2048
+BLOCK = 4096
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -62,17 +66,21 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the 64 bits of a row's fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """(id, th, fp): a 64-bit hash of a row's text, and its fingerprint as a signed long; with `sets` also sig, the name of its set of five-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in byte_slices(whole, "text", 4 << 20):
-                fps = np.array([fingerprint(t) for t in utf8(batch.column("text"))], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _signed(fps)], ["id", "fp"])
+                texts = utf8(batch.column("text"))
+                cols = [batch.column("id"), batch.column("th"), _signed(np.array([fingerprint(t) for t in texts], np.uint64))]
+                if sets:
+                    cols.append(pa.array([setjoin.signature(setjoin.shingles(t)) for t in texts], pa.int64()))
+                yield pa.RecordBatch.from_arrays(cols, ["id", "th", "fp", "sig"][: len(cols)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, th long, fp long" + ", sig long" * sets)
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -123,40 +131,33 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of the links inside each unit. Sides 0 and 1 of a unit are compared with each other, side 2 with itself."""
+def unit_links(unit: np.ndarray, fp: np.ndarray, radius: int = RADIUS, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges of the links inside each unit: at most one per fingerprint."""
     if not len(fp):
         return fp, fp
-    order = np.lexsort((fp, side, unit))
-    unit, side, fp = unit[order], side[order], fp[order]
-    new = np.concatenate([[True], (unit[1:] != unit[:-1]) | (side[1:] != side[:-1])])
-    group = np.cumsum(new) - 1
-    first = np.flatnonzero(new)
+    order = np.lexsort((fp, unit))
+    unit, fp = unit[order], fp[order]
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
     size = np.diff(np.append(first, len(fp)))
+    group = np.repeat(np.arange(len(first)), size)
     word_of_group = np.concatenate([[0], np.cumsum(-(-size // 64))])
     within = np.arange(len(fp)) - first[group]
-    slot = (word_of_group[group] + within // 64) * 64 + within % 64
+    slot = word_of_group[group] * 64 + within
     lanes = np.zeros(word_of_group[-1] * 64, np.uint64)
     lanes[slot] = fp
     index = np.full(len(lanes), -1, np.int64)
     index[slot] = np.arange(len(fp))
     planes = _planes(lanes)
     valid = np.packbits(index.reshape(-1, 64) >= 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
-    # The group that the members of a group are held against: itself, or the other side of the unit.
-    target = np.where(side[first] == 2, np.arange(len(first)), -1)
-    zero = np.flatnonzero((side[first] == 0)[:-1] & (unit[first[1:]] == unit[first[:-1]])) if len(first) > 1 else np.zeros(0, int)
-    target[zero] = zero + 1
-    query = np.flatnonzero(target[group] >= 0)
-    against = target[group[query]]
-    # A member of a group held against itself meets the words from its own on.
-    begin = word_of_group[against] + np.where(against == group[query], within[query] // 64, 0)
-    count = word_of_group[against + 1] - begin
+    # A member meets the words from its own on.
+    begin = word_of_group[group] + within // 64
+    count = word_of_group[group + 1] - begin
     ends = np.cumsum(count)
     a_all, b_all = [np.zeros(0, int)], [np.zeros(0, int)]
     at = 0
-    while at < len(query):
+    while at < len(fp):
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        q = np.repeat(query[at:to], count[at:to])
+        q = np.repeat(np.arange(at, to), count[at:to])
         offset = np.arange(len(q)) - np.repeat(np.cumsum(count[at:to]) - count[at:to], count[at:to])
         word = np.repeat(begin[at:to], count[at:to]) + offset
         row, lane = near_lanes(fp[q], planes[word], valid[word], radius)
@@ -171,34 +172,68 @@ def unit_links(unit: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int =
     return fp[a_all[0]], fp[b_all[0]]
 
 
-def field_keys() -> list[Column]:
-    """Ten keys, one per pair of bit fields: fingerprints within RADIUS bits agree in one at least."""
-    shift, fields = 0, []
-    for width in FIELDS:
-        fields.append(F.shiftrightunsigned(F.col("fp"), shift).bitwiseAND(F.lit((1 << width) - 1)))
-        shift += width
-    return [F.lit(n).cast("long") * (1 << 26) + fields[a] * (1 << 13) + fields[b] for n, (a, b) in enumerate(combinations(range(len(FIELDS)), 2))]
+def field_masks() -> list[int]:
+    """The bits of each of the ten pairs of fields: fingerprints within RADIUS bits agree on all bits of one pair at least."""
+    ends = np.cumsum(FIELDS)
+    fields = [((1 << int(end)) - 1) ^ ((1 << int(end) - width) - 1) for end, width in zip(ends, FIELDS)]
+    return [a | b for a, b in combinations(fields, 2)]
+
+
+def quarters(mask: int, parts: int = RADIUS + 1) -> list[int]:
+    """The bits of `mask` dealt to `parts` masks as evenly as may be: fingerprints that differ in at most RADIUS bits of `mask` agree on all bits of one part."""
+    bits = [k for k in range(64) if mask >> k & 1]
+    return [sum(1 << k for k in bits[n::parts]) for n in range(parts)]
+
+
+def _long(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _refile(hot: DataFrame) -> DataFrame:
+    """Each (fp, key, rest) under four keys of its own bucket, one per quarter of the bits `rest` that the bucket leaves open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, key, rest = (batch.column(c).to_numpy().view(np.uint64) for c in ("fp", "key", "rest"))
+            for mask in np.unique(rest).tolist():
+                own, at = fp[rest == mask], key[rest == mask]
+                for n, part in enumerate(quarters(mask)):
+                    # Two rounds of a multiplicative hash: keys of unlike buckets or bits meet by chance only, and chance does no harm.
+                    new = (at ^ (own & np.uint64(part)) * _MIX) + np.uint64(n)
+                    new = (new ^ (new >> np.uint64(31))) * _MIX
+                    yield pa.RecordBatch.from_arrays([_signed(own), _signed(new), _signed(np.full(len(own), mask & ~part, np.uint64))], ["fp", "key", "rest"])
+
+    return hot.select("fp", "key", "rest").mapInArrow(run, "fp long, key long, rest long")
 
 
 def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(fp) distinct fingerprints -> (u, v) links that connect what pairs within RADIUS bits connect."""
-    filed = distinct.select("fp", F.explode(F.array(*field_keys())).alias("key"))
-    full = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    filed = filed.join(full, "key").withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    part = F.pmod(F.xxhash64("fp", F.lit("block")), F.col("parts")).cast("int")
-    filed = filed.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
-    units = filed.select("fp", F.xxhash64("key", low, high).alias("unit"), side.cast("long").alias("side"))
+    """(fp) distinct fingerprints -> (u, v) links that connect what pairs within RADIUS bits connect.
+
+    Every pass files a fingerprint ten times, or four times if its bucket was
+    too large, so rows grow in proportion to the input at any group size. The
+    bits that a bucket leaves open shrink by a quarter each time, and 2**bits
+    distinct fingerprints are the most that it can hold, so the passes end.
+    """
     few = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = (1 << 64) - 1
+    at = [F.struct(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_long(m)))).alias("key"), F.lit(_long(rest & ~m)).alias("rest")) for n, m in enumerate(field_masks())]
+    filed = distinct.select("fp", F.inline(F.array(*at)))
+    units, spent = [], []
+    while filed is not None:
+        sizes = stored(filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        units.append(filed.join(sizes.where(F.col("n") <= block), "key", "left_semi").select(F.col("key").alias("unit"), "fp"))
+        hot = sizes.where(F.col("n") > block)
+        spent.append(sizes)
+        filed = None if hot.isEmpty() else stored(_refile(filed.join(hot, "key", "left_semi")))
+        spent += [filed] if filed is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def links(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
-            unit, side, fp = (np.concatenate([b.column(c).to_numpy() for b in tables]) for c in range(3))
-            a, b = unit_links(unit, side, fp.view(np.uint64))
+            unit, fp = (np.concatenate([b.column(c).to_numpy() for b in tables]) for c in range(2))
+            a, b = unit_links(unit, fp.view(np.uint64))
             return pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a", "b"])
 
         # Sorted by unit: a piece ends where a unit ends.
@@ -216,51 +251,21 @@ def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         if held:
             yield links(held)
 
-    dealt = units.select("unit", "side", "fp").repartition(4 * few, "unit").sortWithinPartitions("unit")
-    found = dealt.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-
-
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: id, fp (signed long), component (least id reachable by links of at most 3 bits).
-
-    Null and empty texts have fingerprint 0 and link like any other. Rows with
-    equal fingerprints are one vertex, so copies of any number cost one row.
-    Ids are taken as they are; a null id is never a component's least id unless
-    all are null.
-    """
-    rows = stored(fingerprints(docs, id_col, text_col))
-    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    roots = connected(near_links(distinct.select("fp")))
-    return _named(rows, distinct, roots, id_col)
-
-
-def _named(rows: DataFrame, distinct: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    """The least id of each row's component."""
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = stored(joined)
-    least = joined.groupBy("root").agg(F.min("low").alias("component"))
-    named = joined.join(least, "root").select(F.col("fp").alias("f"), "component")
-    return rows.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component")
-
-
-def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As near_components, with links of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more as well.
-
-    Both kinds of links are complete: see setjoin for the second.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in byte_slices(whole, "text", 4 << 20):
-                texts = utf8(batch.column("text"))
-                fps = np.array([fingerprint(t) for t in texts], np.uint64)
-                sigs = [setjoin.signature(setjoin.shingles(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), _signed(fps), pa.array(sigs, pa.int64())], ["id", "fp", "sig"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long, sig long"))
-    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    dealt = reduce(DataFrame.unionByName, units).repartition(4 * few, "unit").sortWithinPartitions("unit")
+    found = stored(dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    discard(*spent)
+    return found
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, wide: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored (id, th, fp) of all rows, and (node, root) of the fingerprints that have links."""
+    rows = stored(fingerprints(docs, id_col, text_col, wide))
+    distinct = rows.select("fp").distinct()
+    if not wide:
+        links = near_links(distinct)
+        roots = connected(links)
+        discard(links)
+        return rows, roots
     pairs = stored(rows.where("sig is not null").select("fp", "sig").distinct())
     # Each shingle set stands for its least fingerprint, and ties its others to it.
     least = stored(pairs.groupBy("sig").agg(F.min("fp").alias("rep")))
@@ -268,19 +273,60 @@ def wide_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found: list[DataFrame] = []
 
     def roots_of(links: DataFrame | None) -> DataFrame:
-        if links is None:
-            edges = near_links(distinct.select("fp")).unionByName(tied)
-        else:
-            edges = found[-1].select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(links)
+        near = near_links(distinct) if links is None else None
+        edges = near.unionByName(tied) if near is not None else found[-1].select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(links)
         found.append(connected(edges))
+        discard(*([near] if near is not None else found[-2:-1]))
         return found[-1]
 
     roots = setjoin.joined_roots(docs, text_col, least, roots_of)
-    return _named(rows.select("id", "fp"), distinct, roots, id_col)
+    discard(pairs, least)
+    return rows.select("id", "th", "fp"), roots
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """One row per row of `docs`: id, fp (signed long), component (least id reachable by links of at most 3 bits).
+
+    `wide` also links texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more; both kinds of links are complete (see setjoin).
+    Null and empty texts have fingerprint 0 and link like any other. Rows with
+    equal fingerprints are one vertex, so copies of any number cost one row.
+    Ids are taken as they are; a null id is never a component's least id unless
+    all are null. An empty table gives an empty result; no other column is read.
+    """
+    rows, roots = _linked(docs, id_col, text_col, wide)
+    distinct = rows.groupBy("fp").agg(F.min("id").alias("low"))
+    placed = stored(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    # Read from files on both sides of the join, so that a root of many fingerprints can be split.
+    least = stored(placed.groupBy("root").agg(F.min("low").alias("component")))
+    discard(roots)
+    named = placed.join(least, "root").select(F.col("fp").alias("f"), "component")
+    return rows.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`components` by fingerprints alone."""
+    return components(docs, id_col, text_col)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
-    """`docs` with the least id of each component only (of wide_components if `wide`); repeated ids keep one row."""
-    found = (wide_components if wide else near_components)(docs, id_col, text_col)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])
+    """`docs` with one row of each component only: the least id (null last), of repeated ids the least hash of the text.
+
+    Rows that agree in id and text are one row. Ids may repeat or be null with
+    unlike texts: rows are told apart by both. Other columns may have any name.
+    """
+    plain, back = unnamed(docs)
+    id_, text = back[id_col], back[text_col]
+    rows, roots = _linked(plain, id_, text, wide)
+    counted = rows.groupBy("id", "th", "fp").agg(F.count("*").alias("n"))
+    placed = counted.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("id").isNull().alias("void"), "id", "th", "n")).alias("x")
+    keep = stored(placed.groupBy("root").agg(first).select(F.col("x.id").alias("__id"), F.col("x.th").alias("__keep"), "x.n"))
+    discard(roots)
+    marked = plain.withColumn("__th", F.xxhash64(text))
+    same = F.col(id_).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__keep"))
+    out = marked.join(keep.where("n = 1"), same, "left_semi")
+    again = keep.where("n > 1")
+    if not again.isEmpty():
+        out = out.unionByName(marked.join(again, same, "left_semi").dropDuplicates([id_, "__th"]))
+    return out.select(*plain.columns).toDF(*docs.columns)
