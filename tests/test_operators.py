@@ -6,10 +6,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from timelog import schema as S
+from timelog.functions import bloom
+from timelog.functions import scalars as X
 from timelog.functions.running import with_highest_before, with_rank, with_running
 from timelog.operators import cluster, folds, groups, lifecycle, publish, schemas
+from timelog.sources import files, wal
 from timelog.sources import log as L
-from timelog.sources import wal
+from timelog.streaming import jobs
 
 
 def test_running_over_blocks(spark):
@@ -61,12 +65,13 @@ def test_replay_bounds(spark):
     assert L.replay_times(log, 0, 0, None, 200).count() == 3
 
 
-def test_election_prefers_in_sync(spark):
-    offsets = {"node-a": 1000, "node-b": 980, "node-c": 750, "node-d": 200, "node-e": 990}
-    rows = [(0, "node-a", list(offsets), ["node-a", "node-b", "node-c"], offsets), (1, "node-a", list(offsets), ["node-a"], offsets)]
+def test_election_leaves_out_the_old_leader(spark):
+    """The old leader is no candidate even if it lives and leads in offsets; ties go to the least id; without candidates there is no leader."""
+    at = {"w1": 70, "w2": 64, "w3": 64, "w4": 69}
+    rows = [(0, "w1", list(at), ["w1", "w3", "w2"], at), (1, "w1", list(at), ["w1"], at), (2, "w4", ["w4"], ["w4"], at), (3, "w2", list(at), [], None)]
     a = spark.createDataFrame(rows, "partition_id int, leader_id string, replicas array<string>, isr array<string>, replica_offsets map<string,long>")
-    alive = spark.createDataFrame([("node-" + x,) for x in "bcde"], "node_id string")
-    assert {r.partition_id: r.new_leader for r in cluster.failover(a, alive).collect()} == {0: "node-b", 1: "node-e"}
+    alive = spark.createDataFrame([(x,) for x in at], "node_id string")
+    assert {r.partition_id: r.new_leader for r in cluster.failover(a, alive).collect()} == {0: "w2", 1: "w4", 2: None, 3: "w1"}
 
 
 def test_election_invariants(spark):
@@ -76,8 +81,8 @@ def test_election_invariants(spark):
     states = [(p, rng.choice(nodes), nodes, rng.sample(nodes, rng.randrange(6)), {n: rng.randrange(9) for n in nodes}) for p in range(1000)]
     a = spark.createDataFrame(states, "partition_id int, leader_id string, replicas array<string>, isr array<string>, replica_offsets map<string,long>")
     got = {r.partition_id: r.new_leader for r in cluster.failover(a, spark.createDataFrame([(n,) for n in alive], "node_id string")).collect()}
-    for p, _, _, isr, at in states:
-        pool = [n for n in isr if n in alive] or sorted(alive)
+    for p, old, _, isr, at in states:
+        pool = [n for n in isr if n in alive and n != old] or [n for n in alive if n != old]
         assert got[p] == min(pool, key=lambda n: (-at[n], n))
 
 
@@ -165,8 +170,6 @@ def test_wal_stops_at_damage():
 
 
 def test_files_round_trip(spark, sf_dir, tmp_path):
-    from timelog.sources import files
-
     log = L.event_log(spark, sf_dir)
     files.write_log(log, f"{tmp_path}/log")
     back = files.read_log(spark, f"{tmp_path}/log")
@@ -180,7 +183,154 @@ def test_files_round_trip(spark, sf_dir, tmp_path):
 
 
 def test_split_keeps_source(spark):
-    rows = [(0, n, f"m{n}", {"partition_key": k}) for n, k in enumerate(["apple", "banana", "cherry", "apple"])]
+    keys = ["k4", "k1", "k9", "k6", "k9", "", "k7"]
+    rows = [(3, n, f"row{n}", {"partition_key": k}) for n, k in enumerate(keys)] + [(4, 0, "other", {"partition_key": "k9"})]
     log = spark.createDataFrame(rows, "partition_id int, offset long, message_id string, meta map<string,string>")
-    got = lifecycle.split(log, 0, 0, "banana", 7).orderBy("offset").collect()
-    assert [(r.message_id, r.offset, r.partition_id) for r in got] == [("m1", 0, 7), ("m2", 1, 7)]
+    got = lifecycle.split(log, 3, 1, "k6", 8).orderBy("offset").collect()
+    # An empty key stands for the message id, which sorts after k6.
+    assert [(r.message_id, r.source_offset, r.offset, r.partition_id) for r in got] == [(f"row{n}", n, k, 8) for k, n in enumerate([2, 3, 4, 5, 6])]
+
+
+def plain_fetch(sizes, start, budget):
+    """Batches as a loop of reads sends them: [(offsets, has_more)]."""
+    out, at, sent = [], start, 0
+    while sent < budget:
+        got = [o for o in range(at, at + 101) if o < len(sizes)]
+        if not got:
+            break
+        sent += sum(sizes[o] for o in got)
+        out.append((got, sent < budget and at + 100 < len(sizes)))
+        at += len(got)
+    return out
+
+
+@pytest.mark.parametrize("n, start, budget", [(350, 7, 900), (350, 0, 10_000), (303, 0, 10_000), (202, 0, 1), (90, 95, 50), (250, 149, 700)])
+def test_fetch_batches(spark, n, start, budget):
+    rng = random.Random(n)
+    sizes = [rng.randrange(1, 9) for _ in range(n)]
+    log = spark.createDataFrame([(2, o, b"x" * size) for o, size in enumerate(sizes)] + [(1, 0, b"yy")], "partition_id int, offset long, payload binary")
+    got = {}
+    for r in L.fetch(log, 2, start, budget).collect():
+        got.setdefault((r.batch, r.has_more), []).append(r.offset)
+    assert sorted((b, sorted(o), m) for (b, m), o in got.items()) == [(b, o, m) for b, (o, m) in enumerate(plain_fetch(sizes, start, budget))]
+
+
+def test_batch_checksum_bytes(spark):
+    import struct
+    import zlib
+
+    rows = [(5, 2, None, b"one"), (6, 2, 0, b""), (7, 3, 99, b"three")]
+    df = spark.createDataFrame(rows, "offset long, term long, checksum long, payload binary")
+    got = df.agg(F.array_sort(F.collect_list(F.struct("offset", "term", "checksum", "payload"))).alias("rows")).select(X.batch_checksum(F.col("rows")).alias("c")).first().c
+    data = b"".join(struct.pack(">QQI", o, t, c or zlib.crc32(p)) + p for o, t, c, p in rows)
+    assert got == zlib.crc32(data)
+
+
+def test_segments_overshoot(spark):
+    """A segment ends after the row that fills it, however far that row overshoots, and the next one starts from nothing."""
+    rows = [(0, n, size) for n, size in enumerate([60, 60, 250, 10, 90, 5, 100, 1])]
+    df = spark.createDataFrame(rows, "partition_id int, offset long, size long")
+    assert [r.segment_id for r in folds.segment_rotation(df, 100).orderBy("offset").collect()] == [0, 0, 1, 2, 2, 3, 3, 4]
+
+
+def test_compaction_by_consumers(spark):
+    segs = spark.createDataFrame([(p, k, 100 * k, 100 * k + 99, 1, 1, 1, 10) for p in range(4) for k in range(3)], "partition_id int, segment_id long, first_offset long, last_offset long, created_ts long, newest_ts long, last_ts long, size long")
+    marks = spark.createDataFrame([(p, 299) for p in range(4)], "partition_id int, hwm long")
+    consumed = spark.createDataFrame([("a", 0, 250), ("b", 0, 150), ("a", 1, 0), ("b", 1, 250), ("a", 2, 299)], "group_id string, partition_id int, committed long")
+    gone = lifecycle.compacted_by_consumers(segs, consumed, marks)
+    assert [(r.partition_id, r.segment_id) for r in gone.collect()] == [(0, 0)]
+    log = spark.createDataFrame([(0, 5), (0, 99), (0, 100), (1, 5)], "partition_id int, offset long")
+    assert sorted((r.partition_id, r.offset) for r in lifecycle.without_segments(log, gone).collect()) == [(0, 100), (1, 5)]
+
+
+def test_stored_log_is_pruned(spark, sf_dir):
+    """Scans of the stored log read one partition's files and push offset and time bounds to the row groups; the log is written once."""
+    log = L.event_log(spark, sf_dir)
+    assert set(log.inputFiles()) == set(L.event_log(spark, sf_dir).inputFiles())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = plan(L.point(log, 1, 17).select("message_id"))
+    assert "PartitionFilters: [isnotnull(partition_id" in found and "(partition_id" in found and "EqualTo(offset,17)" in found and "Exchange" not in found
+    found = plan(L.time_range(log, 10, 20, 3).select("offset"))
+    assert "GreaterThanOrEqual(schedule_ts,10)" in found and "LessThanOrEqual(schedule_ts,20)" in found and "payload" not in found
+    fresh = L.assign_offsets(L.from_events(spark, sf_dir))
+    keep = lambda df: sorted((r.message_id, r.partition_id, r.offset) for r in df.collect())
+    assert keep(log) == keep(fresh)
+
+
+def test_bloom_sizes_and_positions(spark):
+    assert bloom.sizing(1, 0.5) == (1024, 5) and bloom.sizing(1000, 0.01) == (10048, 7) and bloom.sizing(1000, 0.0001) == (15040, 7)
+
+    def fnv(data, h=14695981039346656037):
+        for byte in data:
+            h = (h ^ byte) * 1099511628211 % 2**64
+        return h
+
+    salted = (14695981039346656037 ^ 0xABCDEF) * 1099511628211 % 2**64
+    keys = ["", "a", "schlüssel", "x" * 40]
+    got = [r.at for r in spark.createDataFrame([(k,) for k in keys], "k string").select(bloom.positions(F.col("k"), 10048, 7).alias("at")).collect()]
+    assert got == [[(fnv(k.encode()) + i * fnv(k.encode(), salted)) % 2**64 % 10048 for i in range(7)] for k in keys]
+
+
+def test_timers_over_several_batches(spark, tmp_path):
+    """Late rows fire at once, cancels stop what is not due, an epoch run twice counts once, and the rest stays pending."""
+    wheel = jobs.Timers(spark, str(tmp_path)).start()
+    make = lambda rows: spark.createDataFrame(rows, wheel.ROW)
+    first = make([("a", 50, 10, "set"), ("b", 15, 12, "set"), ("c", 90, 20, "set"), ("d", 500, 20, "set")])
+    wheel.epoch(first, 0)
+    assert {r.id for r in wheel.fired().collect()} == {"b"}
+    wheel.epoch(make([("late", 3, 2, "set"), ("c", None, 60, "cancel"), ("a", None, 60, "cancel"), ("e", 70, 60, "set")]), 1)
+    wheel.epoch(make([("late", 3, 2, "set"), ("c", None, 60, "cancel"), ("a", None, 60, "cancel"), ("e", 70, 60, "set")]), 1)
+    # The cancel of a came after it was due.
+    assert sorted(r.id for r in wheel.fired().collect()) == ["a", "b", "late"]
+    wheel.epoch(make([("f", 1000, 100, "set")]), 2)
+    assert sorted(r.id for r in wheel.fired().collect()) == ["a", "b", "e", "late"]
+    assert sorted(r.id for r in wheel.pending().collect()) == ["d", "f"]
+
+
+def test_audit_policy_snapshots(spark, tmp_path):
+    """Side tables that have no query of their own: written, read, and filtered as their rules say."""
+    audit = spark.createDataFrame([("2024-01-01", "publish", "u", "t", "ok", None, None, "r1")], S.AUDIT)
+    files.write_audit(audit, f"{tmp_path}/audit")
+    assert files.read_audit(spark, f"{tmp_path}/audit").first().request_id == "r1"
+    (tmp_path / "policy.json").write_text('{"subject": "u", "grants": [{"topic": "*", "actions": ["publish"]}, {"topic": "t", "actions": ["read"]}]}\n')
+    assert sorted((r.topic, r.actions) for r in files.read_policy(spark, f"{tmp_path}/policy.json").collect()) == [("*", ["publish"]), ("t", ["read"])]
+    log = spark.createDataFrame([(0, 4), (0, 9), (1, 2)], "partition_id int, offset long")
+    snaps = files.snapshot(log, spark.createDataFrame([("g", 0, 3)], "group_id string, partition_id int, committed long"))
+    snaps.unionByName(snaps.withColumn("version", F.lit(9))).write.json(f"{tmp_path}/snaps")
+    got = {r.partition_id: (r.high_watermark, r.group_offsets) for r in files.read_snapshots(spark, f"{tmp_path}/snaps").collect()}
+    assert got == {0: (9, {"g": 3}), 1: (2, None)}
+    tx = spark.createDataFrame([("t1", "committed", [0], 1, 2)], S.TX_RECORD)
+    tx.write.json(f"{tmp_path}/tx")
+    assert files.read_transactions(spark, f"{tmp_path}/tx").first().status == "committed"
+    usage = files.disk_usage(spark, f"{tmp_path}/tx").first()
+    assert usage.files >= 1 and usage.bytes > 0
+    names = spark.createDataFrame([("/d/0a.log",), ("/d/raft/1.log",), ("/d/snapshots/2.wal",), ("/d/x.txt",)], "path string")
+    assert [r.path for r in files.wal_files(names).collect()] == ["/d/0a.log"]
+
+
+def test_webhook_and_fan_out(spark):
+    """A feed goes to every sink; a receiver that refuses fails the batch."""
+    import http.server
+    import threading
+
+    seen = []
+
+    class Receiver(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200 if self.path == "/ok" else 500)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Receiver)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    rows = spark.createDataFrame([('{"n": 1}',), ('{"n": 2}',)], "value string").coalesce(1)
+    taken = []
+    files.fan_out_sinks(files.webhook(f"{base}/ok"), lambda batch, epoch: taken.append((epoch, batch.count())))(rows, 4)
+    assert seen == [[{"n": 1}, {"n": 2}]] and taken == [(4, 2)]
+    with pytest.raises(Exception, match="did not take|Job aborted|refus"):
+        files.webhook(f"{base}/no", attempts=1)(rows, 5)
+    server.shutdown()

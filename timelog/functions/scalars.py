@@ -20,12 +20,12 @@ def byte_values(data: Column) -> Column:
     return F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
 
 
-def fnv1a64(data: Column, finish: Callable[[Column], Column] | None = None) -> Column:
+def fnv1a64(data: Column, finish: Callable[[Column], Column] | None = None, start: tuple[int, int] = (FNV_BASIS_HIGH, FNV_BASIS_LOW)) -> Column:
     """struct(hi, lo): FNV-1a of the bytes as two unsigned 32-bit halves, so that nothing overflows a long.
 
     `finish` maps the struct inside the fold, so that the bytes are folded once.
     """
-    start = F.struct(F.lit(FNV_BASIS_HIGH).alias("hi"), F.lit(FNV_BASIS_LOW).cast("long").alias("lo"))
+    start = F.struct(F.lit(start[0]).cast("long").alias("hi"), F.lit(start[1]).cast("long").alias("lo"))
 
     def step(state: Column, byte: Column) -> Column:
         x = state["lo"].bitwiseXOR(byte)
@@ -46,8 +46,8 @@ def fnv_hex(data: Column) -> Column:
 
 
 def partition_of(key: Column, n: int) -> Column:
-    """Unsigned FNV-1a of the key modulo n; 0 if n is not positive."""
-    return (fnv_mod(key, n) if n > 0 else F.lit(0)).cast("int")
+    """Unsigned FNV-1a of the key modulo n; 0 if n is not positive. Never null, so that no plan hashes once more to test for that."""
+    return F.coalesce((fnv_mod(key, n) if n > 0 else F.lit(0)).cast("int"), F.lit(0))
 
 
 def partition_key(meta: Column, message_id: Column) -> Column:
@@ -58,6 +58,17 @@ def checksum(payload: Column) -> Column:
     return F.crc32(payload)
 
 
+def batch_checksum(rows: Column) -> Column:
+    """CRC32 over an array of structs (offset, term, checksum, payload): of each, 8, 8 and 4 bytes, the highest first, then the payload. A checksum of 0 or null stands for the payload's own."""
+
+    def part(r: Column) -> Column:
+        crc = F.when(F.coalesce(r["checksum"], F.lit(0)) == 0, checksum(r["payload"])).otherwise(r["checksum"])
+        head = F.concat(F.lpad(F.hex(r["offset"]), 16, "0"), F.lpad(F.hex(r["term"]), 16, "0"), F.lpad(F.hex(crc), 8, "0"))
+        return F.concat(F.unhex(head), r["payload"])
+
+    return F.crc32(F.aggregate(rows, F.lit(b""), lambda all_, r: F.concat(all_, part(r))))
+
+
 def sha1_hex(data: Column) -> Column:
     return F.sha1(data.cast("binary"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,42 +17,55 @@ def ring(spark: SparkSession, nodes: DataFrame, virtual: int = 50) -> DataFrame:
     return points.select(X.ring_position(F.concat_ws("#", "node_id", F.col("v").cast("string"))).alias("pos"), "node_id", "rack")
 
 
-def owners(keys: DataFrame, points: DataFrame, key: str = "key", buckets: int = 256) -> DataFrame:
-    """The node of the first ring point at or after each key's position, round the ring.
+def _located(keys: DataFrame, points: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """Adds point: the first ring point (a struct of all columns of `points`) at or after each key's position, round the ring.
 
     Positions are spread over buckets of the leading byte; a key meets its
     bucket's points and the first point after the bucket, an equi-join instead
     of a theta join.
     """
     bucket = lambda pos: F.conv(F.substring(pos, 1, 2), 16, 10).cast("int")
-    pts = points.withColumn("b", bucket(F.col("pos")))
+    each = F.struct("pos", *(c for c in points.columns if c != "pos"))
     # Per bucket: its points in order, and the first point of any later bucket, else the ring's first.
-    by_bucket = pts.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("own"))
+    by_bucket = points.withColumn("b", bucket(F.col("pos"))).groupBy("b").agg(F.array_sort(F.collect_list(each)).alias("own"))
     later = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
     all_buckets = points.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(by_bucket, "b", "left")
     first = F.get("own", F.lit(0))
     table = all_buckets.select("b", "own", F.coalesce(F.min(first).over(later), F.min(first).over(Window.partitionBy())).alias("next"))
     h = keys.withColumn("h", X.ring_position(F.col(key))).withColumn("b", bucket(F.col("h"))).join(table, "b")
-    hit = F.coalesce(F.get(F.filter(F.coalesce("own", F.array().cast("array<struct<pos:string,node_id:string>>")), lambda p: p["pos"] >= F.col("h")), F.lit(0)), F.col("next"))
-    return h.withColumn("owner", hit["node_id"]).drop("h", "b", "own", "next")
+    own = F.get(F.filter("own", lambda p: p["pos"] >= F.col("h")), F.lit(0))
+    return h.withColumn("point", F.coalesce(own, F.col("next"))).drop("h", "b", "own", "next")
+
+
+def owners(keys: DataFrame, points: DataFrame, key: str = "key") -> DataFrame:
+    """Adds owner: the node of the first ring point at or after each key's position."""
+    return _located(keys, points.select("pos", "node_id"), key).withColumn("owner", F.col("point.node_id")).drop("point")
 
 
 def replicas(keys: DataFrame, points: DataFrame, n: int, key: str = "key") -> DataFrame:
-    """`n` distinct nodes clockwise from each key, one per rack while enough nodes are left; the ring, bounded by nodes, is one array."""
-    circle = points.agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "rack"))).alias("ring"), F.count_distinct("node_id").alias("nodes"))
-    h = keys.withColumn("h", X.ring_position(F.col(key))).crossJoin(F.broadcast(circle)).withColumn("want", F.least(F.lit(n), F.col("nodes")))
-    turned = F.concat(F.filter("ring", lambda p: p["pos"] >= F.col("h")), F.filter("ring", lambda p: p["pos"] < F.col("h")))
-    start = F.struct(F.array().cast("array<string>").alias("ids"), F.array().cast("array<string>").alias("racks"))
+    """Adds replicas: `n` distinct nodes clockwise from each key, one per rack if there are more than `n` nodes.
 
-    def step(acc, p):
-        ids, racks = acc["ids"], acc["racks"]
-        rackless = F.coalesce(p["rack"], F.lit("")) == ""
-        spare = F.col("nodes") - F.size(ids) > F.col("want") - F.size(ids)
-        skip = (F.size(ids) >= F.col("want")) | F.array_contains(ids, p["node_id"]) | (~rackless & F.array_contains(racks, p["rack"]) & spare)
-        new = F.struct(F.concat(ids, F.array(p["node_id"])).alias("ids"), F.when(rackless, racks).otherwise(F.concat(racks, F.array(p["rack"]))).alias("racks"))
-        return F.when(skip, acc).otherwise(new)
+    The walk is done once from each ring point, not from each key: points are 50
+    for each node of the cluster, and keys look their point up.
+    """
 
-    return h.withColumn("replicas", F.aggregate(turned, start, step)["ids"]).drop("h", "ring", "nodes", "want")
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ring = pd.concat([pd.DataFrame({"pos": [], "node_id": [], "rack": []}), *frames]).sort_values("pos")
+        spots = list(zip(ring["node_id"], ring["rack"]))
+        want, spare, out = min(n, len(set(ring["node_id"]))), len(set(ring["node_id"])) > n, []
+        for at in range(len(spots)):
+            ids, racks = [], set()
+            for node, rack in (spots[(at + k) % len(spots)] for k in range(len(spots))):
+                if node not in ids and not (spare and rack and rack in racks):
+                    ids.append(node)
+                    racks.add(rack)
+                    if len(ids) == want:
+                        break
+            out.append(ids)
+        yield pd.DataFrame({"pos": ring["pos"], "replicas": out})
+
+    walked = points.select("pos", "node_id", "rack").repartition(1).mapInPandas(walk, "pos string, replicas array<string>")
+    return _located(keys, walked, key).withColumn("replicas", F.col("point.replicas")).drop("point")
 
 
 def assignment_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -67,8 +83,9 @@ def assignment_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def failover(assignments: DataFrame, alive: DataFrame) -> DataFrame:
-    """New leader: among live in-sync replicas, else live replicas, the greatest offset, then the least id; null if none lives."""
-    spread = assignments.select("partition_id", F.explode("replicas").alias("node_id"), "isr", "replica_offsets")
+    """New leader: among live in-sync replicas other than the old leader, else such replicas, the greatest offset, then the least id; null if none lives."""
+    spread = assignments.select("partition_id", "leader_id", F.explode("replicas").alias("node_id"), "isr", "replica_offsets")
+    spread = spread.where(~F.col("node_id").eqNullSafe(F.col("leader_id")))
     live = spread.join(alive.select("node_id"), "node_id", "left_semi")
     rank = F.struct(F.array_contains("isr", F.col("node_id")).cast("int").alias("in_sync"), F.coalesce(F.col("replica_offsets")[F.col("node_id")], F.lit(0)).alias("at"))
     best = live.groupBy("partition_id").agg(F.max(rank).alias("best"))

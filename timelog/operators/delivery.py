@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timelog import schema as S
 from timelog.functions import scalars as X
 
 
@@ -22,6 +23,28 @@ def live_dead_letters(entries: DataFrame) -> DataFrame:
     return entries.where("not tombstone").join(gone, "delivery_id", "left_anti")
 
 
+def append_dead_letters(entries: DataFrame, path: str) -> None:
+    """Append failed deliveries to the log of dead letters at `path`."""
+    given = {c: F.col(c) for c in entries.columns}
+    cols = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.DLQ_ENTRY if f.name != "tombstone"]
+    entries.select(*cols, F.lit(False).alias("tombstone")).write.mode("append").json(path)
+
+
+def append_tombstones(gone: DataFrame, path: str) -> None:
+    """Mark deliveries (delivery_id, failed_at: when they went) as retried or removed; their entries stay in the log until it is compacted."""
+    append = gone.select("delivery_id", "failed_at", F.lit(True).alias("tombstone"))
+    append.write.mode("append").json(path)
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(S.DLQ_ENTRY).json(path)
+
+
+def compact_dead_letters(spark: SparkSession, path: str, to: str) -> None:
+    """Write the live entries of a log to a new folder, which then takes the old one's place."""
+    live_dead_letters(read_dead_letters(spark, path)).write.mode("overwrite").json(to)
+
+
 def dead_letter_stats(live: DataFrame, now: int) -> DataFrame:
     return live.agg(F.count("*").alias("n"), (now - F.min("failed_at")).alias("oldest_ms"), (now - F.max("failed_at")).alias("newest_ms"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+GROUP = "group_id string, topic string, partitions array<int>, committed_offsets map<string,long>, member_offsets map<string,long>"
+
 
 def high_watermarks(log: DataFrame, partitions: DataFrame | None = None) -> DataFrame:
     """hwm, last_offset, next_offset by partition. With a table of all partitions, empty ones are there too: 0, -1, 0."""
@@ -58,5 +60,18 @@ def group_stats(groups: DataFrame, members: DataFrame) -> DataFrame:
     return groups.join(n, "group_id", "left").agg(F.count("*").alias("groups"), F.count_if(F.coalesce("n", F.lit(0)) > 0).alias("active_groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
 
 
+def write_groups(groups: DataFrame, path: str) -> None:
+    """Group metadata as JSON lines; maps that are empty are left out, as stores that write them do."""
+    groups.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Group metadata with empty maps in place of those that are left out; lines that are no JSON are skipped."""
+    rows = spark.read.schema(f"{GROUP}, __bad string").option("columnNameOfCorruptRecord", "__bad").json(path)
+    rows = rows.where("__bad is null and group_id is not null")
+    none = F.create_map().cast("map<string,long>")
+    return rows.select("group_id", "topic", "partitions", *(F.coalesce(c, none).alias(c) for c in ("committed_offsets", "member_offsets")))
+
+
 def listing(groups: DataFrame) -> DataFrame:
     return groups.select("topic", "group_id").distinct().orderBy("topic", "group_id")

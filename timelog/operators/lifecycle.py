@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelog.functions.running import with_rank, with_running
@@ -16,17 +16,12 @@ def segments(log: DataFrame, rows: int = 100) -> DataFrame:
         F.max("offset").alias("last_offset"),
         F.min("schedule_ts").alias("created_ts"),
         F.max("schedule_ts").alias("newest_ts"),
+        F.max_by("schedule_ts", "offset").alias("last_ts"),
         F.sum(F.length("payload")).alias("size"),
         F.count("*").alias("events"),
     )
 
 
-def rotated(log: DataFrame, size: Column, limit: int) -> DataFrame:
-    """Adds segment_id by the bytes before each row. Exact where a segment may end within a row of `limit`."""
-    out = with_running(log, ["partition_id"], "offset", [], {"upto": size.cast("long")})
-    return out.withColumn("segment_id", F.floor((F.col("upto") - size) / limit).cast("long"))
-
-
 def active(segs: DataFrame) -> DataFrame:
     """Adds active: the segment with the greatest first_offset of its partition."""
     top = segs.groupBy("partition_id").agg(F.max("first_offset").alias("__top"))
@@ -44,11 +39,21 @@ def expired_by_age(segs: DataFrame, now: int, max_age_ms: int) -> DataFrame:
 
 def expired_by_size(segs: DataFrame, max_bytes: int) -> DataFrame:
     """The oldest closed segments that must go until the total is at most max_bytes."""
-    closed = active(segs)
-    total = F.sum("size").over(Window.partitionBy())
-    older = Window.orderBy("created_ts", "first_offset", "partition_id").rowsBetween(Window.unboundedPreceding, -1)
-    out = closed.withColumn("total", total).where("not active").withColumn("before", F.coalesce(F.sum("size").over(older), F.lit(0)))
-    return out.where(F.col("total") - F.col("before") > max_bytes).drop("active", "total", "before")
+    closed = active(segs).where("not active").drop("active")
+    out = with_running(closed, [], "created_ts", ["first_offset", "partition_id"], {"upto": F.col("size")})
+    total = segs.agg(F.sum("size")).scalar()
+    return out.where(total - (F.col("upto") - F.col("size")) > max_bytes).drop("upto")
+
+
+def compacted_by_offset(segs: DataFrame, up_to: int) -> DataFrame:
+    """Closed segments that end before an offset; one that holds only offset 0 stays."""
+    return active(segs).where(~F.col("active") & (F.col("last_offset") > 0) & (F.col("last_offset") < up_to)).drop("active")
+
+
+def compacted_by_time(segs: DataFrame, up_to: int) -> DataFrame:
+    """Closed segments whose last event is scheduled before a time; a time of 0 counts as unknown and stays."""
+    last = active(segs)
+    return last.where(~F.col("active") & (F.col("last_ts") > 0) & (F.col("last_ts") < up_to)).drop("active")
 
 
 def compactable(segs: DataFrame, min_consumed: DataFrame) -> DataFrame:
@@ -57,6 +62,20 @@ def compactable(segs: DataFrame, min_consumed: DataFrame) -> DataFrame:
     return out.where(~F.col("active") & (F.col("last_offset") > 0) & (F.col("last_offset") < F.col("min_consumed"))).drop("active")
 
 
+def compacted_by_consumers(segs: DataFrame, consumed: DataFrame, marks: DataFrame) -> DataFrame:
+    """Closed segments before the least offset that a consumer of the partition has reached; nothing where none has moved, where one is at the end, and without consumers."""
+    least = consumed.groupBy("partition_id").agg(F.min("committed").alias("least")).join(marks.select("partition_id", "hwm"), "partition_id")
+    least = least.where((F.col("least") > 0) & (F.col("least") < F.col("hwm"))).select("partition_id", F.col("least").alias("min_consumed"))
+    return compactable(segs, least)
+
+
+def without_segments(log: DataFrame, gone: DataFrame) -> DataFrame:
+    """The log without the offsets of the segments in `gone`: what a retention or compaction job writes back."""
+    ranges = gone.groupBy("partition_id").agg(F.array_sort(F.collect_list(F.struct("first_offset", "last_offset"))).alias("__gone"))
+    inside = F.exists("__gone", lambda r: F.col("offset").between(r["first_offset"], r["last_offset"]))
+    return log.join(ranges, "partition_id", "left").where(F.col("__gone").isNull() | ~inside).drop("__gone")
+
+
 def split(log: DataFrame, partition: int, from_offset: int, split_key: str, new_partition: int) -> DataFrame:
     """The rows that a new partition gets, with offsets of its own; the source keeps its rows."""
     key = partition_key(F.col("meta"), F.col("message_id"))

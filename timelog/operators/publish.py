@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timelog.functions.running import with_highest_before
@@ -51,6 +51,22 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def summary_of_batch(rows: DataFrame) -> DataFrame:
+    """As `summary` of a batch that a new log gets, straight from the validated rows: offsets are dense from 0, so counts give their range."""
+    bad = F.col("reject_reason").isNotNull()
+    # A message_id is one row here; what failed a rule is counted by partition.
+    ids = rows.groupBy("partition_id", F.when(~bad, F.col("message_id")).alias("id"), bad.alias("bad")).agg(F.count("*").alias("n"))
+    by = ids.groupBy("partition_id").agg(F.count_if(~F.col("bad")).alias("kept"), F.sum(F.when(~F.col("bad"), F.col("n") - 1)).alias("again"), F.sum(F.when(F.col("bad"), F.col("n"))).alias("errors"))
+    zero = F.lit(0).cast("long")
+    return by.agg(
+        F.coalesce(F.sum("kept"), zero).alias("published"),
+        F.coalesce(F.sum("again"), zero).alias("duplicates"),
+        F.coalesce(F.sum("errors"), zero).alias("errors"),
+        F.when(F.max("kept") > 0, 0).otherwise(-1).cast("long").alias("min_offset"),
+        F.coalesce(F.max("kept") - 1, F.lit(-1)).cast("long").alias("max_offset"),
+    )
+
+
 def accept_newer(rows: DataFrame, order: str = "arrival") -> DataFrame:
     """Last-write-wins log: a row is kept if its created_ts is above all earlier arrivals of its message_id."""
     out = with_highest_before(rows, ["message_id"], order, "created_ts", "stored_ts")
@@ -117,12 +133,17 @@ def writable(rows: DataFrame, assignments: DataFrame, node: str) -> DataFrame:
     return rows.join(a, "partition_id", "left").withColumn("fence", fence).drop("leader_id", "epoch", "local_epoch", "splitting", "replicas")
 
 
+def tenants(limits: DataFrame, usage: DataFrame) -> DataFrame:
+    """Every tenant with limits or usage, once."""
+    return limits.select("tenant").unionByName(usage.select("tenant")).distinct()
+
+
 def newest_n(rows: DataFrame, order: str, n: int) -> DataFrame:
     """The n rows last in order, as a bounded log or LRU keeps them."""
     return rows.orderBy(F.desc(order)).limit(n)
 
 
 def running_checkpoint(saves: DataFrame) -> DataFrame:
-    """A checkpoint after each save: it only moves forward."""
-    w = Window.partitionBy("consumer").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return saves.withColumn("checkpoint", F.max("offset").over(w))
+    """A checkpoint after each save of a consumer, by seq: it only moves forward."""
+    out = with_highest_before(saves, ["consumer"], "seq", "offset", "checkpoint")
+    return out.withColumn("checkpoint", F.greatest("checkpoint", "offset"))

@@ -45,6 +45,26 @@ def wheel(log: DataFrame, now: int, tick: int = 10, size: int = 512, levels: int
     return out.withColumn("slot", X.wheel_slot(delay, F.col("level"), tick, size, levels))
 
 
+def recovered(log: DataFrame, checkpoints: DataFrame, now: int) -> DataFrame:
+    """Timers to set again after a crash: rows past each partition's last scheduled offset (all rows without a checkpoint), and whether they are ready or still to wait."""
+    last = checkpoints.select("partition_id", F.col("last_scheduled").alias("__last"))
+    rows = log.join(last, "partition_id", "left").where(F.col("offset") > F.coalesce("__last", F.lit(-1))).drop("__last")
+    return rows.withColumn("route", F.when(F.col("schedule_ts") <= now, "ready").otherwise("timer"))
+
+
+def health(log: DataFrame, segs: DataFrame, now: int, hot_ms: int = HOT_MS, errors: DataFrame | None = None) -> DataFrame:
+    """Per partition: high watermark, segments, timers in the wheel, ready events, cold entries, and whether its replay failed and why."""
+    tiers = maturity(log, now, hot_ms)
+    count = lambda name: F.count_if(F.col("tier") == name)
+    out = tiers.groupBy("partition_id").agg(F.max("offset").alias("high_watermark"), count("hot").alias("active_timers"), count("due").alias("ready_events"), count("cold").alias("cold_entries"))
+    out = out.join(segs.groupBy("partition_id").agg(F.count("*").alias("segments")), "partition_id", "left")
+    if errors is not None:
+        out = out.join(errors.select("partition_id", F.col("error").alias("last_error")), "partition_id", "left")
+    else:
+        out = out.withColumn("last_error", F.lit(None).cast("string"))
+    return out.withColumn("replay_error", F.col("last_error").isNotNull())
+
+
 def batches(log: DataFrame, size: int = 100) -> DataFrame:
     """Delivery batches of `size` events per partition, in order of offset (dense)."""
     return log.withColumn("batch_id", F.floor(F.col("offset") / size).cast("long"))

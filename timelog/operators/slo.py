@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timelog.functions.running import with_running
 from timelog.functions.scalars import latency_bound, latency_bucket
 
 
@@ -40,11 +41,11 @@ def compliance(obs: DataFrame, keys: list[str], target_p99_us: int, max_error_ra
 def exact_percentiles(obs: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99)) -> DataFrame:
     """sorted[floor((n - 1) * p / 100)] with minimum, maximum and mean, from counts of equal values."""
     counts = obs.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    up = Window.partitionBy(*keys).orderBy(value)
-    counts = counts.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy(*keys)))
+    upto = with_running(counts, keys, value, [], {"upto": F.col("n")}, block=1 << 12)
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     at = lambda p: F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * p / 100), F.col(value)))
     mean = F.round(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 6)
-    return counts.groupBy(*keys).agg(*(at(p).alias(f"p{p}") for p in percents), F.min(value).alias("least"), F.max(value).alias("most"), mean.alias("mean"))
+    return upto.join(totals, keys).groupBy(*keys).agg(*(at(p).alias(f"p{p}") for p in percents), F.min(value).alias("least"), F.max(value).alias("most"), mean.alias("mean"))
 
 
 def windowed(obs: DataFrame, time: str, width: str, keys: list[str]) -> DataFrame:

@@ -48,7 +48,7 @@ def quorum_check(spark, d):
 
 @query(
     "failover_leader",
-    _ASSIGN + ", k AS (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY in_sync DESC, at_offset DESC, node_id) AS n FROM r WHERE node_id <> 'node-1') SELECT partition_id, node_id AS new_leader FROM k WHERE n = 1",
+    _ASSIGN + ", k AS (SELECT *, row_number() OVER (PARTITION BY partition_id ORDER BY in_sync DESC, at_offset DESC, node_id) AS n FROM r WHERE node_id <> 'node-1' AND node_id <> leader_id) SELECT partition_id, node_id AS new_leader FROM k WHERE n = 1",
 )
 def failover_leader(spark, d):
     return C.failover(_assignments(spark, d)[1], _alive(spark))
@@ -79,7 +79,7 @@ def cluster_topology(spark, d):
     return C.topology(_assignments(spark, d)[1], _nodes(spark)).select("partition_id", "leader_id", "leader_alive", "rack")
 
 
-@query("cluster_stats", "SELECT 3 AS nodes, 2 AS alive, count(*) AS partitions, count(DISTINCT partition_id % 3) AS leaders FROM marks")
+@query("cluster_stats", _ASSIGN + "SELECT count(DISTINCT node_id) AS nodes, count(DISTINCT node_id) FILTER (node_id <> 'node-1') AS alive, count(DISTINCT partition_id) AS partitions, count(DISTINCT leader_id) AS leaders FROM r")
 def cluster_stats(spark, d):
     return C.cluster_stats(_assignments(spark, d)[1], _nodes(spark))
 
@@ -102,13 +102,28 @@ def ring_owner(spark, d):
     return C.owners(keys, C.ring(spark, nodes)).select("key", "owner")
 
 
-@query("ring_replicas")
+_RING = """, nodes AS (SELECT 'node-' || i AS node_id, 'r' || (i % 3) AS rack FROM range(5) t(i)), pts AS (SELECT node_id, rack, substr(sha256(node_id || '#' || v), 1, 16) AS pos FROM nodes, range(50) t(v)),
+    ks AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS h FROM ev)"""
+
+
+# Three racks and five nodes: the first point of each rack from the key on is a replica.
+@query(
+    "ring_replicas",
+    _RING
+    + """, f AS (SELECT key, rack, min(CASE WHEN pos >= h THEN '0' ELSE '1' END || pos) AS turn FROM ks, pts GROUP BY key, rack)
+    SELECT key, string_agg(node_id, ',' ORDER BY turn) AS replicas FROM f JOIN pts ON pts.pos = substr(turn, 2) GROUP BY key""",
+)
 def ring_replicas(spark, d):
     nodes = spark.range(5).select(F.concat(F.lit("node-"), F.col("id").cast("string")).alias("node_id"), F.concat(F.lit("r"), (F.col("id") % 3).cast("string")).alias("rack"))
     keys = L.from_events(spark, d).select(F.col("meta")["partition_key"].alias("key")).distinct()
     return C.replicas(keys, C.ring(spark, nodes), 3).select("key", F.array_join("replicas", ",").alias("replicas"))
 
 
-@query("ring_distribution")
+@query(
+    "ring_distribution",
+    _RING
+    + """, f AS (SELECT key, min(CASE WHEN pos >= h THEN '0' ELSE '1' END || pos) AS turn FROM ks, pts GROUP BY key)
+    SELECT node_id AS owner, count(*) AS keys FROM f JOIN pts ON pts.pos = substr(turn, 2) GROUP BY node_id""",
+)
 def ring_distribution(spark, d):
     return ring_owner(spark, d).groupBy("owner").agg(F.count("*").alias("keys"))

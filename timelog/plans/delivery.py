@@ -1,13 +1,17 @@
 """Fan-out, delivery ids, dead letters, retries, feeds."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from timelog.functions import scalars as X
 from timelog.operators import delivery, folds
 from timelog.plans.registry import NOW, query
+from timelog.shared import shared_dir
 from timelog.sources import log as L
 
 
+
 def _subscriptions(log):
     """Group g(i) has i + 1 members on every partition."""
     g = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")
@@ -62,6 +66,17 @@ def dlq_stats(spark, d):
     return delivery.dead_letter_stats(delivery.live_dead_letters(_dead(spark, d)), NOW)
 
 
+@query("dlq_compacted", "SELECT 'd-' || arrival AS delivery_id, 'gone' AS last_error, attempts, schedule_ts AS failed_at FROM (SELECT *, CAST(arrival % 5 + 1 AS INTEGER) AS attempts FROM log) WHERE topic = 'error' AND arrival % 3 <> 0")
+def dlq_compacted(spark, d):
+    """A dead-letter log in files: entries and tombstones appended, then rewritten without what is gone."""
+    path = f"{shared_dir(spark)}/dead-{uuid.uuid4().hex}"
+    rows = _dead(spark, d).withColumn("last_error", F.lit("gone"))
+    delivery.append_dead_letters(rows.where("not tombstone"), path)
+    delivery.append_tombstones(rows.where("tombstone").select("delivery_id", "failed_at"), path)
+    delivery.compact_dead_letters(spark, path, f"{path}-new")
+    return delivery.read_dead_letters(spark, f"{path}-new").where("not tombstone").select("delivery_id", "last_error", "attempts", "failed_at")
+
+
 @query("dlq_newest", "SELECT 'd-' || arrival AS delivery_id, schedule_ts AS failed_at FROM log WHERE topic = 'error' AND arrival % 3 <> 0 ORDER BY schedule_ts DESC, arrival DESC LIMIT 50")
 def dlq_newest(spark, d):
     live = delivery.live_dead_letters(_dead(spark, d))
@@ -84,26 +99,67 @@ def expired_deliveries(spark, d):
 
 @query(
     "dispatcher_stats",
-    ', s AS (SELECT partition_id, count(*) AS used FROM log WHERE arrival % 97 = 0 GROUP BY 1) SELECT count(*) AS subscriptions, CAST(sum(used) AS BIGINT) AS credits_in_use, CAST(sum(greatest(100 - used, 0)) AS BIGINT) AS credits_available, count(*) FILTER (used > 15) AS open_breakers FROM s',
+    f""", s AS (SELECT partition_id, count(*) FILTER (schedule_ts <= {NOW} AND schedule_ts + 86400000 > {NOW}) AS used, count(*) FILTER (schedule_ts <= {NOW}) AS sent, count(*) FILTER (schedule_ts <= {NOW} AND topic = 'error') AS failed FROM log GROUP BY 1)
+    SELECT count(*) AS subscriptions, CAST(sum(used) AS BIGINT) AS credits_in_use, CAST(sum(greatest(100 - used, 0)) AS BIGINT) AS credits_available, count(*) FILTER (failed >= 0.2 * sent) AS open_breakers FROM s""",
 )
 def dispatcher_stats(spark, d):
-    s = L.event_log(spark, d).where("arrival % 97 = 0").groupBy("partition_id").agg(F.count("*").alias("in_use"))
-    return delivery.dispatcher_stats(s.select(F.lit(100).alias("credits"), "in_use", (F.col("in_use") > 15).alias("breaker_open")))
+    """Events of the last day are in flight; a breaker is open if a fifth of a partition's deliveries so far failed."""
+    due = F.col("schedule_ts") <= NOW
+    s = L.event_log(spark, d).groupBy("partition_id").agg(
+        F.count_if(due & (F.col("schedule_ts") + 86_400_000 > NOW)).alias("in_use"), F.count_if(due).alias("sent"), F.count_if(due & (F.col("topic") == "error")).alias("failed")
+    )
+    return delivery.dispatcher_stats(s.select(F.lit(100).alias("credits"), "in_use", (F.col("failed") >= F.col("sent") * 0.2).alias("breaker_open")))
 
 
-@query("credit_dispatch")
+@query(
+    "credit_dispatch",
+    """, t AS (SELECT partition_id, "offset", row_number() OVER (PARTITION BY partition_id ORDER BY "offset") AS k FROM log),
+    r AS (
+      SELECT partition_id, "offset", k, 0 AS pick, true AS sent, 9 AS a, 10 AS b, 10 AS c FROM t WHERE k = 1
+      UNION ALL
+      SELECT partition_id, "offset", k, coalesce(got, cur - 1), got IS NOT NULL, a - CASE WHEN got = 0 THEN 1 ELSE 0 END, b - CASE WHEN got = 1 THEN 1 ELSE 0 END, c - CASE WHEN got = 2 THEN 1 ELSE 0 END
+      FROM (SELECT *, list_filter([cur % 3, (cur + 1) % 3, (cur + 2) % 3], lambda m: [a, b, c][m + 1] > 0)[1] AS got
+            FROM (SELECT t.*, r.pick + 1 AS cur, least(10, r.a + g) AS a, least(10, r.b + g) AS b, least(10, r.c + g) AS c
+                  FROM r JOIN (SELECT *, CASE WHEN k % 4 = 0 THEN 1 ELSE 0 END AS g FROM t) t ON t.partition_id = r.partition_id AND t.k = r.k + 1))
+    ) SELECT 'g0' AS group_id, partition_id, "offset", CASE WHEN sent THEN 'm' || (pick % 3) END AS member FROM r""",
+)
 def credit_dispatch(spark, d):
     rows = L.event_log(spark, d).select(F.lit("g0").alias("group_id"), "partition_id", "offset")
     return folds.credit_dispatch(rows, ["m0", "m1", "m2"], 10, 4)
 
 
-@query("circuit_breaker")
+@query(
+    "circuit_breaker",
+    """, t AS (SELECT CAST(user_id AS VARCHAR) AS subscription, schedule_ts AS ts, arrival, topic <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY schedule_ts, arrival) AS k FROM ev),
+    b AS (
+      SELECT subscription, ts, arrival, ok, CAST(0 AS BIGINT) AS k, true AS tried, 'closed' AS state, 0 AS good, 0 AS bad, CAST(0 AS BIGINT) AS until FROM t WHERE k = 1
+      UNION ALL
+      SELECT subscription, ts, arrival, ok, k, was <> 'open', CASE WHEN was = 'open' THEN 'open' WHEN shut THEN 'closed' WHEN trips THEN 'open' ELSE was END,
+        CASE WHEN was = 'open' THEN good WHEN shut THEN 0 ELSE good + CASE WHEN ok THEN 1 ELSE 0 END END,
+        CASE WHEN was = 'open' THEN bad WHEN shut THEN 0 ELSE failed END, CASE WHEN was <> 'open' AND trips THEN ts + 30000 ELSE until END
+      FROM (SELECT *, ok AND was = 'half-open' AS shut, NOT ok AND (was = 'half-open' OR (good + failed >= 5 AND failed / (good + failed) >= 0.3)) AS trips
+            FROM (SELECT *, bad + CASE WHEN NOT ok AND was = 'closed' THEN 1 ELSE 0 END AS failed
+                  FROM (SELECT t.*, b.until, CASE WHEN b.state = 'open' AND t.ts >= b.until THEN 'half-open' ELSE b.state END AS was,
+                          CASE WHEN b.state = 'open' AND t.ts >= b.until THEN 0 ELSE b.good END AS good, CASE WHEN b.state = 'open' AND t.ts >= b.until THEN 0 ELSE b.bad END AS bad
+                        FROM b JOIN t ON t.subscription = b.subscription AND t.k = b.k + 1)))
+    ) SELECT subscription, ts, arrival, ok, tried, state FROM b WHERE k > 0""",
+)
 def circuit_breaker(spark, d):
     rows = L.from_events(spark, d).select(F.col("meta")["partition_key"].alias("subscription"), F.col("schedule_ts").alias("ts"), "arrival", (F.col("topic") != "error").alias("ok"))
     return folds.circuit_breaker(rows, threshold=0.3, min_attempts=5)
 
 
-@query("delivery_lifecycle")
+@query(
+    "delivery_lifecycle",
+    """, t AS (SELECT user_id || '-' || (arrival % 4) AS delivery_id, arrival, schedule_ts AS sent_at, topic = 'purchase' AS ok, latency_us // 10 AS delay, row_number() OVER (PARTITION BY user_id, arrival % 4 ORDER BY arrival) AS k FROM ev),
+    b AS (
+      SELECT delivery_id, CAST(0 AS BIGINT) AS k, 0 AS attempts, sent_at AS ended, 'none' AS outcome FROM t WHERE k = 1
+      UNION ALL
+      SELECT delivery_id, k, attempts, base + CASE WHEN outcome = 'retry' THEN attempts * 1000 ELSE 0 END, outcome
+      FROM (SELECT *, CASE WHEN ok AND delay <= 30000 THEN 'acked' WHEN attempts >= 5 THEN 'dead letter' ELSE 'retry' END AS outcome
+            FROM (SELECT t.delivery_id, t.k, t.ok, t.delay, b.attempts + 1 AS attempts, b.ended + least(t.delay, 30000) AS base FROM b JOIN t ON t.delivery_id = b.delivery_id AND t.k = b.k + 1 WHERE b.outcome IN ('none', 'retry')))
+    ) SELECT delivery_id, arg_max(outcome, k) AS outcome, CAST(max(attempts) AS INTEGER) AS attempts, arg_max(ended, k) AS ended FROM b WHERE k > 0 GROUP BY delivery_id""",
+)
 def delivery_lifecycle(spark, d):
     rows = L.from_events(spark, d).select(
         F.concat_ws("-", F.col("meta")["partition_key"], (F.col("arrival") % 4).cast("string")).alias("delivery_id"), F.col("arrival").alias("seq"), F.col("schedule_ts").alias("sent_at"),

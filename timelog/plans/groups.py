@@ -1,9 +1,13 @@
 """Consumer groups, watermarks and lag."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from timelog.operators import groups as G
+from timelog.operators import publish
 from timelog.plans.registry import query
+from timelog.shared import shared_dir
 from timelog.sources import log as L
 
 
@@ -62,6 +66,32 @@ def committed_offsets(spark, d):
     return G.committed_offsets(all_.where("group_id <> 'g2'"), pending, all_)
 
 
+@query("group_metadata", "SELECT group_id, CAST(count(*) AS INTEGER) AS n_partitions, CAST(sum(committed) FILTER (i > 0) AS BIGINT) AS committed, CAST(CASE WHEN min(i) = 0 THEN 0 ELSE count(*) END AS INTEGER) AS n_offsets FROM groups GROUP BY group_id")
+def group_metadata(spark, d):
+    """Groups written and loaded again; g0 has no committed offsets."""
+    all_ = commits(marks(spark, d))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("partition_id").cast("string").alias("k"), F.col("committed").alias("v"))))
+    rows = all_.groupBy("group_id").agg(F.array_sort(F.collect_list("partition_id")).alias("partitions"), F.map_from_entries(entries).alias("all"))
+    path = f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}"
+    G.write_groups(rows.select("group_id", F.lit("t").alias("topic"), "partitions", F.when(F.col("group_id") != "g0", F.col("all")).alias("committed_offsets")), path)
+    offsets = F.map_values("committed_offsets")
+    total = F.aggregate(offsets, F.lit(0).cast("long"), lambda a, x: a + x)
+    return G.read_groups(spark, path).select("group_id", F.size("partitions").alias("n_partitions"), F.when(F.size(offsets) > 0, total).alias("committed"), F.size(offsets).alias("n_offsets"))
+
+
+@query("running_checkpoint", ', s AS (SELECT topic AS consumer, arrival AS seq, "offset" * 7919 % 1000003 AS "offset" FROM log) SELECT consumer, seq, max("offset") OVER (PARTITION BY consumer ORDER BY seq) AS checkpoint FROM s')
+def running_checkpoint(spark, d):
+    saves = L.event_log(spark, d).select(F.col("topic").alias("consumer"), F.col("arrival").alias("seq"), (F.col("offset") * 7919 % 1000003).alias("offset"))
+    return publish.running_checkpoint(saves).select("consumer", "seq", "checkpoint")
+
+
+@query("remembered_commits", "SELECT user_id || ':' || (event_id % 7) AS commit_id, min(event_id) AS seq FROM ev GROUP BY 1 ORDER BY seq DESC LIMIT 200")
+def remembered_commits(spark, d):
+    """The commit ids that a bounded memory of 200 still knows."""
+    rows = L.from_events(spark, d).select(F.concat_ws(":", F.col("meta")["partition_key"], (F.col("arrival") % 7).cast("string")).alias("commit_id"), F.col("arrival").alias("seq"))
+    return publish.newest_n(publish.once_per_commit(rows), "seq", 200)
+
+
 @query("offset_upserts", "SELECT topic AS group_id, partition_id, arg_max(\"offset\", arrival) AS committed FROM log GROUP BY 1, 2")
 def offset_upserts(spark, d):
     return G.upsert_offsets(L.event_log(spark, d).select(F.col("topic").alias("group_id"), "partition_id", F.col("offset").alias("committed"), F.col("arrival").alias("seq")))

@@ -18,7 +18,7 @@ def _segs(spark, d):
 
 @query("segment_table", "SELECT partition_id, segment_id, first_offset, last_offset, created_ts, newest_ts, size, events FROM segs")
 def segment_table(spark, d):
-    return _segs(spark, d).withColumn("size", F.col("size").cast("long"))
+    return _segs(spark, d).withColumn("size", F.col("size").cast("long")).drop("last_ts")
 
 
 @query("segment_usage", "SELECT partition_id, count(*) AS segments, CAST(sum(size) AS BIGINT) AS bytes FROM segs GROUP BY partition_id")
@@ -77,6 +77,34 @@ def compaction_plan(spark, d):
     return O.compactable(O.segments(log), groups.min_consumed(commits(marks), marks)).select("partition_id", "segment_id", "last_offset")
 
 
+@query("compacted_by_offset", _ACTIVE + "SELECT partition_id, segment_id FROM act WHERE NOT active AND last_offset > 0 AND last_offset < 500")
+def compacted_by_offset(spark, d):
+    return O.compacted_by_offset(_segs(spark, d), 500).select("partition_id", "segment_id")
+
+
+@query(
+    "compacted_by_time",
+    _ACTIVE + f', l AS (SELECT partition_id, "offset" // 100 AS segment_id, arg_max(schedule_ts, "offset") AS last_ts FROM log GROUP BY 1, 2) SELECT partition_id, segment_id FROM act JOIN l USING (partition_id, segment_id) WHERE NOT active AND last_ts < {NOW} AND last_ts > 0',
+)
+def compacted_by_time(spark, d):
+    return O.compacted_by_time(_segs(spark, d), NOW).select("partition_id", "segment_id")
+
+
+@query(
+    "log_after_compaction",
+    _ACTIVE
+    + """, c AS (SELECT partition_id, min(committed) AS m, min(hwm) AS h FROM groups JOIN marks USING (partition_id) GROUP BY partition_id),
+    gone AS (SELECT partition_id, segment_id FROM act JOIN c USING (partition_id) WHERE NOT active AND m > 0 AND m < h AND last_offset > 0 AND last_offset < m)
+    SELECT message_id, partition_id, "offset" FROM log WHERE (partition_id, "offset" // 100) NOT IN (SELECT (partition_id, segment_id) FROM gone)""",
+)
+def log_after_compaction(spark, d):
+    """What is left of the log once a compaction job has removed what all consumers are past."""
+    log = L.event_log(spark, d)
+    marks = groups.high_watermarks(log)
+    gone = O.compacted_by_consumers(O.segments(log), commits(marks), marks)
+    return O.without_segments(log, gone).select("message_id", "partition_id", "offset")
+
+
 @query("backup_set", _ACTIVE + "SELECT partition_id, segment_id FROM act WHERE NOT active AND last_offset > 400")
 def backup_set(spark, d):
     return O.backup_set(_segs(spark, d), 400).select("partition_id", "segment_id")
@@ -112,14 +140,14 @@ def offset_gaps(spark, d):
 
 
 @query(
-    "segments_by_bytes",
-    ', t AS (SELECT partition_id, strlen(props) AS size, sum(strlen(props)) OVER (PARTITION BY partition_id ORDER BY "offset") - strlen(props) AS before FROM log) SELECT partition_id, CAST(before // 4096 AS BIGINT) AS segment_id, count(*) AS n FROM t GROUP BY 1, 2',
+    "segment_rotation",
+    """, t AS (SELECT partition_id, "offset", strlen(props) AS size, row_number() OVER (PARTITION BY partition_id ORDER BY "offset") AS k FROM log),
+    b AS (
+      SELECT partition_id, k, size, CAST(0 AS BIGINT) AS segment_id, size AS upto FROM t WHERE k = 1
+      UNION ALL
+      SELECT t.partition_id, t.k, t.size, b.segment_id + CASE WHEN b.upto >= 4096 THEN 1 ELSE 0 END, CASE WHEN b.upto >= 4096 THEN 0 ELSE b.upto END + t.size FROM b JOIN t ON t.partition_id = b.partition_id AND t.k = b.k + 1
+    ) SELECT partition_id, segment_id, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM b GROUP BY 1, 2""",
 )
-def segments_by_bytes(spark, d):
-    return O.rotated(L.event_log(spark, d), F.length("payload"), 4096).groupBy("partition_id", "segment_id").agg(F.count("*").alias("n"))
-
-
-@query("segment_rotation")
 def segment_rotation(spark, d):
     rows = L.event_log(spark, d).select("partition_id", "offset", F.length("payload").cast("long").alias("size"))
     return folds.segment_rotation(rows, 4096).groupBy("partition_id", "segment_id").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from timelog.functions import bloom
 from timelog.functions import scalars as X
 from timelog.operators import folds, publish, schemas
 from timelog.plans.registry import query
@@ -60,12 +61,7 @@ def publish_validate(spark, d):
     coalesce((SELECT min("offset") FROM kept), -1) AS min_offset, coalesce((SELECT max("offset") FROM kept), -1) AS max_offset""",
 )
 def publish_summary(spark, d):
-    rows = publish.validated(_raw(spark, d))
-    valid = publish.first_wins(rows.where("reject_reason is null"))
-    kept = L.assign_offsets(valid.where("not duplicate")).select("reject_reason", "duplicate", "offset")
-    rest = valid.where("duplicate").select("reject_reason", "duplicate", F.lit(None).cast("long").alias("offset"))
-    bad = rows.where("reject_reason is not null").select("reject_reason", F.lit(False).alias("duplicate"), F.lit(None).cast("long").alias("offset"))
-    return publish.summary(kept.unionByName(rest).unionByName(bad))
+    return publish.summary_of_batch(publish.validated(_raw(spark, d)))
 
 
 @query("dedup_flags", _TWINS + "SELECT arrival, partition_id, nth > 1 AS duplicate FROM ranked")
@@ -96,7 +92,15 @@ def dedup_stats(spark, d):
     return _twins(spark, d).groupBy("partition_id", "message_id").agg(F.count("*").alias("n")).groupBy("partition_id").agg(F.count("*").alias("ids"), F.sum(F.col("n") - 1).alias("duplicates"))
 
 
-@query("dedup_with_ttl")
+@query(
+    "dedup_with_ttl",
+    """, t AS (SELECT partition_id, user_id || '-' || topic AS message_id, schedule_ts AS ts, arrival, row_number() OVER (PARTITION BY partition_id, user_id, topic ORDER BY schedule_ts, arrival) AS k FROM routed),
+    b AS (
+      SELECT *, false AS duplicate, ts + 604800000 AS until FROM t WHERE k = 1
+      UNION ALL
+      SELECT t.*, t.ts < b.until, CASE WHEN t.ts < b.until THEN b.until ELSE t.ts + 604800000 END FROM b JOIN t ON t.partition_id = b.partition_id AND t.message_id = b.message_id AND t.k = b.k + 1
+    ) SELECT partition_id, message_id, ts, arrival, duplicate FROM b""",
+)
 def dedup_with_ttl(spark, d):
     rows = _twins(spark, d).select("partition_id", "message_id", F.col("schedule_ts").alias("ts"), "arrival")
     return folds.dedup_with_ttl(rows, 168 * 3_600_000)
@@ -169,19 +173,52 @@ def write_fences(spark, d):
     return publish.writable(L.from_events(spark, d), a, "node-0").groupBy("partition_id", "fence").agg(F.count("*").alias("n"))
 
 
-@query("token_bucket")
+#: Folds in SQL: rows of a key are numbered, and a recursive table takes one row of each key at a time.
+@query(
+    "token_bucket",
+    """, t AS (SELECT topic, schedule_ts AS ts, arrival, row_number() OVER (PARTITION BY topic ORDER BY schedule_ts, arrival) AS k FROM ev),
+    b AS (
+      SELECT topic, ts, arrival, k, true AS allowed, CAST(19 AS BIGINT) AS tokens, ts AS last FROM t WHERE k = 1
+      UNION ALL
+      SELECT topic, ts, arrival, k, free >= 1, free - CASE WHEN free >= 1 THEN 1 ELSE 0 END, CASE WHEN refill > 0 THEN ts ELSE last END
+      FROM (SELECT *, CASE WHEN refill > 0 THEN least(20, tokens + refill) ELSE tokens END AS free
+            FROM (SELECT t.topic, t.ts, t.arrival, t.k, b.last, b.tokens, greatest(0, t.ts - b.last) // 1000 AS refill FROM b JOIN t ON t.topic = b.topic AND t.k = b.k + 1))
+    ) SELECT topic, ts, arrival, 1 AS n, allowed, tokens FROM b""",
+)
 def token_bucket(spark, d):
     rows = L.from_events(spark, d).select("topic", F.col("schedule_ts").alias("ts"), "arrival", F.lit(1).alias("n"))
     return folds.token_bucket(rows, ["topic"], 20, 1)
 
 
-@query("topic_rate_limit")
+@query(
+    "topic_rate_limit",
+    """, t AS (SELECT CAST(user_id AS VARCHAR) AS subject, topic, schedule_ts AS ts, arrival, row_number() OVER (PARTITION BY user_id, topic ORDER BY schedule_ts, arrival) AS k FROM ev),
+    b AS (
+      SELECT subject, topic, ts, arrival, k, true AS allowed, CAST(1 AS DOUBLE) AS tokens FROM t WHERE k = 1
+      UNION ALL
+      SELECT subject, topic, ts, arrival, k, free >= 1, free - CASE WHEN free >= 1 THEN 1 ELSE 0 END
+      FROM (SELECT t.*, least(2::DOUBLE, b.tokens + (t.ts - b.ts) / 1000 * 0.0001::DOUBLE) AS free FROM b JOIN t ON t.subject = b.subject AND t.topic = b.topic AND t.k = b.k + 1)
+    ) SELECT subject, topic, ts, arrival, 1 AS n, allowed FROM b""",
+)
 def topic_rate_limit(spark, d):
     rows = L.from_events(spark, d).select(F.col("meta")["partition_key"].alias("subject"), "topic", F.col("schedule_ts").alias("ts"), "arrival", F.lit(1).alias("n"))
     return folds.smooth_bucket(rows, ["subject", "topic"], 2.0, 0.0001)
 
 
-@query("tenant_reserve")
+#: Every tenant but one in five has limits: 2 events a second, 50 in flight, 400 bytes.
+@query(
+    "tenant_reserve",
+    """, t AS (SELECT CAST(user_id AS VARCHAR) AS tenant, user_id % 5 > 0 AS bound, schedule_ts AS ts, arrival, CAST(strlen(props) AS BIGINT) AS size, row_number() OVER (PARTITION BY user_id ORDER BY schedule_ts, arrival) AS k FROM ev),
+    b AS (
+      SELECT tenant, bound, ts, arrival, k, NOT bound OR size <= 400 AS reserved, CASE WHEN bound AND size > 400 THEN 'storage' END AS reason,
+        CASE WHEN size <= 400 THEN 1 ELSE 2 END::DOUBLE AS tokens, ts AS last, CASE WHEN size <= 400 THEN 1 ELSE 0 END::BIGINT AS flight, CASE WHEN size <= 400 THEN size ELSE 0 END AS bytes FROM t WHERE k = 1
+      UNION ALL
+      SELECT tenant, bound, ts, arrival, k, NOT bound OR why IS NULL, CASE WHEN bound THEN why END, CASE WHEN why IS NULL THEN free - 1 ELSE free END, ts,
+        flight + CASE WHEN why IS NULL THEN 1 ELSE 0 END, bytes + CASE WHEN why IS NULL THEN size ELSE 0 END
+      FROM (SELECT *, CASE WHEN free < 1 THEN 'rate' WHEN flight + 1 > 50 THEN 'in flight' WHEN bytes + size > 400 THEN 'storage' END AS why
+            FROM (SELECT t.*, b.flight, b.bytes, least(2::DOUBLE, b.tokens + (t.ts - b.last) / 1000 * 2::DOUBLE) AS free FROM b JOIN t ON t.tenant = b.tenant AND t.k = b.k + 1))
+    ) SELECT tenant, ts, arrival, reserved, reason FROM b""",
+)
 def tenant_reserve(spark, d):
     rows = L.from_events(spark, d).select(F.col("meta")["partition_key"].alias("tenant"), F.col("schedule_ts").alias("ts"), "arrival", F.lit(1).alias("n"), F.length("payload").cast("long").alias("bytes"))
     limits = rows.select("tenant").distinct().select("tenant", F.lit(2.0).alias("max_events_per_second"), F.lit(50).cast("long").alias("max_in_flight"), F.lit(400).cast("long").alias("max_storage_bytes")).where(F.col("tenant").cast("long") % 5 > 0)
@@ -196,13 +233,49 @@ def tenant_usage(spark, d):
     return L.from_events(spark, d).select(F.col("meta")["partition_key"].alias("tenant"), "payload").rollup("tenant").agg(F.count("*").alias("events"), F.sum(F.length("payload")).cast("long").alias("bytes"))
 
 
+@query("all_tenants", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS tenant FROM ev UNION SELECT 'limit-' || i FROM range(5) t(i) UNION SELECT '7'")
+def all_tenants(spark, d):
+    usage = L.from_events(spark, d).select(F.col("meta")["partition_key"].alias("tenant"))
+    limits = spark.range(5).select(F.concat(F.lit("limit-"), F.col("id").cast("string")).alias("tenant")).unionByName(spark.createDataFrame([("7",)], "tenant string"))
+    return publish.tenants(limits, usage)
+
+
+_BLOOM_BITS, _BLOOM_HASHES = bloom.sizing(600, 0.05)
+_BLOOM_AT = f"list_transform(range({_BLOOM_HASHES}), lambda i: CAST((h1 + i::UHUGEINT * h2) % 18446744073709551616::UHUGEINT % {_BLOOM_BITS}::UHUGEINT AS BIGINT))"
+
+
+def _fnv_from(start: str) -> str:
+    return f"list_reduce(list_prepend({start}::UHUGEINT, list_transform(string_split(k, ''), lambda x: ascii(x)::UHUGEINT)), lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+@query(
+    "bloom_probe",
+    f""", k AS (SELECT DISTINCT user_id || '-' || topic AS k, user_id % 3 = 0 AS there FROM ev),
+    h AS (SELECT k, there, {_fnv_from("14695981039346656037")} AS h1, {_fnv_from("((xor(14695981039346656037::UHUGEINT, 11259375::UHUGEINT) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)")} AS h2 FROM k),
+    p AS (SELECT k, there, unnest({_BLOOM_AT}) AS pos FROM h), bits AS (SELECT DISTINCT pos FROM p WHERE there),
+    m AS (SELECT k, there, bool_and(pos IN (SELECT pos FROM bits)) AS maybe FROM p GROUP BY ALL)
+    SELECT count(*) FILTER (there) AS items, (SELECT count(*) FROM bits) AS bits_set, count(*) AS lookups, count(*) FILTER (NOT maybe) AS rejected, count(*) FILTER (maybe AND NOT there) AS false_positives,
+      count(*) FILTER (maybe AND there) AS hits, count(*) FILTER (maybe) >= 1000 AND count(*) FILTER (maybe AND NOT there) / greatest(count(*) FILTER (maybe), 1) > 0.05 AS worn_out FROM m""",
+)
+def bloom_probe(spark, d):
+    """A filter of every third user's ids, asked for all ids."""
+    rows = _twins(spark, d)
+    known = rows.where(F.col("meta")["partition_key"].cast("long") % 3 == 0)
+    out = bloom.probe(known, rows, "message_id", _BLOOM_BITS, _BLOOM_HASHES)
+    return out.withColumn("worn_out", bloom.worn_out(F.col("hits"), F.col("false_positives")))
+
+
 def _schemas(spark):
     kind = '{{"type":"object","properties":{{"k":{{"type":"{}"}}}}}}'
     rows = [("click", 1, "json", kind.format("string")), ("click", 2, "json", kind.format("integer")), ("view", 1, "json", kind.format("string")), ("error", 1, "avro", '{"type":"record","fields":[{"name":"k"}]}'), ("error", 2, "avro", '{"type":"record","fields":[]}')]
     return spark.createDataFrame(rows, "topic string, version int, type string, definition string")
 
 
-@query("payload_json_valid", "SELECT topic, topic <> 'view' AS schema_ok, count(*) AS n FROM ev GROUP BY 1, 2")
+# `click` wants an integer k, `view` a string, and the other topics have no JSON schema.
+@query(
+    "payload_json_valid",
+    "SELECT topic, CASE topic WHEN 'click' THEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') WHEN 'view' THEN json_type(props, '$.k') = 'VARCHAR' ELSE true END AS schema_ok, count(*) AS n FROM ev GROUP BY 1, 2",
+)
 def payload_json_valid(spark, d):
     return schemas.validated(L.from_events(spark, d), _schemas(spark)).groupBy("topic", "schema_ok").agg(F.count("*").alias("n"))
 

@@ -34,13 +34,26 @@ segs AS (SELECT partition_id, "offset" // 100 AS segment_id, min("offset") AS fi
 """
 
 
+#: The table of CRC-32 by byte, and the checksum of a list of bytes.
+CRC_TABLE = ", crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t)"
+
+
+def crc_sql(data: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)))"
+
+
+def bytes_sql(text: str) -> str:
+    """The bytes of an ASCII text."""
+    return f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+
+
 def query(name: str, sql: str | None = None):
     """Register a query; `sql` goes on after the common tables: with more of them after a comma, or with the select."""
 
     def add(build: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = build
         if sql:
-            ORACLES[name] = f"WITH {LOG}{sql}"
+            ORACLES[name] = f"WITH RECURSIVE {LOG}{sql}"
         return build
 
     return add

@@ -1,14 +1,19 @@
 """Scans, seeks, scheduling and scalar functions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from timelog.functions import scalars as X
-from timelog.operators import schedule
-from timelog.plans.registry import NOW, query
+from timelog.operators import lifecycle, schedule
+from timelog.plans.registry import CRC_TABLE, NOW, bytes_sql, crc_sql, query
+from timelog.shared import shared_dir
+from timelog.sources import files
 from timelog.sources import log as L
 from timelog.sources import wal
 
 DAY = 86_400_000
+_FNV_BYTES = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(data, lambda b: b::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
 
 
 @query("route_partitions", "SELECT partition_id, count(*) AS n, count(DISTINCT user_id) AS keys FROM routed GROUP BY partition_id")
@@ -18,7 +23,7 @@ def route_partitions(spark, d):
 
 @query("assign_offsets", 'SELECT message_id, partition_id, "offset", schedule_ts FROM log')
 def assign_offsets(spark, d):
-    return L.event_log(spark, d).select("message_id", "partition_id", "offset", "schedule_ts")
+    return L.assign_offsets(L.from_events(spark, d)).select("message_id", "partition_id", "offset", "schedule_ts")
 
 
 @query(
@@ -94,6 +99,55 @@ def scheduler_status(spark, d):
     return schedule.status(L.event_log(spark, d), NOW)
 
 
+@query(
+    "recovered_timers",
+    f"""SELECT message_id, partition_id, "offset", CASE WHEN schedule_ts <= {NOW} THEN 'ready' ELSE 'timer' END AS route FROM log WHERE "offset" > CASE WHEN partition_id % 2 = 0 THEN partition_id * 20 ELSE -1 END""",
+)
+def recovered_timers(spark, d):
+    """Even partitions have a checkpoint file, odd ones replay from the start."""
+    log = L.event_log(spark, d)
+    path = f"{shared_dir(spark)}/timers-{uuid.uuid4().hex}"
+    files.write_checkpoints(log.where("partition_id % 2 = 0").select("partition_id").distinct().select("partition_id", (F.col("partition_id") * 20).cast("long").alias("last_scheduled")), path)
+    return schedule.recovered(log, files.read_checkpoints(spark, path), NOW).select("message_id", "partition_id", "offset", "route")
+
+
+@query(
+    "partition_health",
+    f"""SELECT partition_id, max("offset") AS high_watermark, count(DISTINCT "offset" // 100) AS segments, count(*) FILTER (schedule_ts > {NOW} AND schedule_ts <= {NOW + 3600000}) AS active_timers,
+    count(*) FILTER (schedule_ts <= {NOW}) AS ready_events, count(*) FILTER (schedule_ts > {NOW + 3600000}) AS cold_entries, partition_id = 3 AS replay_error, CASE WHEN partition_id = 3 THEN 'bad record' END AS last_error FROM log GROUP BY partition_id""",
+)
+def partition_health(spark, d):
+    log = L.event_log(spark, d)
+    return schedule.health(log, lifecycle.segments(log), NOW, errors=spark.createDataFrame([(3, "bad record")], "partition_id int, error string"))
+
+
+@query("snapshot_files", 'SELECT partition_id, max("offset") AS last_offset FROM log GROUP BY partition_id HAVING max("offset") >= 100')
+def snapshot_files(spark, d):
+    """What a replica at offset 100 has to copy: the files end where the log ends, and none ends below 100."""
+    found = files.segment_files(L.event_log(spark, d), 100)
+    return found.groupBy("partition_id").agg(F.max("last_offset").alias("last_offset"), F.min("last_offset").alias("least")).where("least >= 100").drop("least")
+
+
+@query(
+    "row_functions",
+    f"""SELECT message_id, CASE WHEN event_id % 3 = 0 THEN {NOW} ELSE schedule_ts END AS resolved, substr(repeat(topic, 100), 1, 256) AS label, CASE WHEN event_id % 4 = 0 THEN event_id END AS file_offset,
+    event_id % 4 IN (0, 1) AS supported, lpad(format('{{:x}}', {_FNV_BYTES}), 16, '0') AS schema_hash FROM (SELECT *, {bytes_sql("topic || props")} AS data FROM ev)""",
+)
+def row_functions(spark, d):
+    """Scalar functions over every event: schedule times, labels, offsets in file names, client versions, schema hashes."""
+    rows = L.from_events(spark, d)
+    n = F.col("arrival")
+    name = F.when(n % 4 == 0, F.concat(F.lit("seg-"), F.hex(n), F.lit(".log"))).otherwise("readme")
+    return rows.select(
+        "message_id",
+        X.resolve_schedule(F.when(n % 3 == 0, 0).otherwise(F.col("schedule_ts")), F.timestamp_millis(F.lit(NOW))).alias("resolved"),
+        X.metric_label(F.repeat("topic", F.lit(100))).alias("label"),
+        X.offset_of_file(name).alias("file_offset"),
+        X.client_supported(F.when(n % 4 == 1, 1).when(n % 4 > 1, n % 4)).alias("supported"),
+        X.schema_hash(F.col("topic"), F.col("payload")).alias("schema_hash"),
+    )
+
+
 @query(
     "wheel_slots",
     f""", t AS (SELECT *, schedule_ts - {NOW} AS delay FROM log WHERE schedule_ts > {NOW}),
@@ -120,24 +174,35 @@ def sync_page(spark, d):
 
 @query(
     "fetch_pages",
-    """, t AS (SELECT partition_id, strlen(props) AS size, sum(strlen(props)) OVER (PARTITION BY partition_id ORDER BY "offset") - strlen(props) AS before FROM log)
-    SELECT partition_id, CAST(before // 1000 AS BIGINT) AS page, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM t GROUP BY 1, 2""",
+    """, t AS (SELECT ("offset" - 20) // 101 AS batch, strlen(props) AS size FROM log WHERE partition_id = 4 AND "offset" >= 20),
+    b AS (SELECT batch, count(*) AS n, sum(size) AS bytes, sum(sum(size)) OVER (ORDER BY batch) AS upto FROM t GROUP BY batch)
+    SELECT batch, n, CAST(bytes AS BIGINT) AS bytes, upto < 5000 AND n = 101 AS has_more FROM b WHERE upto - bytes < 5000""",
 )
 def fetch_pages(spark, d):
-    log = L.event_log(spark, d)
-    return L.budget_pages(log, F.length("payload"), 1000).groupBy("partition_id", "page").agg(F.count("*").alias("n"), F.sum(F.length("payload")).cast("long").alias("bytes"))
+    found = L.fetch(L.event_log(spark, d), 4, 20, 5000)
+    return found.groupBy("batch", "has_more").agg(F.count("*").alias("n"), F.sum(F.length("payload")).cast("long").alias("bytes"))
 
 
-@query("checksums")
+@query("checksums", f"{CRC_TABLE} SELECT message_id, {crc_sql(bytes_sql('props'))} AS checksum, sha1(props) AS sha1 FROM log, crc")
 def checksums(spark, d):
     return L.event_log(spark, d).select("message_id", X.checksum(F.col("payload")).alias("checksum"), X.sha1_hex(F.col("payload")).alias("sha1"))
 
 
-@query("batch_checksums")
+def _big_endian(value: str, size: int) -> str:
+    return f"list_transform(range({size}), lambda k: ({value} >> (8 * ({size - 1} - k))) % 256)"
+
+
+@query(
+    "batch_checksums",
+    f"""{CRC_TABLE}, p AS (SELECT partition_id, "offset" // 100 AS batch_id, "offset" AS o, arrival % 7 AS term, {bytes_sql("props")} AS data FROM log),
+    q AS (SELECT *, {crc_sql("data")} AS c FROM p, crc),
+    b AS (SELECT partition_id, batch_id, t, flatten(list(list_concat({_big_endian("o", 8)}, {_big_endian("term", 8)}, {_big_endian("c", 4)}, data) ORDER BY o)) AS xs FROM q GROUP BY ALL)
+    SELECT partition_id, batch_id, {crc_sql("xs")} AS checksum FROM b""",
+)
 def batch_checksums(spark, d):
-    log = schedule.batches(L.event_log(spark, d)).withColumn("part", F.concat(F.col("offset").cast("string").cast("binary"), F.lit(b"\x00"), X.checksum(F.col("payload")).cast("string").cast("binary"), F.col("payload")))
-    parts = log.groupBy("partition_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct("offset", F.hex("part").alias("h")))).alias("xs"))
-    return parts.select("partition_id", "batch_id", F.crc32(F.unhex(F.array_join(F.transform("xs", lambda x: x["h"]), ""))).alias("checksum"))
+    log = schedule.batches(L.event_log(spark, d)).withColumns({"term": F.col("arrival") % 7, "checksum": F.lit(0)})
+    rows = log.groupBy("partition_id", "batch_id").agg(F.array_sort(F.collect_list(F.struct("offset", "term", "checksum", "payload"))).alias("rows"))
+    return rows.select("partition_id", "batch_id", X.batch_checksum(F.col("rows")).alias("checksum"))
 
 
 @query("sha1_digests", "SELECT message_id, sha1(props) AS sha1 FROM ev")
@@ -189,7 +254,12 @@ def sealed_round_trip(spark, d):
     return rows.select("partition_id", "offset", "message_id")
 
 
-@query("auto_ids")
+@query(
+    "auto_ids",
+    f""", p AS (SELECT message_id, list_concat({bytes_sql("topic")}, [0], {bytes_sql("CAST(user_id AS VARCHAR)")}, [0], {bytes_sql("CAST(schedule_ts AS VARCHAR)")}, [0], {bytes_sql("props")}) AS data FROM ev)
+    SELECT message_id, 'auto-' || lpad(format('{{:x}}', {_FNV_BYTES}), 16, '0') AS auto_id,
+      CAST(list_reduce(list_prepend(0, {bytes_sql("message_id")}), lambda h, b: (h * 31 + b) % 4294967296) % 32 AS INTEGER) AS shard FROM p""",
+)
 def auto_ids(spark, d):
     log = L.from_events(spark, d)
     key = X.partition_key(F.col("meta"), F.col("message_id"))

@@ -8,18 +8,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from timelog import schema as S
 
 
 def write_log(log: DataFrame, path: str, mode: str = "append", rows_per_file: int = 1_000_000) -> None:
-    """Parquet by partition, sorted by offset inside files, so that row-group statistics prune offset and time scans."""
-    sorted_rows = log.repartition("partition_id").sortWithinPartitions("partition_id", "offset")
+    """Parquet by partition, in ranges of (partition, offset) that are sorted inside files: partitions of any size are written by many tasks, and statistics of files and row groups prune offset and time scans."""
+    sorted_rows = log.repartitionByRange("partition_id", "offset").sortWithinPartitions("partition_id", "offset")
     sorted_rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("partition_id").parquet(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_log(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """A log that write_log has written. With a schema, a log without rows (and so without files) can be read too."""
+    return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+
+
+def segment_files(log: DataFrame, from_offset: int) -> DataFrame:
+    """The files of a stored log that hold offsets from `from_offset` on, with their ranges and bytes: what a new replica has to copy."""
+    at = log.select("partition_id", "offset", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+    found = at.groupBy("partition_id", "path", "bytes").agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
+    return found.where(F.col("last_offset") >= from_offset)
 
 
 def append_replicated(log: DataFrame, batch: DataFrame, path: str) -> None:
@@ -56,6 +65,16 @@ def snapshot(log: DataFrame, offsets: DataFrame, version: int = 1) -> DataFrame:
     return marks.join(groups, "partition_id", "left").select(F.lit(version).alias("version"), "partition_id", "high_watermark", F.col("high_watermark").alias("last_scheduled"), "group_offsets")
 
 
+def write_checkpoints(marks: DataFrame, path: str) -> None:
+    """The last offset of each partition whose timer is set (partition_id, last_scheduled)."""
+    marks.select("partition_id", "last_scheduled").write.mode("overwrite").json(path)
+
+
+def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """Timer checkpoints; records that can't be read, or whose offset is below 0, count as none."""
+    return spark.read.schema("partition_id int, last_scheduled long").json(path).where(F.col("partition_id").isNotNull() & (F.col("last_scheduled") >= 0))
+
+
 def read_policy(spark: SparkSession, path: str) -> DataFrame:
     """(subject, topic, actions) from JSON lines {subject, grants: [{topic, actions}]}."""
     rows = spark.read.schema("subject string, grants array<struct<topic:string,actions:array<string>>>").json(path)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from timelog.functions import scalars as X
 from timelog.functions.running import with_rank, with_running
+from timelog.shared import shared_dir
+from timelog.sources import files
 
 PARTITIONS = 8
 
@@ -48,8 +53,32 @@ def assign_offsets(routed: DataFrame, base: int = 0) -> DataFrame:
     return with_rank(routed, ["partition_id"], "arrival", "offset", ["message_id"]).withColumn("offset", F.col("offset") + base)
 
 
+def _version(spark: SparkSession, path: str) -> str:
+    """Names the files below a path as they are now, by their times and sizes."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files = fs.listFiles(p, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(found)).encode()).hexdigest()
+
+
+#: Logs that this application has written: (application, version of the events table) -> path and schema.
+_STORED: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign_offsets(from_events(spark, sf_dir))
+    """The log of the events table as a store holds it: published once for each version of the table, and then read with pruning."""
+    key = (spark.sparkContext.applicationId, _version(spark, f"{sf_dir}/events.parquet"))
+    if key not in _STORED:
+        log = assign_offsets(from_events(spark, sf_dir))
+        path = f"{shared_dir(spark)}/timelog-log-{key[0]}-{key[1]}"
+        files.write_log(log, path, mode="overwrite")
+        _STORED[key] = (path, log.schema)
+    return files.read_log(spark, *_STORED[key])
 
 
 def offset_range(log: DataFrame, first: int, last: int, partition: int | None = None) -> DataFrame:
@@ -59,6 +88,7 @@ def offset_range(log: DataFrame, first: int, last: int, partition: int | None =
 
 
 def point(log: DataFrame, partition: int, offset: int) -> DataFrame:
+    """The row at an offset; no rows if there is none."""
     return log.where((F.col("partition_id") == partition) & (F.col("offset") == offset))
 
 
@@ -93,10 +123,25 @@ def seek(log: DataFrame, since: int, now: int) -> DataFrame:
     )
 
 
-def budget_pages(rows: DataFrame, size: Column, budget: int) -> DataFrame:
-    """Numbers pages by the bytes before each row: a page starts once `budget` bytes stand before it."""
-    out = with_running(rows, ["partition_id"], "offset", [], {"upto": size.cast("long")})
-    return out.withColumn("page", F.floor((F.col("upto") - size) / budget).cast("long"))
+#: Offsets of a read for a remote region; both ends count, so a batch has one more.
+FETCH_BATCH = 100
+
+
+def fetch(log: DataFrame, partition: int, start: int, budget: int = 10 << 20) -> DataFrame:
+    """What a remote region gets that asks for a partition from an offset on: batch, and each batch's has_more.
+
+    Batches read the offsets [at, at + FETCH_BATCH], go on after the last row
+    sent, and end with the one that brings the payload bytes sent to `budget`.
+    Offsets of a log are dense, so a row's batch follows from its offset.
+    """
+    rows = log.where((F.col("partition_id") == partition) & (F.col("offset") >= start))
+    rows = rows.withColumn("batch", F.floor((F.col("offset") - start) / (FETCH_BATCH + 1)).cast("long"))
+    totals = rows.groupBy("batch").agg(F.sum(F.length("payload")).alias("bytes"), F.count("*").alias("n"))
+    sent = with_running(totals, [], "batch", [], {"upto": F.col("bytes")})
+    # has_more peeks at the batch from at + FETCH_BATCH on, whose first row has been sent already if the batch is full.
+    more = (F.col("upto") < budget) & (F.col("n") == FETCH_BATCH + 1)
+    kept = sent.where(F.col("upto") - F.col("bytes") < budget).select("batch", more.alias("has_more"))
+    return rows.join(kept, "batch")
 
 
 def sync_page(log: DataFrame, partition: int, start: int, budget: int) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from timelog.functions.scalars import latency_bucket
+from timelog.shared import shared_dir
 
 TTL = "168 hours"
 
@@ -43,26 +43,83 @@ def sliding(events: DataFrame, width: str = "10 minutes", slide: str = "5 minute
     return events.withWatermark("at", late).groupBy(F.window("at", width, slide), "event_type").agg(F.count("*").alias("n"))
 
 
-def timers(events: DataFrame, delay_ms: int = 60_000) -> DataFrame:
-    """Emits each event of a key once event time passes its schedule; pending ones are held in keyed state."""
+class Timers:
+    """Fires each event once the clock, the latest event time seen, has reached its due time; late ones fire at once, none is lost.
 
-    def fire(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = list(state.get[0]) if state.exists else []
-        for frame in rows:
-            pending += [int(x) for x in frame["schedule_ts"]]
-        now = state.getCurrentWatermarkMs()
-        due, later = [t for t in pending if t <= now], sorted(t for t in pending if t > now)
-        state.update((later,)) if later else (state.exists and state.remove())
-        if later:
-            state.setTimeoutTimestamp(later[0])
-        yield pd.DataFrame({"user_id": [key[0]] * len(due), "schedule_ts": due})
-
-    timed = events.withColumn("schedule_ts", F.unix_millis("at") + delay_ms).withWatermark("at", "0 seconds")
-    return timed.groupBy("user_id").applyInPandasWithState(fire, "user_id long, schedule_ts long", "pending array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    A stateful operator would drop rows behind its watermark and rewrite a key's
+    pending list with every batch. Here pending timers are files of the shared
+    folder: what a batch does not fire at once is written once, sorted by due
+    time, and an epoch fires the stretch of due times between the clocks of the
+    epoch before and its own, which prunes files and row groups. Nothing is
+    rewritten, and an epoch that is run again replaces its own files only.
 
+    Rows: id, due, at (event time, ms), kind: `set` or `cancel`. A cancel stops
+    the timer of its id if it comes (by event time) before the timer is due.
+    """
 
-def ack_tracking(deliveries: DataFrame, timeout_ms: int = 30_000, max_attempts: int = 5) -> DataFrame:
-    """A stream of (delivery_id, kind: sent or ack, ok, at) -> one row per delivery that ends: acked, or dead letter after max_attempts timeouts or failures."""
+    ROW = "id string, due long, at long, kind string"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def _rows(self, name: str, schema: str, before: int) -> DataFrame:
+        """What earlier epochs have written."""
+        return self.spark.read.schema(f"{schema}, epoch long").parquet(f"{self.folder}/{name}").where(F.col("epoch") < before)
+
+    def _write(self, rows: DataFrame, name: str, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/epoch={epoch}")
+
+    def _live(self, rows: DataFrame, cancels: DataFrame) -> DataFrame:
+        first = cancels.groupBy("id").agg(F.min("at").alias("__cancel"))
+        return rows.join(first, "id", "left").where(F.col("__cancel").isNull() | (F.col("__cancel") >= F.col("due"))).select("id", "due")
+
+    def start(self) -> Timers:
+        """Epoch -1, so that every table can be read from the first batch on."""
+        empty = self.spark.createDataFrame([], self.ROW)
+        for name in ("pending", "cancels"):
+            self._write(empty.select("id", "due", "at"), name, -1)
+        self._write(empty.select("id", "due"), "fired", -1)
+        self._write(self.spark.createDataFrame([(None,)], "clock long"), "clocks", -1)
+        return self
+
+    def epoch(self, batch: DataFrame, epoch: int) -> None:
+        before = self._rows("clocks", "clock long", epoch).agg(F.max("clock")).first()[0]
+        now = batch.agg(F.max("at")).first()[0]
+        clock = max((x for x in (before, now) if x is not None), default=None)
+        self._write(batch.where("kind = 'cancel'").select("id", "due", "at"), "cancels", epoch)
+        fresh = batch.where("kind = 'set'").select("id", "due", "at")
+        self._write(fresh.where(F.lit(clock is None) | (F.col("due") > F.lit(clock))).sort("due"), "pending", epoch)
+        late = F.lit(-(1 << 62) if before is None else before)
+        kept = self._rows("pending", "id string, due long, at long", epoch).where((F.col("due") > late) & (F.col("due") <= F.lit(clock))).select("id", "due")
+        due = fresh.where(F.col("due") <= F.lit(clock)).select("id", "due").unionByName(kept)
+        self._write(self._live(due, self._rows("cancels", "id string, due long, at long", epoch + 1)), "fired", epoch)
+        self._write(self.spark.createDataFrame([(clock,)], "clock long"), "clocks", epoch)
+
+    def pending(self) -> DataFrame:
+        """Timers that have not fired and are not cancelled: (id, due)."""
+        every = 1 << 62
+        clock = self._rows("clocks", "clock long", every).agg(F.max("clock")).first()[0]
+        rows = self._rows("pending", "id string, due long, at long", every)
+        return self._live(rows if clock is None else rows.where(F.col("due") > clock), self._rows("cancels", "id string, due long, at long", every))
+
+    def fired(self) -> DataFrame:
+        return self._rows("fired", "id string, due long", 1 << 62).select("id", "due")
+
+
+def timers(events: DataFrame, delay_ms: int = 60_000, cancels: DataFrame | None = None) -> Timers:
+    """Run a timer for each event (event_id, at) over all input there is; `cancels` are rows of Timers.ROW of the same stream."""
+    spark = events.sparkSession
+    at = F.unix_millis("at")
+    rows = events.select(F.col("event_id").cast("string").alias("id"), (at + delay_ms).alias("due"), at.alias("at"), F.lit("set").alias("kind"))
+    folder = f"{shared_dir(spark)}/timers-{uuid.uuid4().hex}"
+    wheel = Timers(spark, folder).start()
+    stream = rows if cancels is None else rows.unionByName(cancels)
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").foreachBatch(wheel.epoch).start().awaitTermination()
+    return wheel
+
+
+def ack_tracking(deliveries: DataFrame, timeout_ms: int = 30_000, max_attempts: int = 5, late: str = "1 day") -> DataFrame:
+    """Rows behind the watermark by more than `late` don't count. A stream of (delivery_id, kind: sent or ack, ok, at) -> one row per delivery that ends: acked, or dead letter after max_attempts timeouts or failures."""
 
     def track(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         attempts, acked = (state.get[0], False) if state.exists else (0, False)
@@ -80,7 +137,7 @@ def ack_tracking(deliveries: DataFrame, timeout_ms: int = 30_000, max_attempts:
         state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms * max(1, attempts))
         yield pd.DataFrame({"delivery_id": [], "outcome": [], "attempts": []})
 
-    return deliveries.withWatermark("at", "0 seconds").groupBy("delivery_id").applyInPandasWithState(
+    return deliveries.withWatermark("at", late).groupBy("delivery_id").applyInPandasWithState(
         track, "delivery_id string, outcome string, attempts long", "attempts long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
@@ -97,8 +154,7 @@ def drain(stream: DataFrame, name: str, mode: str = "append", sink: Callable | N
     again replaces itself; in complete mode the last one is the result.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="timelog-")
-    folder = f"{base}/stream-{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
         at = 0 if mode == "complete" else epoch
