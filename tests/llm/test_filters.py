@@ -1,5 +1,6 @@
 """Decontamination, quality, language, urls, mixing, chat, pipeline."""
 
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -164,6 +165,63 @@ def test_mix_edges(documents):
     assert mixing.mix(documents([])).count() == 0
 
 
+def test_mix_splits_ties(documents):
+    """A third of the rows share id, source and size: the cut falls on them and takes part of them."""
+    rows = [(None, "ten words are in this text and so it goes", "en", "a")] * 1000 + [(n, "w " * (n % 7 + 1), "en", "b") for n in range(2000)]
+    got = mixing.mix(documents(rows, extra=True)).collect()
+    assert len(got) == 3000
+    for source in ("a", "b"):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) and {r.copies for r in mine} <= {0, 1, 2}
+    kept = mixing.mixed(documents(rows, extra=True))
+    plain = [c for c in documents(rows, extra=True).columns if c != "size"]
+    assert kept.columns == [*(c if c != "size" else "size_in" for c in documents(rows, extra=True).columns), "size", "source_size", "target", "copies", "taken"] and "size" not in plain
+    assert sorted((r.source, r.size, r.copies) for r in kept.collect()) == sorted((r.source, r.size, r.copies) for r in got if r.copies)
+
+
+def test_mix_keeps_repeated_rows(documents):
+    rows = [(7, "a b c", "en", "a")] * 50 + [(None, None, "en", None), (8, "", "en", "a")]
+    got = mixing.mixed(documents(rows)).collect()
+    assert len(got) == 50 and sum(r.taken for r in got) == round(got[0].target / 3) * 3
+    assert mixing.mixed(documents([])).count() == 0
+
+
+def plain_mix(rows, targets):
+    """Pareto order sampling in plain Python over the operator's own uniform numbers: (id, size, source, u) -> copies by id."""
+    copies = {}
+    for s, target in targets.items():
+        mine = [(i, n, u) for i, n, src, u in rows if src == s and n]
+        total = sum(n for _, n, _ in mine)
+        certain = int(target / total + 1e-9) if total else 0
+        left = max(0.0, target - certain * total)
+        copies |= {i: certain for i, _, _ in mine}
+        # Documents too long for the common rate are certain, largest first.
+        sure, rest = [], sorted(mine, key=lambda m: -m[1])
+        while rest and left - sum(n for _, n, _ in sure) > 0 and (left - sum(n for _, n, _ in sure)) / sum(n * n for _, n, _ in rest) * rest[0][1] > 1:
+            sure.append(rest.pop(0))
+        need = left - sum(n for _, n, _ in sure)
+        rate = need / sum(n * n for _, n, _ in rest) if rest else 0
+        chance = {i: 1.0 for i, _, _ in sure} | {i: rate * n for i, n, _ in rest}
+        ranked = sorted((u / (1 - u) * (1 - chance[i]) / chance[i], i, n) for i, n, u in mine if left > 0 and chance[i] > 0)
+        taken = 0
+        for _, i, n in ranked:
+            if abs(taken + n - left) < abs(taken - left):
+                copies[i] += 1
+                taken += n
+            else:
+                break
+    return copies
+
+
+def test_mix_draw_is_pareto_sampling(spark, documents):
+    rng = random.Random(4)
+    rows = [(n, "w " * rng.choice([1, 2, 5, 9, 30, 200]), "en", rng.choice("abcd")) for n in range(400)]
+    got = mixing.mix(documents(rows)).collect()
+    u = {r.doc_id: r.u for r in documents(rows).select("doc_id", mixing._uniform(F.col("doc_id"), mixing.words_count(F.col("text"))).alias("u")).collect()}
+    want = plain_mix([(r.doc_id, r.size, r.source, u[r.doc_id]) for r in got], {r.source: r.target for r in got})
+    assert {r.doc_id: r.copies for r in got} == want
+
+
 def test_chat_collapse(spark):
     turns = [("u", "hi"), ("a", "hello"), ("u", "more"), ("a", "yes")]
     rows = [(c, n, *turns[n], "x") for c, k in ((1, 2), (2, 4), (3, 4), (5, 1)) for n in range(k)]

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelog.llm.common import SPACE, discard, stored
+from timelog.llm.common import SPACE, discard, stored, unnamed
 
 PREFIX = 64
 
@@ -22,39 +22,48 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", "")
 
 
-def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = normalised(F.col(text_col))
-    return docs.select(
-        F.col(id_col).alias("id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"),
-        F.length(norm).alias("norm_len"),
-        F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix"),
-    )
+def _points(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per group of two or more equal texts: digest, keep_id, keep_points, group_size.
-
-    The row with the most code points, then the smallest id, is kept (a null id
-    sorts last). Null counts as empty text. An empty table gives no groups.
-    """
-    narrow = stored(_keys(docs, id_col, text_col))
+def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stored (id, th, points, digest, n): rows whose length and prefix others share, once for each id and text (th: a hash of it), n times in `docs`."""
+    norm = normalised(F.col(text_col))
+    narrow = stored(
+        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.length(norm).alias("norm_len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix"))
+    )
     # Copies of a text are one row here, so no length is hot for the copies it has.
     pairs = narrow.groupBy("norm_len", "prefix").agg(F.count("*").alias("n"))
     lengths = pairs.groupBy("norm_len").agg(F.sum("n").alias("m")).where("m > 1").select("norm_len")
     prefixes = pairs.join(lengths, "norm_len", "left_semi").where("n > 1").select("norm_len", "prefix")
-    ids = stored(narrow.join(prefixes, ["norm_len", "prefix"], "left_semi").select("id").distinct())
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    survivors = text.join(ids.withColumnRenamed("id", "other"), F.col("id").eqNullSafe(F.col("other")), "left_semi")
-    full = survivors.select("id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
-    first = F.min(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("void"), F.col("id")))
-    groups = stored(
-        full.groupBy("digest")
-        .agg(F.count("*").alias("group_size"), first.alias("first"))
-        .where("group_size > 1")
-        .select("digest", F.col("first.id").alias("keep_id"), (-F.col("first.less")).alias("keep_points"), "group_size")
-    )
+    ids = stored(narrow.join(prefixes, ["norm_len", "prefix"], "left_semi").select(F.col("id").alias("other"), F.col("th").alias("oth")).distinct())
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    survivors = text.join(ids, F.col("id").eqNullSafe(F.col("other")) & (F.col("th") == F.col("oth")), "left_semi")
+    full = survivors.select("id", "th", _points(F.col("text")).alias("points"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
+    out = stored(full.groupBy("id", "th", "points", "digest").agg(F.count("*").alias("n")))
     discard(narrow, ids)
+    return out
+
+
+def _groups(full: DataFrame) -> DataFrame:
+    """Stored digest, keep_id, keep_th, keep_points, group_size of each group of two or more equal texts.
+
+    The row with the most code points, then the smallest id, is kept (a null id
+    sorts last), of rows that agree in both the least hash of the text.
+    """
+    first = F.min(F.struct((-F.col("points")).alias("less"), F.col("id").isNull().alias("void"), F.col("id"), F.col("th")))
+    found = full.groupBy("digest").agg(F.sum("n").alias("group_size"), first.alias("first")).where("group_size > 1")
+    return stored(found.select("digest", F.col("first.id").alias("keep_id"), F.col("first.th").alias("keep_th"), (-F.col("first.less")).alias("keep_points"), "group_size"))
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per group of two or more equal texts: digest, keep_id, keep_th, keep_points, group_size.
+
+    Null counts as empty text. An empty table gives no groups.
+    """
+    full = _survivors(docs, id_col, text_col)
+    groups = _groups(full)
+    discard(full)
     return groups
 
 
@@ -68,7 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = duplicate_groups(docs, id_col, text_col)
     rows = docs.select(
         F.col(id_col).alias("id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"),
+        _points(F.col(text_col)).alias("points"),
         F.sha2(normalised(F.col(text_col)), 256).alias("digest"),
     )
     rows = rows.groupBy("id", "points", "digest").agg(F.count("*").cast("int").alias("n"))
@@ -85,11 +94,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that exact_dedup drops; columns as they were."""
-    groups = duplicate_groups(docs, id_col, text_col).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("keep_points").alias("__points"))
-    marked = docs.withColumns({"__digest": F.sha2(normalised(F.col(text_col)), 256), "__n": F.length(F.coalesce(F.col(text_col), F.lit("")))})
-    joined = marked.join(groups, "__digest", "left")
-    best = F.col("__keep").eqNullSafe(F.col(id_col)) & (F.col("__n") == F.col("__points"))
-    kept = joined.where(F.col("__points").isNull() | best)
-    # Rows that agree in id, digest and length: one of them stays.
-    return kept.dropDuplicates([id_col, "__digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """`docs` without the rows that exact_dedup drops; columns as they were, whatever their names.
+
+    Only survivors of the length and prefix rounds are digested. Rows to drop
+    are named by id and a 64-bit hash of the text, so repeated and null ids with
+    unlike texts do no harm; of rows that agree in both, any one stays.
+    """
+    plain, back = unnamed(docs)
+    id_, text = back[id_col], back[text_col]
+    full = _survivors(plain, id_, text)
+    groups = _groups(full)
+    best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))
+    drop = stored(full.join(groups, "digest").where(~best).select(F.col("id").alias("__id"), F.col("th").alias("__gone")))
+    again = stored(full.join(groups, "digest").where(best & (F.col("n") > 1)).select(F.col("id").alias("__id"), F.col("th").alias("__gone")))
+    discard(full, groups)
+    marked = plain.withColumn("__th", F.xxhash64(text))
+    same = F.col(id_).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone"))
+    out = marked.join(drop, same, "left_anti")
+    if not again.isEmpty():
+        once = marked.join(again, same, "left_semi").dropDuplicates([id_, "__th"])
+        out = out.join(again, same, "left_anti").unionByName(once)
+    return out.select(*plain.columns).toDF(*docs.columns)

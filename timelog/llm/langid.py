@@ -6,32 +6,37 @@ language has several centroids from spherical k-means; a text gets the language
 of the nearest centroid by cosine, and is rejected if it is further from it
 than nearly all of that language's own training texts.
 
-Fitting takes a bounded sample of labelled rows (`FIT_ROWS`, by hash order of
-the id); predicting is one map pass over whole texts without a shuffle.
+Fitting takes a bounded sample of labelled rows, an equal share for each
+language (`FIT_ROWS` in all, `LEAST_PER_LANG` for each at least, by hash order
+of the id); predicting is one map pass over whole texts without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timelog.llm.common import byte_slices, stored
+from timelog.llm.common import byte_slices, discard, stored
 
-#: Most labelled rows that a fit reads; beyond it, the first in hash order of the id.
+#: Labelled rows that a fit reads, dealt evenly to the languages; of each language the first in hash order of the id.
 FIT_ROWS = 6_000
+#: A language's share if there are so many languages that an even one would be smaller.
+LEAST_PER_LANG = 50
 BITS = 12
 SHARPNESS = 20.0
 UNKNOWN = "und"
-_TABLE = 0x30000
+_TABLE = 0x110000
 
 
+@cache
 def letter_table() -> np.ndarray:
-    """Which code points are letters; those beyond the table are taken as letters."""
+    """Which code points are letters."""
     return np.fromiter((chr(c).isalpha() for c in range(_TABLE)), bool, _TABLE)
 
 
@@ -42,7 +47,7 @@ def gram_counts(text: str | None, letters: np.ndarray) -> tuple[np.ndarray, bool
     any_letter = False
     for at in range(0, len(points), 1 << 20):  # pieces overlap, so no n-gram is lost
         p = points[max(0, at - 2) : at + (1 << 20)]
-        is_letter = letters[np.minimum(p, _TABLE - 1)]
+        is_letter = letters[p]
         any_letter = any_letter or bool(is_letter.any())
         a = np.where(is_letter, p, np.uint32(32))
         a = np.concatenate([[np.uint32(32)], a, [np.uint32(32)]]) if not at else np.append(a, np.uint32(32))
@@ -118,13 +123,18 @@ def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = FIT_ROWS) -> Centroids | None:
-    """Centroids from labelled rows outside the held-out fold; rows without id, language or letters teach nothing."""
-    labelled = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col))
-    labelled = labelled.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # Ids first, so that no text travels to the one task that ends a top-n; the sample has `most` rows at most.
-    some = stored(labelled.select(F.col("own").alias("key")).distinct().orderBy(F.xxhash64("key"), "key").limit(most))
-    rows = labelled.join(F.broadcast(some), F.col("own") == F.col("key"), "left_semi").select(F.col("own").cast("string").alias("id"), "lang", "text")
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = FIT_ROWS, least: int = LEAST_PER_LANG) -> Centroids | None:
+    """Centroids from labelled rows outside the held-out fold; rows without id, language or letters teach nothing. Of rows that share id and language, the one of least text hash teaches."""
+    labelled = docs.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    labelled = labelled.where(F.col("own").isNotNull() & F.col("lang").isNotNull() & ~held_out("own") & F.col("text").rlike("\\p{L}"))
+    keys = labelled.groupBy("own", "lang").agg(F.min(F.xxhash64("text")).alias("th"))
+    nth = Window.partitionBy("lang").orderBy(F.xxhash64("own"), "own")
+    # Ids alone travel here, and no more than `most` of a language from each task.
+    ranked = stored(keys.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= most))
+    share = max(least, most // max(1, ranked.where("nth = 1").count()))
+    some = ranked.where(F.col("nth") <= share).select(F.col("own").alias("k1"), F.col("lang").alias("k2"), F.col("th").alias("k3"))
+    same = (F.col("own") == F.col("k1")) & (F.col("lang") == F.col("k2")) & (F.xxhash64("text") == F.col("k3"))
+    rows = labelled.join(some, same, "left_semi").select(F.col("own").cast("string").alias("id"), "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
@@ -136,7 +146,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 vectors.append(at.astype(np.uint16).tobytes() + counts[at].tobytes() if found else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], ["id", "lang", "v"])
 
-    found = rows.mapInArrow(run, "id string, lang string, v binary").where("v is not null").limit(2 * most).collect()
+    found = rows.mapInArrow(run, "id string, lang string, v binary").where("v is not null").groupBy("id", "lang").agg(F.min("v").alias("v")).collect()
+    discard(ranked)
     found.sort(key=lambda r: (r["id"], r["lang"], bytes(r["v"])))
     counts = np.zeros((len(found), 1 << BITS), np.float32)
     for n, r in enumerate(found):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelog.llm.common import byte_slices, stored, unnamed, utf8
+from timelog.llm.common import byte_slices, discard, stored, unnamed, utf8
 
 #: Most labelled rows that a fit reads; beyond it, the first in hash order of the id.
 FIT_ROWS = 20_000
@@ -163,18 +163,20 @@ def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int =
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and 0/1 labels of at most `most` labelled rows, in hash order of the id; the labels table may hold null and repeated rows."""
+    """Features and 0/1 labels of at most `most` labelled rows, in hash order of the id; the labels table may hold null and repeated rows, and of documents that share an id the one of least text hash teaches."""
     some = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("y"))
     some = stored(some.orderBy(F.xxhash64("id"), "id").limit(most))
-    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(some, F.col("key") == F.col("id")).select("id", "y", "text")
+    texts = docs.select(F.col(id_col).alias("key"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).join(some, F.col("key") == F.col("id")).select("id", "th", "y", "text")
     names = [f"f{j}" for j in range(len(FEATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([text_features(t) for t in utf8(batch.column(2))]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *map(pa.array, x.T)], ["id", "y", *names])
+            x = np.array([text_features(t) for t in utf8(batch.column(3))]).reshape(-1, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), *map(pa.array, x.T)], ["id", "th", "y", *names])
 
-    rows = sorted(texts.mapInArrow(run, ", ".join(["id long, y double", *(f"{n} double" for n in names)])).limit(2 * most).collect())
+    seen = texts.mapInArrow(run, ", ".join(["id long, th long, y double", *(f"{n} double" for n in names)]))
+    rows = sorted(seen.groupBy("id").agg(F.min_by(F.struct("y", *names), "th").alias("x")).select("id", "x.*").collect())
+    discard(some)
     table = np.array(rows, float).reshape(-1, len(FEATURES) + 2)
     return table[:, 2:], table[:, 1]
 

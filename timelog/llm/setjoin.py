@@ -10,8 +10,14 @@ each other by their whole sets.
 
 Components are what is wanted, so a pair is not compared once its ends are
 linked otherwise: two rounds hold the members of a shingle against one of them,
-which settles groups of near copies of any size with a pair per member; the
-last round compares all pairs that are still apart.
+which settles groups of near copies of any size with a pair per member.
+
+The last round settles what is still apart. The members of a shingle are not
+paired off: each set has a bitmap of BITS bits, the parities of its shingles by
+hash, and the distance of two bitmaps is never above the number of shingles
+that only one of the sets has. So the bit-sliced counters find the few pairs
+that can be similar at all, whatever the size of the group, and only those are
+handed on and held against each other by their whole sets.
 """
 
 from __future__ import annotations
@@ -24,12 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timelog.llm import bitslice
 from timelog.llm.common import buckets, byte_slices, discard, release, stored, utf8
 from timelog.llm.packed import PACK, dealt, heap, opened, packed_batch
 
 SHINGLE = 5
 #: Links are pairs with NUM / DEN of the union of their shingles in common, or more.
 NUM, DEN = 4, 5
+#: Bits of a set's bitmap.
+BITS = 512
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,8 +117,14 @@ def _shared(docs: DataFrame, text_col: str) -> DataFrame:
     return texts.mapInArrow(deal, PACK).groupBy("bucket").applyInArrow(count, "sig long, n long, part binary")
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """The parities of the shingles by hash, as words of 64 bits."""
+    odd = np.bincount((own >> np.uint64(13)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def _survivors(shared: DataFrame) -> DataFrame:
-    """(sig, n, c, tokens, prefix): sets that can have a partner, their c shared shingles in order of hash, and the rarest of them."""
+    """(sig, n, c, tokens, bits, prefix): sets that can have a partner, their c shared shingles in order of hash with their bitmap, and the rarest of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,68 +135,81 @@ def _survivors(shared: DataFrame) -> DataFrame:
                 spare = n - least_overlap(n) - (n - len(pair)) + 1
                 if spare > 0:
                     order = np.lexsort((pair[:, 1], pair[:, 0]))[:spare]
-                    rows.append((sig, n, len(pair), np.sort(pair[:, 1]).tobytes(), pair[order, 1].view(np.int64)))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["sig", "n", "c", "tokens", "prefix"])
+                    rows.append((sig, n, len(pair), np.sort(pair[:, 1]).tobytes(), bitmap(pair[:, 1]).tobytes(), pair[order, 1].view(np.int64)))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["sig", "n", "c", "tokens", "bits", "prefix"])
 
     gathered = shared.groupBy("sig", "n").agg(F.collect_list("part").alias("parts"))
-    return gathered.mapInArrow(run, "sig long, n long, c long, tokens binary, prefix array<long>")
+    return gathered.mapInArrow(run, "sig long, n long, c long, tokens binary, bits binary, prefix array<long>")
+
+
+def slack(n: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What a set of n shingles, c of them shared, adds to the most shared shingles that only one of two partners may have, times NUM + DEN.
+
+    An overlap of NUM / (NUM + DEN) of both sizes leaves 1 / (NUM + DEN) of them
+    to shingles of one set alone, of which those that no set shares are spent.
+    """
+    return n - (NUM + DEN) * (n - c)
+
+
+def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
 
 
-def group_pairs(token: np.ndarray, sig: np.ndarray, label: np.ndarray, n: np.ndarray, c: np.ndarray, turn: int | None, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of members of one token that have unlike labels and sizes that allow a link: with the head of this turn, or all if turn is None."""
-    if not len(token):
-        return
-    rank = (sig.view(np.uint64) * (_MIX ** np.uint64(turn or 0))) if turn is not None else sig
+def head_pairs(token: np.ndarray, sig: np.ndarray, label: np.ndarray, n: np.ndarray, c: np.ndarray, turn: int) -> np.ndarray:
+    """Pairs of each member of a token with the one that heads it in this turn, where labels differ and sizes allow a link."""
+    rank = sig.view(np.uint64) * _MIX ** np.uint64(turn)
     order = np.lexsort((rank, token))
     token, sig, label, n, c = token[order], sig[order], label[order], n[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    size = np.diff(np.append(first, len(token)))
-    group = np.repeat(np.arange(len(first)), size)
-    if turn is not None:
-        spans = [(first[group], np.arange(len(token)))]
-    else:
-        # Each member meets those after it in its group.
-        after = first[group] + size[group] - 1 - np.arange(len(token))
-        ends, at, cuts = np.cumsum(after), 0, []
-        while at < len(token):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-            cuts.append((at, to))
-            at = to
-
-        def stretch(at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-            k = after[at:to]
-            a = np.repeat(np.arange(at, to), k)
-            return a, a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
-
-        spans = (stretch(*cut) for cut in cuts)
-    for a, b in spans:
-        # The overlap is c at most, and a link needs NUM / (NUM + DEN) of both sizes together.
-        fit = (label[a] != label[b]) & ((NUM + DEN) * np.minimum(c[a], c[b]) >= NUM * (n[a] + n[b]))
-        a, b = sig[a[fit]], sig[b[fit]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        if len(pairs):
-            yield pairs[:, 0], pairs[:, 1]
+    a = np.repeat(first, np.diff(np.append(first, len(token))))
+    fit = (label[a] != label) & ((NUM + DEN) * np.minimum(c[a], c) >= NUM * (n[a] + n))
+    return _distinct_pairs(sig[a[fit]], sig[fit])
+
+
+def bitmap_pairs(token: np.ndarray, sig: np.ndarray, label: np.ndarray, n: np.ndarray, c: np.ndarray, bits: np.ndarray, most: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Pairs of members of a token that have unlike labels and sizes and bitmaps that allow a link."""
+    order = np.lexsort((sig, n, token))
+    token, sig, label, n, c, bits = token[order], sig[order], label[order], n[order], c[order], bits[order]
+    lanes = bitslice.Lanes(token, bits)
+    room = slack(n, c)
+    held = lanes.index.reshape(-1, 64)
+    best = np.where(held >= 0, room[held], np.iinfo(np.int64).min // 4).max(axis=1)
+    shortest = np.where(held >= 0, n[held], np.iinfo(np.int64).max).min(axis=1)
+    # A partner has DEN / NUM of a set's shingles at most; members stand in order of size.
+    for q, word in lanes.stretches(lanes.end, most):
+        reach = NUM * shortest[word] <= DEN * n[q]
+        q, word = q[reach], word[reach]
+        radius = (room[q] + best[word]) // (NUM + DEN)
+        row, lane = bitslice.near_lanes(bits[q], lanes.planes, word, lanes.valid[word], np.minimum(radius, BITS))
+        a, b = q[row], lanes.index[word[row] * 64 + lane]
+        fit = (label[a] != label[b]) & (room[a] + room[b] >= 0) & (NUM * np.maximum(n[a], n[b]) <= DEN * np.minimum(n[a], n[b]))
+        if fit.any():
+            yield _distinct_pairs(sig[a[fit]], sig[b[fit]])
 
 
 def _candidates(filed: DataFrame, turn: int | None) -> DataFrame:
-    """(a, b): distinct pairs of sets to compare. `filed` has token, sig, label, n, c."""
+    """(a, b): distinct pairs of sets to compare. `filed` has token, sig, label, n, c, and bits if turn is None."""
     few = int(filed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["token", "sig", "label", "n", "c"]
+    names = ["token", "sig", "label", "n", "c", *(["bits"] if turn is None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate([h[k] for h in held]) for k in range(5)] if held else [np.zeros(0, np.int64)] * 5
-            for a, b in group_pairs(*cols, turn):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            if held:
+                cols = [np.concatenate([h[k] for h in held]) for k in range(len(names))]
+                for found in [head_pairs(*cols, turn)] if turn is not None else bitmap_pairs(*cols):
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         # Sorted by token: a piece ends where a token ends.
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in names]
+            cols = [batch.column(c).to_numpy() for c in names[:5]]
+            if turn is None:
+                bits = b"".join(batch.column("bits").to_pylist())
+                cols.append(np.frombuffer(bits, np.uint64).reshape(-1, BITS // 64))
             if rows >= 1 << 17 and len(cols[0]) and cols[0][-1] != held[-1][0][-1]:
                 cut = int(np.argmax(cols[0] != held[-1][0][-1]))
                 held.append([c[:cut] for c in cols])
@@ -228,13 +256,19 @@ def joined_roots(docs: DataFrame, text_col: str, least: DataFrame, roots_of: Cal
     filed = sets.select("sig", "n", "c", F.explode("prefix").alias("token"))
     reps = stored(sets.select("sig").join(least, "sig"))
     a, b = (reps.select(F.col("sig").alias(x), F.col("rep").alias(f"rep_{x}")) for x in ("a", "b"))
+    spent: list[DataFrame] = []
     for turn in (0, 1, None):
         label = reps.join(roots, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("root", "rep").alias("label"))
         rows = filed.select("sig", "n", "c", "token").join(label, "sig")
         apart = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         filed = stored(rows.join(apart, "token"))
-        links = stored(_linked(_candidates(filed, turn), sets).join(a, "a").join(b, "b").select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")))
+        discard(*spent)
+        met = filed if turn is not None else filed.join(sets.select("sig", "bits"), "sig")
+        links = stored(_linked(_candidates(met, turn), sets).join(a, "a").join(b, "b").select(F.least("rep_a", "rep_b").alias("u"), F.greatest("rep_a", "rep_b").alias("v")))
+        spent = [filed]
         release(docs.sparkSession)
         if not links.isEmpty():
             roots = roots_of(links)
+        discard(links)
+    discard(sets, reps, *spent)
     return roots

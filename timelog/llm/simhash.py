@@ -9,11 +9,8 @@ under the quarters of the bits that the bucket leaves open (of four quarters,
 one has no differing bit), and so on until every bucket is small: no pair is
 lost, no task gets a whole hot bucket, and rows stay linear in the input.
 
-Inside a unit, fingerprints stand in lanes of 64: bit plane k of a lane word
-holds bit k of 64 fingerprints. A query's distances to all 64 are counted at
-once by carry-save counters (ones, twos, over), and a lane word is abandoned
-once every lane is past the radius. A unit hands on a spanning forest of its
-links, never all pairs.
+Inside a unit, distances are bit-sliced (see bitslice). A unit hands on a
+spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timelog.llm import setjoin
+from timelog.llm import bitslice, setjoin
+from timelog.llm.bitslice import planes_of
 from timelog.llm.common import byte_slices, discard, stored, unnamed, utf8
 from timelog.llm.components import connected
 
@@ -36,7 +34,6 @@ RADIUS = 3
 FIELDS = (13, 13, 13, 13, 12)
 BLOCK = 4096
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
-_ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,35 +81,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
-    """[words, 64 lanes] fingerprints -> [words, 64 planes]: bit i of plane k is bit k of lane i."""
-    bits = np.unpackbits(values.view(np.uint8).reshape(-1, 64, 8), axis=2, bitorder="little")
-    packed = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
-    return np.ascontiguousarray(packed).view(np.uint64).reshape(-1, 64)
+    return planes_of(values)
 
 
 def near_lanes(queries: np.ndarray, planes: np.ndarray, valid: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Bit-sliced distances of queries[i] to the 64 lanes of planes[i]: (i, lane) within the radius."""
-    alive = np.arange(len(queries))
-    over = ~valid
-    # Counters of just enough bits for the radius, started so that they overflow one past it.
-    bits = max(1, radius.bit_length())
-    start = (1 << bits) - 1 - radius
-    counter = [np.full(len(queries), _ALL if start >> k & 1 else 0, np.uint64) for k in range(bits)]
-    for k in range(64):
-        carry = planes[alive, k] ^ (_ALL * (queries[alive] >> np.uint64(k) & _ONE))
-        for c in counter:
-            c ^= carry
-            carry &= ~c
-        over |= carry
-        if k % 4 == 3:
-            stay = over != _ALL
-            if not stay.all():
-                alive, over, counter = alive[stay], over[stay], [c[stay] for c in counter]
-            if not len(alive):
-                break
-    lanes = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    row, lane = np.nonzero(lanes)
-    return alive[row], lane
+    return bitslice.near_lanes(queries, planes, np.arange(len(queries)), valid, radius)
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,39 +111,18 @@ def unit_links(unit: np.ndarray, fp: np.ndarray, radius: int = RADIUS, most: int
         return fp, fp
     order = np.lexsort((fp, unit))
     unit, fp = unit[order], fp[order]
-    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
-    size = np.diff(np.append(first, len(fp)))
-    group = np.repeat(np.arange(len(first)), size)
-    word_of_group = np.concatenate([[0], np.cumsum(-(-size // 64))])
-    within = np.arange(len(fp)) - first[group]
-    slot = word_of_group[group] * 64 + within
-    lanes = np.zeros(word_of_group[-1] * 64, np.uint64)
-    lanes[slot] = fp
-    index = np.full(len(lanes), -1, np.int64)
-    index[slot] = np.arange(len(fp))
-    planes = _planes(lanes)
-    valid = np.packbits(index.reshape(-1, 64) >= 0, axis=1, bitorder="little").view(np.uint64).reshape(-1)
+    lanes = bitslice.Lanes(unit, fp)
+    a_all, b_all = np.zeros(0, int), np.zeros(0, int)
     # A member meets the words from its own on.
-    begin = word_of_group[group] + within // 64
-    count = word_of_group[group + 1] - begin
-    ends = np.cumsum(count)
-    a_all, b_all = [np.zeros(0, int)], [np.zeros(0, int)]
-    at = 0
-    while at < len(fp):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        q = np.repeat(np.arange(at, to), count[at:to])
-        offset = np.arange(len(q)) - np.repeat(np.cumsum(count[at:to]) - count[at:to], count[at:to])
-        word = np.repeat(begin[at:to], count[at:to]) + offset
-        row, lane = near_lanes(fp[q], planes[word], valid[word], radius)
-        a, b = q[row], index[word[row] * 64 + lane]
+    for q, word in lanes.stretches(lanes.end, most):
+        row, lane = bitslice.near_lanes(fp[q], lanes.planes, word, lanes.valid[word], radius)
+        a, b = q[row], lanes.index[word[row] * 64 + lane]
         keep = fp[a] != fp[b]
-        a, b = a[keep], b[keep]
-        if len(a):
-            label = _forest(len(fp), np.concatenate([*a_all, a]), np.concatenate([*b_all, b]))
-            moved = np.flatnonzero(label != np.arange(len(fp)))
-            a_all, b_all = [label[moved]], [moved]
-        at = to
-    return fp[a_all[0]], fp[b_all[0]]
+        if keep.any():
+            label = _forest(len(fp), np.concatenate([a_all, a[keep]]), np.concatenate([b_all, b[keep]]))
+            b_all = np.flatnonzero(label != np.arange(len(fp)))
+            a_all = label[b_all]
+    return fp[a_all], fp[b_all]
 
 
 def field_masks() -> list[int]:
