@@ -3,41 +3,56 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from timelog.llm import decontam, exact, mixing, quality, simhash
-from timelog.llm.common import docs_of, stored
+from timelog.llm.common import discard, docs_of, stored
 
 #: Documents that score below it are rejected.
 MIN_QUALITY = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model doesn't reject. The model learns from the labels outside the held-out fold."""
+    """Documents that the quality model doesn't reject. The model learns from the labels outside the held-out fold.
+
+    Null and empty texts are scored as empty ones; every row is judged by its
+    own text, so repeated rows and ids stay or go each on its own. Without
+    labels nothing is rejected.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_quality(docs, model, MIN_QUALITY)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the most code points, then the least id, null last.
+
+    Null and empty texts and those of white space alone are equal; of rows that
+    agree in id and text one stays.
+    """
     return exact.drop_copies(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each component of linked fingerprints, five-word near copies included."""
+    """One document of each component of linked texts, five-word near copies included: the least id, null last, then the least hash of the text.
+
+    Texts without words are one component. Ids may repeat or be null with unlike
+    texts: rows are told apart by both; of rows that agree in both one stays.
+    """
     return simhash.one_of_each(docs, wide=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window."""
+    """Documents without a word inside a benchmark window; null and empty texts stay, and so do repeated rows."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with how often (copies) and the words that makes (taken)."""
-    new = [c for c in ("size", "source_size", "target", "copies", "taken") if c not in docs.columns]
-    mixed = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), *new)
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    """Documents that the mix takes, each row once, with how often (copies) and the words that makes (taken).
+
+    Texts without words are never taken. Rows that agree in id, source and size
+    tie; if the cut falls on them, as many as are needed are taken. A column
+    named as one of the new ones comes back as <name>_in.
+    """
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -53,8 +68,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to `documents`; each result is written as Parquet and read again."""
-    docs = docs_of(spark, sf_dir)
+    """Apply the stages to `documents`; each result is written as Parquet and read again, and then the one before it is deleted.
+
+    An empty table gives an empty result with the columns of the last stage.
+    """
+    docs, last = docs_of(spark, sf_dir), None
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return docs
