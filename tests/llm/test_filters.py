@@ -233,6 +233,24 @@ def test_chat_collapse(spark):
     assert chat.render_chats(df.limit(0)).count() == 0
 
 
+def test_chat_links_and_nulls(spark):
+    """Null roles and texts are unlike empty ones, in the code as in the SQL; what was collapsed says where it went."""
+    import duckdb
+
+    from timelog.llm.queries import ORACLES
+
+    rows = [(1, 0, None, "hi"), (2, 0, "", "hi"), (2, 1, "a", "yo"), (3, 0, "", "hi"), (4, 0, "", "hi"), (4, 1, "a", "yo"), (5, 0, None, "hi"), (None, 0, "u", None), (None, None, "u", ""), (6, 0, "u", None), (6, None, "u", ""), (6, 1, "u", "x" * 3000)]
+    rows += [(7, 0, "u", "<|im_end|>"), (8, 0, "u", "<|im_end|>"), (8, 3, "u", None), (8, 3, "u", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.render_chats(df, links=True).collect()
+    assert {r.conv_id: r.kept_id for r in got} == {1: 1, 2: 2, 3: 2, 4: 2, 5: 1, None: 6, 6: 6, 7: 8, 8: 8}
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    want = con.execute(ORACLES["op5_chat_format"]).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert sorted(r.conv_id or 0 for r in chat.collapsed_conversations(df).collect()) == [0, 3, 4, 5, 7]
+
+
 def test_chat_blocks(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK", 4)
     rows = [(c, n, "u", str(n)) for c, k in ((1, 10), (2, 30), (3, 9)) for n in range(k)]

@@ -51,28 +51,57 @@ def turn_prefixes(chats: DataFrame) -> DataFrame:
     )
 
 
-def maximal_conversations(chats: DataFrame) -> DataFrame:
-    """conv_id, key, n_turns, copies: conversations that no other one continues; equal ones are one with the least conv_id."""
+def _collapse(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored maximal conversations (key, conv_id, n_turns, copies), and stored links (conv_id, n_turns, kept_id) of the others."""
     prefixes = stored(turn_prefixes(chats))
-    whole = prefixes.where("last").groupBy("h1", "h2", "n_turns").agg(F.min("conv_id").alias("conv_id"), F.min_by("key", F.struct(F.col("conv_id").isNull(), "conv_id")).alias("key"), F.count("*").alias("copies"))
-    part = prefixes.where("not last").select("h1", "h2", "n_turns").distinct()
-    out = stored(whole.join(part, ["h1", "h2", "n_turns"], "left_anti").select("key", "conv_id", "n_turns", "copies"))
+    hashes = ["h1", "h2", "n_turns"]
+    ends = prefixes.where("last")
+    whole = ends.groupBy(*hashes).agg(F.min("conv_id").alias("conv_id"), F.min_by("key", F.struct(F.col("conv_id").isNull(), "conv_id")).alias("key"), F.count("*").alias("copies"))
+    part = prefixes.where("not last").select(*hashes).distinct()
+    kept = stored(whole.join(part, hashes, "left_anti").select("key", "conv_id", "n_turns", "copies"))
+    # Every prefix of a maximal conversation, the whole one included, with the least conversation that has it.
+    of_kept = prefixes.join(kept.select("key", F.col("conv_id").alias("kept_id")), "key").groupBy(*hashes).agg(F.min("kept_id").alias("kept_id"))
+    others = ends.join(kept.select("key"), "key", "left_anti").select("conv_id", *hashes)
+    links = stored(others.join(of_kept, hashes).select("conv_id", "n_turns", "kept_id"))
     discard(prefixes)
-    return out
+    return kept, links
+
+
+def maximal_conversations(chats: DataFrame) -> DataFrame:
+    """conv_id, key, n_turns, copies: conversations that no other one continues; equal ones are one with the least conv_id."""
+    kept, links = _collapse(chats)
+    discard(links)
+    return kept
+
+
+def collapsed_conversations(chats: DataFrame) -> DataFrame:
+    """conv_id, n_turns, kept_id: conversations that are not maximal, and the least maximal one that equals or continues each."""
+    kept, links = _collapse(chats)
+    discard(kept)
+    return links
+
 
+def render_chats(chats: DataFrame, template: str = "<|im_start|>{role}\n{text}<|im_end|>\n", links: bool = False) -> DataFrame:
+    """One row per maximal conversation and block: conv_id, part, n_turns, copies, rendered, kept_id (the conversation itself).
 
-def render_chats(chats: DataFrame, template: str = "<|im_start|>{role}\n{text}<|im_end|>\n") -> DataFrame:
-    """One row per maximal conversation and block: conv_id, part, n_turns, copies, rendered.
+    With `links` also a row for each other conversation, with nulls in part,
+    copies and rendered, and in kept_id the conversation that holds it.
 
-    Null roles and texts render as empty; rows of one turn stand by role, then
-    text. An empty table gives no rows; other columns are not read.
+    Null roles and texts are unlike empty ones when conversations are compared,
+    and render as empty; rows of one turn stand by role, then text, each once.
+    Texts are rendered as they are: one that holds the template's own marks is
+    not escaped. An empty table gives no rows; other columns are not read.
     """
     head, rest = template.split("{role}")
     middle, tail = rest.split("{text}")
-    keep = maximal_conversations(chats)
+    keep, others = _collapse(chats)
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
     rows = chats.select(_key("conv_id").alias("key"), turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("part", F.floor(F.col("turn") / BLOCK)).join(keep.select("key"), "key", "left_semi")
     parts = rows.groupBy("key", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(head), t["role"], F.lit(middle), t["text"], F.lit(tail))), "")
-    return parts.join(keep, "key").select("conv_id", F.col("part").cast("long").alias("part"), "n_turns", "copies", text.alias("rendered"))
+    out = parts.join(keep, "key").select("conv_id", F.col("part").cast("long").alias("part"), "n_turns", "copies", text.alias("rendered"), F.col("conv_id").alias("kept_id"))
+    if not links:
+        return out
+    none = F.lit(None)
+    return out.unionByName(others.select("conv_id", none.cast("long").alias("part"), "n_turns", none.cast("long").alias("copies"), none.cast("string").alias("rendered"), "kept_id"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timelog.shared import shared_dir
+
 #: ASCII white space, as a Java regular expression class body.
 SPACE = " \\t-\\r"
 #: Stands for a missing doc_id inside the operators: sorts after every other id.
@@ -26,15 +27,6 @@ def words_count(text: Column) -> Column:
     return F.when(squeezed == "", 0).otherwise(spaces + 1).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="timelog-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
 def stored(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again: cuts lineage and outlives executors."""
     spark = df.sparkSession
@@ -54,7 +46,13 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no live plan refers to any more; it learns of that by garbage collection, twice for what has finalizers."""
+    """Let Spark delete shuffle files that no live plan refers to any more.
+
+    It learns of that only when the driver collects its garbage (twice for what
+    has finalizers), which an idle driver does every half an hour. An operator
+    of several passes would keep the shuffles of all of them on disk till then;
+    it calls this once between two passes, never in a loop over data.
+    """
     for _ in range(2):
         gc.collect()
         spark._jvm.System.gc()
@@ -67,9 +65,9 @@ def scan_bytes(df: DataFrame) -> int:
 
 
 def buckets(df: DataFrame, each: int = 4 << 20) -> int:
-    """How many buckets keep the load of each in proportion to `each` bytes of input files."""
+    """How many buckets keep the load of each in proportion to `each` bytes of input files, whatever the size of the input."""
     few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(few, min(scan_bytes(df) // each, 1 << 20))
+    return max(few, min(scan_bytes(df) // each, (1 << 31) - 1))
 
 
 def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.render_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.render_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"), links=True)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,20 +111,25 @@ FROM w LEFT JOIN marked USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 _OP5 = """
-WITH turns AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+WITH turns AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce('=' || role, '-') AS role, coalesce('=' || text, '-') AS text FROM conversations),
 whole AS (SELECT conv_id, list({'t': turn, 'r': role, 'x': text} ORDER BY turn, role, text) AS said, count(DISTINCT turn) AS n_turns FROM turns GROUP BY conv_id),
 ends AS (SELECT DISTINCT conv_id, turn FROM turns),
 prefixes AS (
-  SELECT DISTINCT list_filter(w.said, lambda s: s.t <= e.turn) AS said
-  FROM ends e JOIN whole w USING (conv_id)
-  WHERE e.turn < list_max(list_transform(w.said, lambda s: s.t))
+  SELECT w.conv_id, list_filter(w.said, lambda s: s.t <= e.turn) AS said, e.turn = list_max(list_transform(w.said, lambda s: s.t)) AS last
+  FROM ends e JOIN whole w ON e.conv_id IS NOT DISTINCT FROM w.conv_id
 ),
 one AS (SELECT min(conv_id) AS conv_id, said, n_turns, count(*) AS copies FROM whole GROUP BY said, n_turns),
-kept AS (SELECT * FROM one WHERE said NOT IN (SELECT said FROM prefixes))
+kept AS (SELECT * FROM one WHERE said NOT IN (SELECT said FROM prefixes WHERE NOT last)),
+shown AS (SELECT DISTINCT conv_id, turn, CAST(floor(turn / 1024) AS BIGINT) AS part, CASE WHEN role = '-' THEN '' ELSE substr(role, 2) END AS role, CASE WHEN text = '-' THEN '' ELSE substr(text, 2) END AS text FROM turns),
+of_kept AS (SELECT p.said, min(k.conv_id) AS kept_id FROM prefixes p JOIN kept k ON p.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY p.said)
 SELECT k.conv_id, t.part, k.n_turns, k.copies,
-       string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.turn, t.role, t.text) AS rendered
-FROM kept k JOIN (SELECT *, CAST(floor(turn / 1024) AS BIGINT) AS part FROM turns) t ON k.conv_id = t.conv_id
+       string_agg('<|im_start|>' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' ORDER BY t.turn, t.role, t.text) AS rendered, k.conv_id AS kept_id
+FROM kept k JOIN shown t ON k.conv_id IS NOT DISTINCT FROM t.conv_id
 GROUP BY k.conv_id, t.part, k.n_turns, k.copies
+UNION ALL
+SELECT w.conv_id, NULL, w.n_turns, NULL, NULL, o.kept_id
+FROM whole w JOIN of_kept o ON w.said = o.said
+WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.conv_id IS NOT DISTINCT FROM w.conv_id)
 """
 
 ORACLES: dict[str, str] = {"op5_chat_format": _OP5, "op2_decontaminate": _OP2, "op8_exact_dedup": _OP8}
