@@ -44,6 +44,9 @@ def test_retention_and_split(spark, tmp_path):
     assert sorted(r.segment_id for r in store.retention_plan(now=1000, max_age_ms=700, max_bytes=24).collect()) == [0, 1]
     store.without(plan, str(tmp_path / "slim"))
     assert Store(spark, str(tmp_path / "slim")).log().count() == 5
+    # Nobody has consumed anything: retention takes two segments and compaction none.
+    assert store.maintain(str(tmp_path / "kept"), now=1000, max_age_ms=700, max_bytes=24) == {"expired": 2, "compacted": 0}
+    assert sorted(r.offset for r in Store(spark, str(tmp_path / "kept")).log().collect()) == [4, 5, 6]
     store.split(0, 4, "", 5)
     assert [(r.message_id, r.offset) for r in store.log().where("partition_id = 5").orderBy("offset").collect()] == [("m5", 0), ("m6", 1), ("m7", 2)]
     assert store.log().count() == 10

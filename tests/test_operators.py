@@ -334,3 +334,53 @@ def test_webhook_and_fan_out(spark):
     with pytest.raises(Exception, match="did not take|Job aborted|refus"):
         files.webhook(f"{base}/no", attempts=1)(rows, 5)
     server.shutdown()
+
+
+def test_avro_payloads():
+    """Records of every type, encoded by hand; what ends early or has no such branch doesn't fit."""
+    import struct
+
+    from timelog.functions import binary
+
+    schema = {"type": "record", "name": "R", "namespace": "n", "fields": [
+        {"name": "i", "type": "int"}, {"name": "s", "type": ["null", "string"]}, {"name": "d", "type": "double"}, {"name": "e", "type": {"type": "enum", "name": "E", "symbols": ["A", "B"]}},
+        {"name": "a", "type": {"type": "array", "items": "long"}}, {"name": "m", "type": {"type": "map", "values": "boolean"}}, {"name": "f", "type": {"type": "fixed", "name": "F", "size": 2}}, {"name": "next", "type": ["null", "n.R"]},
+    ]}
+    inner = b"\x03" + b"\x00" + struct.pack("<d", 1.5) + b"\x02" + b"\x00" + b"\x00" + b"xy" + b"\x00"
+    data = b"\x54" + b"\x02\x04hi" + struct.pack("<d", -2.0) + b"\x00" + b"\x03\x04\x02\x04\x00" + b"\x02\x02k\x01\x00" + b"zz" + b"\x02" + inner
+    got = binary.avro_value(json.dumps(schema), data)
+    assert got == {"i": 42, "s": "hi", "d": -2.0, "e": "A", "a": [1, 2], "m": {"k": True}, "f": b"zz", "next": {"i": -2, "s": None, "d": 1.5, "e": "B", "a": [], "m": {}, "f": b"xy", "next": None}}
+    assert binary.avro_fits(json.dumps(schema), data + b"more") and not any(binary.avro_fits(json.dumps(schema), data[:n]) for n in range(len(data)))
+    assert not binary.avro_fits(json.dumps(schema), b"\x54\x04" + data[2:]) and not binary.avro_fits("{", b"") and not binary.avro_fits('"long"', b"\x02")
+
+
+def test_protobuf_payloads(spark):
+    """Wire format of well-known types and of a described message; without a descriptor an unknown type takes nothing."""
+    from timelog.functions.binary import protobuf_fits
+
+    field = lambda n, data: bytes([n << 3 | 2, len(data)]) + data
+    described = lambda name, number, kind, of=b"": field(2, field(1, name) + bytes([3 << 3, number, 4 << 3, 1, 5 << 3, kind]) + (field(6, of) if of else b""))
+    message = field(1, b"Order") + described(b"id", 1, 3) + described(b"note", 2, 9) + described(b"child", 3, 11, b".shop.Order") + described(b"counts", 4, 5)
+    descriptor = field(1, b"f.proto") + field(2, b"shop") + field(4, message)
+    good = b"\x08\x96\x01" + field(2, "\u00fc".encode()) + field(3, b"\x08\x01") + field(4, b"\x01\x96\x01")
+    assert protobuf_fits("shop.Order", good, descriptor) and protobuf_fits("shop.Order", b"", descriptor) and protobuf_fits("shop.Order", field(9, b"\xff"), descriptor)
+    assert not protobuf_fits("shop.Order", good[:-1], descriptor) and not protobuf_fits("shop.Order", field(2, b"\xff"), descriptor) and not protobuf_fits("shop.Order", field(3, field(2, b"\xff")), descriptor)
+    assert not protobuf_fits("shop.Order", good) and not protobuf_fits("shop.Other", good, descriptor)
+    assert protobuf_fits("google.protobuf.Timestamp", b"\x08\x01\x10\x02") and not protobuf_fits("google.protobuf.Timestamp", b"\x08")
+    entry = field(1, b"k") + field(2, field(3, b"text"))
+    assert protobuf_fits("google.protobuf.Struct", field(1, entry)) and not protobuf_fits("google.protobuf.Struct", field(1, field(1, b"\xff")))
+    rows = spark.createDataFrame([("a", good), ("a", b"\x08"), ("b", b"{"), ("c", b"x")], "topic string, payload binary")
+    registry = spark.createDataFrame([("a", 1, "protobuf", "shop.Order", descriptor), ("b", 1, "json", "{}", None)], "topic string, version int, type string, definition string, descriptor binary")
+    assert sorted((r.topic, r.schema_ok) for r in schemas.validated(rows, registry).collect()) == [("a", False), ("a", True), ("b", False), ("c", True)]
+
+
+def test_backoff_jitter(spark):
+    got = spark.range(3).select(X.client_backoff(F.col("id"), jitter=0.2, u=F.lit(0.0)).alias("low"), X.client_backoff(F.col("id"), jitter=0.2).alias("any")).collect()
+    assert [r.low for r in got] == [80, 160, 320] and all(100 * 2**n * 0.8 - 1 <= r.any <= 100 * 2**n * 1.2 for n, r in enumerate(got))
+
+
+def test_administrators(spark):
+    rows = spark.createDataFrame([("a",), ("b",), ("c",)], "subject string")
+    subjects = spark.createDataFrame([("a", True), ("b", False)], "subject string, admin boolean")
+    assert [r.subject for r in publish.administrators(rows, subjects).collect()] == ["a"]
+    assert publish.administrators(rows, None).count() == 0 and publish.administrators(rows, subjects.limit(0)).count() == 3

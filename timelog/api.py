@@ -157,6 +157,16 @@ class Store:
         gone = segments.select("partition_id", F.explode(F.sequence("first_offset", "last_offset")).alias("offset"))
         files.write_log(self.log().join(gone, ["partition_id", "offset"], "left_anti"), f"{to}/log", mode="overwrite")
 
+    def maintain(self, to: str, now: int, max_age_ms: int | None = None, max_bytes: int | None = None) -> dict[str, int]:
+        """One pass of the periodic jobs: the log without what retention and compaction allow to go is written to the folder `to`, with a snapshot. Returns how many segments went, by job."""
+        old = self.retention_plan(now, max_age_ms, max_bytes).select("partition_id", "segment_id", "first_offset", "last_offset")
+        done = self.compaction_plan().select("partition_id", "segment_id", "first_offset", "last_offset")
+        counts = {"expired": old.count(), "compacted": done.join(old, ["partition_id", "segment_id"], "left_anti").count()}
+        left = lifecycle.without_segments(self.log(), old.unionByName(done).distinct())
+        files.write_log(left.select(S.EVENT.fieldNames()), f"{to}/log", mode="overwrite")
+        files.snapshot(self.log(), groups.upsert_offsets(self.offsets())).write.mode("overwrite").json(f"{to}/snapshot")
+        return counts
+
     def split(self, partition: int, from_offset: int, key: str, new_partition: int) -> None:
         rows = lifecycle.split(self.log(), partition, from_offset, key, new_partition).drop("source_offset")
         files.write_log(rows.select(S.EVENT.fieldNames()), f"{self.path}/log")

@@ -153,9 +153,10 @@ def delivery_backoff(attempt: Column, base_ms: int = 1000) -> Column:
     return attempt.cast("long") * base_ms
 
 
-def client_backoff(attempt: Column, least_ms: int = 100, most_ms: int = 10_000) -> Column:
-    """Without jitter."""
-    return F.least(F.lit(float(least_ms)) * F.pow(F.lit(2.0), attempt), F.lit(float(most_ms))).cast("long")
+def client_backoff(attempt: Column, least_ms: int = 100, most_ms: int = 10_000, jitter: float = 0.0, u: Column | None = None) -> Column:
+    """Doubles up to a cap; with `jitter`, moved by up to that share either way, as u (random in [0, 1) if not given) says."""
+    wait = F.least(F.lit(float(least_ms)) * F.pow(F.lit(2.0), attempt), F.lit(float(most_ms)))
+    return (wait * (1 + jitter * (2 * (F.rand() if u is None else u) - 1)) if jitter else wait).cast("long")
 
 
 def recovery_backoff(attempt: Column) -> Column:

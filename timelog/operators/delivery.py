@@ -80,3 +80,9 @@ def change_feed(log: DataFrame) -> DataFrame:
     """Change events of the log, keyed topic/partition, as JSON."""
     event = F.struct("message_id", "schedule_ts", F.decode("payload", "UTF-8").alias("payload"), "topic", "offset", "partition_id")
     return log.select(F.concat_ws("/", "topic", F.col("partition_id").cast("string")).alias("key"), "offset", "partition_id", F.to_json(F.struct(F.lit("append").alias("op"), event.alias("event"))).alias("value"))
+
+
+def read_feed(feed: DataFrame) -> DataFrame:
+    """The change events of a feed: key, op and the event's columns; what is no JSON gives nulls."""
+    kind = "op string, event struct<message_id:string,schedule_ts:long,payload:string,topic:string,offset:long,partition_id:int>"
+    return feed.select("key", F.from_json("value", kind).alias("x")).select("key", "x.op", "x.event.*")

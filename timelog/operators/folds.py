@@ -70,6 +70,49 @@ def smooth_bucket(requests: DataFrame, keys: list[str], capacity: float, rate: f
     return fold(requests, keys, ["ts", "arrival"], lambda: {"tokens": capacity, "last": None}, step, "allowed boolean")
 
 
+def client_bucket(requests: DataFrame, capacity: float, rate: float) -> DataFrame:
+    """Adds allowed, one token a request. Tokens count in millionths; a refused request moves the clock and forgoes what had been refilled. Columns: client, ts (ms), arrival."""
+    unit = 1_000_000
+    full = int(capacity * unit)
+
+    def step(s, r):
+        elapsed = 0 if s["last"] is None else max(0, r["ts"] - s["last"])
+        free = min(full, s["micro"] + int(elapsed * unit * (rate / 1000)))
+        s["last"] = r["ts"]
+        ok = free >= unit
+        if ok:
+            s["micro"] = free - unit
+        return {"allowed": ok}
+
+    return fold(requests, ["client"], ["ts", "arrival"], lambda: {"micro": full, "last": None}, step, "allowed boolean")
+
+
+def region_flushes(rows: DataFrame, size: int = 100, every_ms: int = 100, cap: int = 100_000) -> DataFrame:
+    """Adds sent, dropped and pending of each region's buffer after each event.
+
+    The buffer goes out when it holds `size` events, and when an interval of
+    `every_ms` has begun since the event before. If the region can't be reached
+    (ok is false), events go back to its front, and the oldest beyond `cap` are
+    dropped. Columns: region, ts, arrival, ok.
+    """
+
+    def step(s, r):
+        sent = dropped = 0
+        slot = r["ts"] // every_ms
+        for due in (s["slot"] is not None and slot > s["slot"] and s["held"] > 0, None):
+            if due is None:
+                s["held"] += 1
+                due = s["held"] >= size
+            if due and r["ok"]:
+                sent, s["held"] = sent + s["held"], 0
+            elif due:
+                dropped, s["held"] = dropped + max(0, s["held"] - cap), min(s["held"], cap)
+        s["slot"] = slot
+        return {"sent": sent, "dropped": dropped, "pending": s["held"]}
+
+    return fold(rows, ["region"], ["ts", "arrival"], lambda: {"slot": None, "held": 0}, step, "sent long, dropped long, pending long")
+
+
 def tenant_reserve(requests: DataFrame, limits: DataFrame) -> DataFrame:
     """Adds reserved and reason: rate, then events in flight, then bytes; a later refusal gives back what earlier checks took.
 

@@ -79,7 +79,7 @@ def newest_state(rows: DataFrame, order: str = "arrival") -> DataFrame:
 
 
 def conflict_counts(rows: DataFrame) -> DataFrame:
-    kind = F.when(F.col("stored_ts").isNull(), "new").when(F.col("accepted"), "newer").otherwise("skipped")
+    kind = F.when(F.col("stored_ts").isNull(), "no_conflict").when(F.col("accepted"), "lww_replaced").otherwise("lww_kept")
     return accept_newer(rows).groupBy(kind.alias("resolution")).agg(F.count("*").alias("n"))
 
 
@@ -105,6 +105,15 @@ def allowed(rows: DataFrame, policy: DataFrame, action: str) -> DataFrame:
     return exact.unionByName(rows.join(listed, ["subject", "topic"], "left_anti").join(everywhere, "subject", "left_semi"))
 
 
+def administrators(rows: DataFrame, subjects: DataFrame | None) -> DataFrame:
+    """Rows whose subject may administer: `subjects` has subject and admin. An empty table lets everyone; None, no policy at all, lets no one."""
+    if subjects is None:
+        return rows.limit(0)
+    if subjects.isEmpty():
+        return rows
+    return rows.join(subjects.where("admin").select("subject").distinct(), "subject", "left_semi")
+
+
 def admitted(depths: DataFrame, count: int, max_ready: int, shed: float, max_wheel: int, max_in_flight: int) -> DataFrame:
     """Adds accept: would each partition take `count` more events? A limit of 0 is none."""
     reject = F.lit(False)

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timelog.functions import binary
+
 MODES = ("NONE", "BACKWARD", "FORWARD", "FULL")
 
 
 def latest(schemas: DataFrame) -> DataFrame:
-    return schemas.groupBy("topic").agg(F.max_by(F.struct("version", "type", "definition"), "version").alias("x")).select("topic", "x.*")
+    """The newest version of each topic; with the column descriptor (binary), if the table has it."""
+    extra = [c for c in ("descriptor",) if c in schemas.columns]
+    return schemas.groupBy("topic").agg(F.max_by(F.struct("version", "type", "definition", *extra), "version").alias("x")).select("topic", "x.*")
 
 
 def version(schemas: DataFrame, topic: str, number: int) -> DataFrame:
@@ -63,18 +66,29 @@ def payload_fits(definition: str | None, payload: bytes | None, strict: bool = F
 
 
 def validated(rows: DataFrame, schemas: DataFrame, strict: bool = False) -> DataFrame:
-    """Adds schema_ok by the latest JSON schema of each topic; a broadcast-sized registry is joined, payloads are checked in Arrow batches."""
-    joined = rows.join(latest(schemas).where("type = 'json'").select("topic", "definition"), "topic", "left")
-    names = [c for c in joined.columns if c != "definition"]
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name != "definition"), "schema_ok boolean"])
+    """Adds schema_ok by the latest schema of each topic: JSON, Avro, or protobuf (definition: the message's name; descriptor: its file).
+
+    Only the payload and its schema go through Python, in Arrow batches; a topic
+    without a schema takes anything.
+    """
+    newest = latest(schemas)
+    descriptor = F.col("descriptor") if "descriptor" in newest.columns else F.lit(None).cast("binary")
+    joined = rows.join(newest.select("topic", F.col("type").alias("__type"), F.col("definition").alias("__definition"), descriptor.alias("__descriptor")), "topic", "left")
+
+    @F.pandas_udf("boolean")
+    def fits(kind: pd.Series, definition: pd.Series, descriptor: pd.Series, payload: pd.Series) -> pd.Series:
+        return pd.Series([_fits(k, d, f, bytes(p) if p is not None else b"", strict) for k, d, f, p in zip(kind, definition, descriptor, payload)])
+
+    ok = F.when(F.col("__type").isNull(), True).otherwise(fits("__type", "__definition", "__descriptor", "payload"))
+    return joined.withColumn("schema_ok", ok).drop("__type", "__definition", "__descriptor")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("definition").to_pylist(), batch.column("payload").to_pylist())
-            ok = pa.array([payload_fits(d, p, strict) for d, p in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), ok], [*names, "schema_ok"])
 
-    return joined.mapInArrow(run, kinds)
+def _fits(kind: str | None, definition: str | None, descriptor: bytes | None, payload: bytes, strict: bool) -> bool:
+    if kind == "json":
+        return payload_fits(definition, payload, strict)
+    if kind == "avro":
+        return binary.avro_fits(definition or "null", payload)
+    return kind == "protobuf" and binary.protobuf_fits(definition or "", payload, descriptor)
 
 
 def _avro_fields(definition: str) -> dict[str, bool]:

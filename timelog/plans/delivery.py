@@ -173,6 +173,29 @@ def cdc_feed(spark, d):
     return delivery.change_feed(L.event_log(spark, d))
 
 
+@query("feed_decoded", 'SELECT topic || \'/\' || partition_id AS key, \'append\' AS op, message_id, schedule_ts, props AS payload, topic, "offset", partition_id FROM log')
+def feed_decoded(spark, d):
+    return delivery.read_feed(delivery.change_feed(L.event_log(spark, d)))
+
+
+@query(
+    "region_flushes",
+    """, t AS (SELECT topic AS region, schedule_ts AS ts, arrival, arrival % 400 < 250 AS ok, row_number() OVER (PARTITION BY topic ORDER BY schedule_ts, arrival) AS k FROM ev),
+    b AS (
+      SELECT region, ts, arrival, ok, k, CAST(0 AS BIGINT) AS sent, CAST(0 AS BIGINT) AS dropped, CAST(1 AS BIGINT) AS pending FROM t WHERE k = 1
+      UNION ALL
+      SELECT region, ts, arrival, ok, k, CASE WHEN due AND ok THEN was ELSE 0 END + CASE WHEN held >= 5 AND ok THEN held ELSE 0 END,
+        CASE WHEN due AND NOT ok THEN greatest(was - 12, 0) ELSE 0 END + CASE WHEN held >= 5 AND NOT ok THEN greatest(held - 12, 0) ELSE 0 END, CASE WHEN held < 5 THEN held WHEN ok THEN 0 ELSE least(held, 12) END
+      FROM (SELECT *, CASE WHEN NOT due THEN was WHEN ok THEN 0 ELSE least(was, 12) END + 1 AS held
+            FROM (SELECT t.*, b.pending AS was, t.ts // 3600000 > b.ts // 3600000 AND b.pending > 0 AS due FROM b JOIN t ON t.region = b.region AND t.k = b.k + 1))
+    ) SELECT region, ts, arrival, ok, sent, dropped, pending FROM b""",
+)
+def region_flushes(spark, d):
+    """Regions that are out of reach now and then: batches of five or an hour, a buffer of twelve."""
+    rows = L.from_events(spark, d).select(F.col("topic").alias("region"), F.col("schedule_ts").alias("ts"), "arrival", (F.col("arrival") % 400 < 250).alias("ok"))
+    return folds.region_flushes(rows, 5, 3_600_000, 12)
+
+
 @query("echo_suppressed", "SELECT message_id FROM ev WHERE event_id % 4 <> 0")
 def echo_suppressed(spark, d):
     region = F.when(F.col("arrival") % 4 == 0, "eu").when(F.col("arrival") % 4 == 1, "")

@@ -1,11 +1,15 @@
 """Segments, retention, compaction, splits and transactions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from timelog.operators import folds, groups, transactions
 from timelog.operators import lifecycle as O
 from timelog.plans.groups import commits
 from timelog.plans.registry import NOW, query
+from timelog.shared import shared_dir
+from timelog.sources import files
 from timelog.sources import log as L
 
 DAY = 86_400_000
@@ -77,6 +81,17 @@ def compaction_plan(spark, d):
     return O.compactable(O.segments(log), groups.min_consumed(commits(marks), marks)).select("partition_id", "segment_id", "last_offset")
 
 
+@query("backup_restored", _ACTIVE + ', b AS (SELECT partition_id, segment_id FROM act WHERE NOT active AND last_offset > 250) SELECT message_id, log.partition_id, "offset" FROM log JOIN b ON log.partition_id = b.partition_id AND "offset" // 100 = segment_id')
+def backup_restored(spark, d):
+    """Two backups that overlap, and the log that they give back."""
+    log = L.event_log(spark, d)
+    path = f"{shared_dir(spark)}/backup-{uuid.uuid4().hex}"
+    for checkpoint in (450, 250):
+        files.backup(log, O.backup_set(O.segments(log), checkpoint), path)
+    files.restore(spark, path, f"{path}-restored", log.schema)
+    return files.read_log(spark, f"{path}-restored", log.schema).select("message_id", "partition_id", "offset")
+
+
 @query("compacted_by_offset", _ACTIVE + "SELECT partition_id, segment_id FROM act WHERE NOT active AND last_offset > 0 AND last_offset < 500")
 def compacted_by_offset(spark, d):
     return O.compacted_by_offset(_segs(spark, d), 500).select("partition_id", "segment_id")

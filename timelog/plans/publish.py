@@ -116,7 +116,7 @@ def lww_final_state(spark, d):
     return publish.newest_state(_edits(spark, d))
 
 
-@query("conflict_counts", _EDITS + "SELECT CASE WHEN stored_ts IS NULL THEN 'new' WHEN created_ts > stored_ts THEN 'newer' ELSE 'skipped' END AS resolution, count(*) AS n FROM judged GROUP BY 1")
+@query("conflict_counts", _EDITS + "SELECT CASE WHEN stored_ts IS NULL THEN 'no_conflict' WHEN created_ts > stored_ts THEN 'lww_replaced' ELSE 'lww_kept' END AS resolution, count(*) AS n FROM judged GROUP BY 1")
 def conflict_counts(spark, d):
     return publish.conflict_counts(_edits(spark, d))
 
@@ -145,6 +145,13 @@ def rbac_filter(spark, d):
     return publish.allowed(rows, policy, "publish").select("arrival", "subject", "topic")
 
 
+@query("admin_filter", "SELECT arrival, 'user-' || (user_id % 4) AS subject FROM ev WHERE user_id % 4 IN (1, 3)")
+def admin_filter(spark, d):
+    rows = L.from_events(spark, d).select("arrival", F.concat(F.lit("user-"), (F.col("meta")["partition_key"].cast("long") % 4).cast("string")).alias("subject"))
+    subjects = spark.createDataFrame([("user-0", False), ("user-1", True), ("user-3", True)], "subject string, admin boolean")
+    return publish.administrators(rows, subjects)
+
+
 @query("key_bounds", "SELECT message_id, CAST(user_id AS VARCHAR) AS key FROM ev WHERE CAST(user_id AS VARCHAR) >= '12' AND CAST(user_id AS VARCHAR) < '30'")
 def key_bounds(spark, d):
     rows = L.from_events(spark, d).select("message_id", F.col("meta")["partition_key"].alias("key"))
@@ -190,6 +197,21 @@ def token_bucket(spark, d):
     return folds.token_bucket(rows, ["topic"], 20, 1)
 
 
+@query(
+    "client_rate_limit",
+    """, t AS (SELECT user_id % 20 AS client, schedule_ts AS ts, arrival, row_number() OVER (PARTITION BY user_id % 20 ORDER BY schedule_ts, arrival) AS k FROM ev),
+    b AS (
+      SELECT client, ts, arrival, k, true AS allowed, CAST(2000000 AS BIGINT) AS micro FROM t WHERE k = 1
+      UNION ALL
+      SELECT client, ts, arrival, k, free >= 1000000, CASE WHEN free >= 1000000 THEN free - 1000000 ELSE micro END
+      FROM (SELECT t.*, b.micro, least(3000000, b.micro + CAST(trunc((t.ts - b.ts) * 1000000 * (0.0002::DOUBLE / 1000)) AS BIGINT)) AS free FROM b JOIN t ON t.client = b.client AND t.k = b.k + 1)
+    ) SELECT client, ts, arrival, allowed FROM b""",
+)
+def client_rate_limit(spark, d):
+    rows = L.from_events(spark, d).select((F.col("meta")["partition_key"].cast("long") % 20).alias("client"), F.col("schedule_ts").alias("ts"), "arrival")
+    return folds.client_bucket(rows, 3.0, 0.0002)
+
+
 @query(
     "topic_rate_limit",
     """, t AS (SELECT CAST(user_id AS VARCHAR) AS subject, topic, schedule_ts AS ts, arrival, row_number() OVER (PARTITION BY user_id, topic ORDER BY schedule_ts, arrival) AS k FROM ev),

@@ -65,6 +65,18 @@ def snapshot(log: DataFrame, offsets: DataFrame, version: int = 1) -> DataFrame:
     return marks.join(groups, "partition_id", "left").select(F.lit(version).alias("version"), "partition_id", "high_watermark", F.col("high_watermark").alias("last_scheduled"), "group_offsets")
 
 
+def backup(log: DataFrame, segs: DataFrame, path: str) -> None:
+    """Write the rows of some segments to a backup, which grows by one folder each time."""
+    ranges = segs.select(F.col("partition_id").alias("__p"), "first_offset", "last_offset")
+    inside = (F.col("partition_id") == F.col("__p")) & F.col("offset").between(F.col("first_offset"), F.col("last_offset"))
+    write_log(log.join(ranges, inside, "left_semi"), path)
+
+
+def restore(spark: SparkSession, path: str, to: str, schema: StructType | None = None) -> None:
+    """Write a log from its backups; rows that several of them hold stand once."""
+    write_log(read_log(spark, path, schema).dropDuplicates(["partition_id", "offset"]), to, mode="overwrite")
+
+
 def write_checkpoints(marks: DataFrame, path: str) -> None:
     """The last offset of each partition whose timer is set (partition_id, last_scheduled)."""
     marks.select("partition_id", "last_scheduled").write.mode("overwrite").json(path)
