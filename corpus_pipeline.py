@@ -9,6 +9,10 @@ from timelog.llm.common import discard, docs_of, stored
 
 #: Documents that score below it are rejected.
 MIN_QUALITY = 0.3
+#: Benchmark words in a row that a document may have: one less than a window.
+MOST_HIT = 9
+#: The share of a document's words that short benchmark items may cover.
+MOST_COVERED = 0.5
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +45,13 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a word inside a benchmark window; null and empty texts stay, and so do repeated rows."""
-    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents without a ten-word benchmark window, and with no more than half of their words in benchmark items of fewer words.
+
+    An item of one common word so costs no document that merely has it. Null and
+    empty texts stay, and so do repeated rows.
+    """
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.decontaminate(docs, items, max_words=MOST_HIT, max_coverage=MOST_COVERED)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
