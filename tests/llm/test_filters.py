@@ -313,3 +313,49 @@ def test_items_without_id_make_hits(spark, documents):
     got = {r.doc_id: (r.spans, r.items) for r in decontam.benchmark_hits(docs, bench).collect()}
     assert got == {1: ([[1, 13]], []), 2: ([[1, 3]], []), 3: ([], []), 4: ([[0, 4]], ["7"])}
     assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [3]
+
+
+def test_cut_spans_and_limits(spark, documents):
+    """Spans over the limit are cut out of the text, documents over the coverage go, and the pipeline's stage spares short items."""
+    ten = " ".join(f"w{n}" for n in range(10))
+    bench = spark.createDataFrame([(1, ten), (2, "the")], "item_id long, text string")
+    rows = [(1, f"Keep, {ten}! after"), (2, "only the common word here"), (3, "the the the of"), (4, None), (5, ""), (6, ten), (1, f"Keep, {ten}! after")]
+    docs = documents(rows, extra=True)
+    got = decontam.without_spans(docs, bench, max_words=9, max_coverage=0.9)
+    assert got.columns == docs.columns
+    cut = ""
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == [(1, f"Keep, {cut}! after"), (1, f"Keep, {cut}! after"), (2, rows[1][1]), (3, rows[2][1])]
+    assert sorted(r.doc_id for r in got.collect()) == [1, 1, 2, 3, 4, 5]
+    stage = dict(corpus_pipeline.STAGES)["benchmark decontamination"]
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:
+        pq.write_table(pa.table({"item_id": [1, 2], "text": [ten, "the"]}), f"{folder}/benchmark.parquet")
+        assert sorted(r.doc_id for r in stage(spark, docs, folder).collect()) == [2, 4, 5]
+
+
+def test_stages_on_odd_tables(spark, documents, sf_dir, tmp_path):
+    """Every stage on nulls, empties, very long texts, ties, repeated rows, empty tables and columns with the names used inside."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"doc_id": pa.array([1, None, 3], pa.int64()), "quality": pa.array([1, 0, None], pa.int32()), "toxic": pa.array([0, 0, 0], pa.int32())}), f"{tmp_path}/labels.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([None, 2], pa.int64()), "text": [None, "nothing like the documents " * 4]}), f"{tmp_path}/benchmark.parquet")
+    long = " ".join(f"v{n * 7919 % 50021}" for n in range(120_000))
+    rows = [(None, None, None, None), (None, "", "en", None), (None, "some text of its own", "en", "a"), (1, long, "en", "a"), (1, long, "en", "a"), (1, "another text with the same id", "en", "b"), (2, "tie one two", "en", "b"), (3, "tie  one two", "en", "b"), (3, "TIE one two", "en", "b")]
+    for make in (documents(rows, extra=True).withColumns({"copies": F.lit("mine"), "taken": F.lit(1), "__id": F.lit(2), "__th": F.lit(3)}), documents([])):
+        docs = make
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "source mixing":
+                assert out.columns == docs.columns
+            docs = corpus_pipeline.stored(out)
+        got = docs.collect()
+        if make.isEmpty():
+            assert got == [] and docs.columns[-5:] == ["size", "source_size", "target", "copies", "taken"]
+        else:
+            assert "copies_in" in docs.columns and {r.copies_in for r in got} == {"mine"}
+            texts = [r.text for r in got]
+            assert len(texts) == len(set(texts)) and set(texts) <= {"some text of its own", long, "another text with the same id", "tie  one two", "TIE one two"} and len({t.lower().replace("  ", " ") for t in texts}) == len(texts)

@@ -286,16 +286,16 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     columns and rows are as they were.
     """
     plain, back = unnamed(docs)
-    text = back[text_col]
-    hits = benchmark_hits(plain, benchmark, window, back[id_col], text, keep=plain.columns)
+    text, names = back[text_col], plain.columns
+    hits = benchmark_hits(plain, benchmark, window, back[id_col], text, keep=names)
     hit = F.aggregate(F.transform("spans", lambda s: s[1] - s[0]), F.lit(0), lambda a, b: a + b)
-    rows = hits.where(hit <= F.col("n_words") * max_coverage).select(*plain.columns, F.filter("spans", lambda s: s[1] - s[0] > max_words).alias("__cut"))
+    rows = hits.where(hit <= F.col("n_words") * max_coverage).select(*names, F.filter("spans", lambda s: s[1] - s[0] > max_words).alias("__cut"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [remove_spans(t, cut) if cut else t for t, cut in zip(batch.column(text).to_pylist(), batch.column("__cut").to_pylist())]
             kind = batch.schema.field(text).type
-            yield pa.RecordBatch.from_arrays([pa.array(texts, kind) if c == text else batch.column(c) for c in plain.columns], plain.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, kind) if c == text else batch.column(c) for c in names], names)
 
     return rows.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

@@ -193,6 +193,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     plain, back = unnamed(docs)
     own = [F.col(back[id_col]).alias("id"), F.col(back[source_col]).cast("string").alias("source"), words_count(F.col(back[text_col])).alias("size")]
     rows = stored(plain.select(*own))
-    out = _taken(plain.select("*", *own), mix_plan(rows, weights, share, limit)).where("copies > 0")
+    # A column that filters can't be pushed through: sizes are counted once for each row.
+    sized = plain.select("*", *own, F.monotonically_increasing_id().alias("__at"))
+    out = _taken(sized, mix_plan(rows, weights, share, limit)).where("copies > 0")
     discard(rows)
     return out.select(*(F.col(back[c]).alias(f"{c}_in" if c in new else c) for c in docs.columns), *new)
