@@ -146,3 +146,25 @@ def test_query_removes_short_copies(spark, documents, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["op9_chunk_dedup"](spark, str(tmp_path)).collect())
     assert got == plain_chunk_dedup(rows, 0)
     assert all(r[1] == r[2] for r in got if r[0] in (2, 4))
+
+
+def test_hot_anchor_is_dealt_out():
+    """Contexts of one anchor in small pieces lose no shared window, on either side of the anchor."""
+    rng = np.random.default_rng(5)
+    width, reach = 84, 34
+    rows = rng.integers(97, 100, (400, width), dtype=np.uint8)
+    rows[:, reach : reach + suffix.GRAM] = rows[0, reach : reach + suffix.GRAM]
+    for k in range(0, 400, 4):
+        # Three of four take a window from the context before, from far left to far right.
+        for j in range(1, 4):
+            t = int(rng.integers(0, reach + 1))
+            rows[k + j, t : t + suffix.LENGTH] = rows[k, t : t + suffix.LENGTH]
+    rows[300:] = rng.integers(97, 123, (100, width), dtype=np.uint8)
+    zero, owner = np.zeros(400, int), rng.permutation(400)
+    want = suffix.window_owners(rows, zero, zero, owner)
+    got = np.full_like(want, suffix.NO_ID)
+    sizes = []
+    for piece in suffix.anchor_pieces(rows, reach, most=16):
+        sizes.append(len(piece))
+        got[piece] = np.minimum(got[piece], suffix.window_owners(rows[piece], zero[piece], zero[piece], owner[piece]))
+    assert (got == want).all() and max(sizes) < 100 and (want < owner[:, None]).any(axis=1).sum() > 150

@@ -423,19 +423,42 @@ def of_use(rows: np.ndarray, lead: np.ndarray, tail: np.ndarray, ids: np.ndarray
     return use
 
 
-def anchor_pieces(rows: np.ndarray, reach: int, most: int = 2048) -> Iterator[np.ndarray]:
-    """Indices of contexts in pieces of about `most`; contexts of one anchor stay together."""
-    middle = np.ascontiguousarray(rows[:, reach : reach + GRAM]).view(np.uint64)
-    order = np.lexsort((middle[:, 1], middle[:, 0]))
-    new = np.flatnonzero(np.concatenate([[True], (middle[order[1:]] != middle[order[:-1]]).any(axis=1)])) if len(order) else order
+def _pieces(key: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Indices in pieces of about `most`; equal rows of `key` (words of 64 bits) stay together."""
+    order = np.lexsort(key.T[::-1])
+    new = np.flatnonzero(np.concatenate([[True], (key[order[1:]] != key[order[:-1]]).any(axis=1)])) if len(order) else order
     at = 0
     while at < len(order):
         k = np.searchsorted(new, at + most, "left")
         to = new[k] if k < len(new) else len(order)
+        # A large group stands alone, not with what came before it.
+        begin = new[k - 1] if k else 0
+        if to - begin > most and begin > at:
+            to = begin
         yield order[at:to]
         at = to
 
 
+def anchor_pieces(rows: np.ndarray, reach: int, most: int = 2048) -> Iterator[np.ndarray]:
+    """Indices of contexts in pieces of about `most`; contexts of one anchor that share a window meet in a piece.
+
+    A window reaches half its other bytes beyond the anchor on one side. So an
+    anchor of very many contexts is dealt out twice, by that half before it and
+    by the half after it: contexts with a common window agree in one of them.
+    """
+    middle = np.ascontiguousarray(rows[:, reach : reach + GRAM]).view(np.uint64)
+    half = reach // 2
+    for piece in _pieces(middle, most):
+        if len(piece) <= most:
+            yield piece
+            continue
+        for a in (reach - half, reach):
+            part = np.zeros((len(piece), -(-(half + GRAM) // 8) * 8), np.uint8)
+            part[:, : half + GRAM] = rows[piece, a : a + half + GRAM]
+            for own in _pieces(part.view(np.uint64), most):
+                yield piece[own]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, spans) of the documents with repeats: packed byte spans covered by `length`-byte strings of a smaller id."""
     if not GRAM < length <= GRAM + 255:
