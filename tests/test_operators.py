@@ -241,6 +241,10 @@ def test_compaction_by_consumers(spark):
     assert [(r.partition_id, r.segment_id) for r in gone.collect()] == [(0, 0)]
     log = spark.createDataFrame([(0, 5), (0, 99), (0, 100), (1, 5)], "partition_id int, offset long")
     assert sorted((r.partition_id, r.offset) for r in lifecycle.without_segments(log, gone).collect()) == [(0, 100), (1, 5)]
+    some = segs.where("partition_id = 0 and segment_id <> 1 or partition_id = 1 and segment_id < 2")
+    log = spark.createDataFrame([(p, o) for p in range(3) for o in (0, 99, 100, 199, 200, 299)], "partition_id int, offset long")
+    left = {(r.partition_id, r.offset) for r in lifecycle.without_segments(log, some).collect()}
+    assert left == {(0, 100), (0, 199), (1, 200), (1, 299)} | {(2, o) for o in (0, 99, 100, 199, 200, 299)}
 
 
 def test_stored_log_is_pruned(spark, sf_dir):

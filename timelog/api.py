@@ -154,8 +154,7 @@ class Store:
 
     def without(self, segments: DataFrame, to: str) -> None:
         """Write the log without some segments to another folder."""
-        gone = segments.select("partition_id", F.explode(F.sequence("first_offset", "last_offset")).alias("offset"))
-        files.write_log(self.log().join(gone, ["partition_id", "offset"], "left_anti"), f"{to}/log", mode="overwrite")
+        files.write_log(lifecycle.without_segments(self.log(), segments).select(S.EVENT.fieldNames()), f"{to}/log", mode="overwrite")
 
     def maintain(self, to: str, now: int, max_age_ms: int | None = None, max_bytes: int | None = None) -> dict[str, int]:
         """One pass of the periodic jobs: the log without what retention and compaction allow to go is written to the folder `to`, with a snapshot. Returns how many segments went, by job."""
