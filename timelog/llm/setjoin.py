@@ -139,14 +139,14 @@ def _prefixes(docs: DataFrame, text_col: str) -> DataFrame:
             spare = size - int(least_overlap(size)) - (size - len(own)) + 1
             if spare > 0:
                 rarest = np.lexsort((own, common[a:b]))[:spare]
-                rows.append((int(sig[a]), size, len(own), own.tobytes(), bitmap(own).tobytes(), own[rarest].view(np.int64)))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+                rows.append((int(sig[a]), size, len(own), own.view(np.int64), bitmap(own).tobytes(), own[rarest].view(np.int64)))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
         cols = list(zip(*rows)) if rows else [[]] * 6
         return pa.table([pa.array(c, t) for c, t in zip(cols, types)], ["sig", "n", "c", "tokens", "bits", "prefix"])
 
     texts = docs.select(F.col(text_col).alias("text"))
     answers = texts.mapInArrow(deal, PACK).groupBy("bucket").applyInArrow(count, PACK)
-    return answers.groupBy("bucket").applyInArrow(gather, "sig long, n long, c long, tokens binary, bits binary, prefix array<long>")
+    return answers.groupBy("bucket").applyInArrow(gather, "sig long, n long, c long, tokens array<long>, bits binary, prefix array<long>")
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -245,19 +245,11 @@ def _candidates(filed: DataFrame, all_pairs: bool) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose whole shingle sets are similar enough."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b for whole in batches for b in byte_slices(whole, "t_a", 16 << 20)):
-            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            one, two = (batch.column(c).cast(pa.binary()) for c in ("t_a", "t_b"))
-            common = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), True)) for x, y in zip(one, two)]
-            keep = pa.array((NUM + DEN) * np.array(common, np.int64) >= NUM * n, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
-
     both = pairs
     for x in ("a", "b"):
         both = both.join(sets.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")), x)
-    return both.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(run, "a long, b long")
+    common = F.size(F.array_intersect("t_a", "t_b")).cast("long")
+    return both.where((NUM + DEN) * common >= NUM * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def joined_roots(docs: DataFrame, text_col: str, least: DataFrame, roots_of: Callable[[DataFrame | None], DataFrame]) -> DataFrame:
