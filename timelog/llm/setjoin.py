@@ -239,7 +239,7 @@ def _candidates(filed: DataFrame, all_pairs: bool) -> DataFrame:
                 rows += len(cols[0])
         yield from pairs()
 
-    dealt_out = filed.select(*names).repartition(4 * few, "token").sortWithinPartitions("token")
+    dealt_out = filed.select(*names).repartition(few, "token").sortWithinPartitions("token")
     return dealt_out.mapInArrow(run, "a long, b long").distinct()
 
 

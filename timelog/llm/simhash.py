@@ -204,7 +204,7 @@ def near_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
         if held:
             yield links(held)
 
-    dealt = reduce(DataFrame.unionByName, units).repartition(4 * few, "unit").sortWithinPartitions("unit")
+    dealt = reduce(DataFrame.unionByName, units).repartition(few, "unit").sortWithinPartitions("unit")
     found = stored(dealt.mapInArrow(run, "a long, b long").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
     discard(*spent)
     return found
