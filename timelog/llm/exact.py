@@ -1,11 +1,12 @@
 """Exact dedup by progressive refinement, in DataFrame expressions alone.
 
 Texts are equal when they agree after all ASCII white space is deleted. Groups
-are refined by normalised length, then by the hash of a prefix, then by a full
-digest; the full digest is taken only of rows whose length and prefix others
-share. Lengths and prefix hashes go to one narrow table, so the counting passes
-never carry text, and counts are partially aggregated before each shuffle. A
-group of copies of any size is one row of each pre-aggregated table.
+are refined by normalised length, then by the hash of a prefix, then by a hash
+of the whole. Normalising has read the whole text by then, so one scan makes a
+narrow table of all three, and each round only hands on the rows that can still
+be copies; no text is read again or shuffled to find them. Counts are partially
+aggregated before each shuffle, so a group of copies of any size is one row of
+each pre-aggregated table.
 """
 
 from __future__ import annotations
@@ -26,23 +27,25 @@ def _points(text: Column) -> Column:
     return F.length(F.coalesce(text, F.lit(""))).cast("long")
 
 
-def _survivors(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored (id, th, points, digest, n): rows whose length and prefix others share, once for each id and text (th: a hash of it), n times in `docs`."""
+def _narrow(docs: DataFrame, id_col: str, text_col: str, sha: bool) -> DataFrame:
+    """Stored (id, th, points, norm_len, prefix, digest) of every row; th: a hash of the text as it is; digest: SHA-256 of the normalised text if `sha`, else 128 bits of a faster hash."""
     norm = normalised(F.col(text_col))
-    narrow = stored(
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.length(norm).alias("norm_len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix"))
+    digest = F.sha2(norm, 256) if sha else F.concat(F.hex(F.xxhash64(norm)), F.lit("-"), F.hex(F.xxhash64(F.lit("again"), norm)))
+    return stored(
+        docs.select(
+            F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), _points(F.col(text_col)).alias("points"), F.length(norm).alias("norm_len"), F.xxhash64(F.substring(norm, 1, PREFIX)).alias("prefix"), digest.alias("digest")
+        )
     )
+
+
+def _survivors(narrow: DataFrame) -> DataFrame:
+    """Stored (id, th, points, digest, n): rows whose length and prefix others share, once for each id and text, n times in the input."""
     # Copies of a text are one row here, so no length is hot for the copies it has.
     pairs = narrow.groupBy("norm_len", "prefix").agg(F.count("*").alias("n"))
     lengths = pairs.groupBy("norm_len").agg(F.sum("n").alias("m")).where("m > 1").select("norm_len")
     prefixes = pairs.join(lengths, "norm_len", "left_semi").where("n > 1").select("norm_len", "prefix")
-    ids = stored(narrow.join(prefixes, ["norm_len", "prefix"], "left_semi").select(F.col("id").alias("other"), F.col("th").alias("oth")).distinct())
-    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    survivors = text.join(ids, F.col("id").eqNullSafe(F.col("other")) & (F.col("th") == F.col("oth")), "left_semi")
-    full = survivors.select("id", "th", _points(F.col("text")).alias("points"), F.sha2(normalised(F.col("text")), 256).alias("digest"))
-    out = stored(full.groupBy("id", "th", "points", "digest").agg(F.count("*").alias("n")))
-    discard(narrow, ids)
-    return out
+    full = narrow.join(prefixes, ["norm_len", "prefix"], "left_semi")
+    return stored(full.groupBy("id", "th", "points", "digest").agg(F.count("*").alias("n")))
 
 
 def _groups(full: DataFrame) -> DataFrame:
@@ -61,9 +64,10 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Null counts as empty text. An empty table gives no groups.
     """
-    full = _survivors(docs, id_col, text_col)
+    narrow = _narrow(docs, id_col, text_col, sha=True)
+    full = _survivors(narrow)
     groups = _groups(full)
-    discard(full)
+    discard(narrow, full)
     return groups
 
 
@@ -74,13 +78,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     them has kept = true. Columns other than id and text are not read, so
     their names cannot clash.
     """
-    groups = duplicate_groups(docs, id_col, text_col)
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        _points(F.col(text_col)).alias("points"),
-        F.sha2(normalised(F.col(text_col)), 256).alias("digest"),
-    )
-    rows = rows.groupBy("id", "points", "digest").agg(F.count("*").cast("int").alias("n"))
+    narrow = _narrow(docs, id_col, text_col, sha=True)
+    full = _survivors(narrow)
+    groups = _groups(full)
+    discard(full)
+    rows = narrow.groupBy("id", "points", "digest").agg(F.count("*").cast("int").alias("n"))
     out = rows.join(groups, "digest", "left").select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth"))
     mine = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
     alone = F.col("group_size").isNull()
@@ -96,18 +98,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that exact_dedup drops; columns as they were, whatever their names.
 
-    Only survivors of the length and prefix rounds are digested. Rows to drop
-    are named by id and a 64-bit hash of the text, so repeated and null ids with
+    Rows to drop are named by id and a 64-bit hash of the text, so repeated and null ids with
     unlike texts do no harm; of rows that agree in both, any one stays.
     """
     plain, back = unnamed(docs)
     id_, text = back[id_col], back[text_col]
-    full = _survivors(plain, id_, text)
+    narrow = _narrow(plain, id_, text, sha=False)
+    full = _survivors(narrow)
     groups = _groups(full)
     best = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th"))
     drop = stored(full.join(groups, "digest").where(~best).select(F.col("id").alias("__id"), F.col("th").alias("__gone")))
     again = stored(full.join(groups, "digest").where(best & (F.col("n") > 1)).select(F.col("id").alias("__id"), F.col("th").alias("__gone")))
-    discard(full, groups)
+    discard(narrow, full, groups)
     marked = plain.withColumn("__th", F.xxhash64(text))
     same = F.col(id_).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone"))
     out = marked.join(drop, same, "left_anti")
