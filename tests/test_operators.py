@@ -158,6 +158,17 @@ def test_json_rules():
     assert not schemas.payload_fits('{"type":"array","items":{"type":"string"}}', b'["a", 1]') and not schemas.payload_fits("{}", b"{")
 
 
+def test_incompatible_versions(spark):
+    """Only neighbouring versions are held against each other, several problems are several rows, and none is no row."""
+    field = lambda *names: json.dumps({"type": "record", "fields": [{"name": n} for n in names]})
+    rows = [("a", 1, "avro", field("x", "y")), ("a", 3, "avro", field()), ("a", 7, "avro", field()), ("b", 1, "avro", field("x")), ("b", 2, "json", "{}"), ("c", 1, "json", "{}"), ("d", 1, "json", "{}"), ("d", 2, "json", "{}")]
+    versions = spark.createDataFrame(rows, "topic string, version int, type string, definition string")
+    got = schemas.incompatible_versions(versions)
+    assert got.schema.simpleString() == "struct<topic:string,version:int,problem:string>"
+    assert sorted(map(tuple, got.collect())) == [("a", 3, "field x has no default"), ("a", 3, "field y has no default"), ("b", 2, "schema type changed from avro to json")]
+    assert schemas.incompatible_versions(versions.where("topic = 'c'")).count() == 0
+
+
 def test_wal_stops_at_damage():
     good = [wal.encode(n, n, f"m{n}", "t", b"p" * n, {"k": "ü"}) for n in range(1, 4)]
     bad = bytearray(b"".join(good))
