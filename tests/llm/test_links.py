@@ -6,7 +6,7 @@ import re
 import numpy as np
 import xxhash
 
-from timelog.llm import exact, simhash
+from timelog.llm import exact, setjoin, simhash
 from timelog.llm.components import connected
 
 
@@ -189,6 +189,23 @@ def test_short_near_copies(documents):
     assert kept == plain_kept(rows) and not {38 + n for n in range(14, 38)} & kept
 
 
+def test_possible_pairs_have_their_own_bound():
+    """One token's sets, a few with far more room than others: just the pairs whose own sizes, room and bitmaps allow a link, so that unlike sets of a group make no rows."""
+    rng = np.random.default_rng(5)
+    base, fresh = rng.integers(0, 2**63, 140).astype(np.uint64), lambda k: rng.integers(0, 2**63, k).astype(np.uint64)
+    # 300 sets that share most shingles but too few for a link, and 30 of near copies; of 146 shingles 6 to 14 are alone.
+    sets = [np.concatenate([base[:122], fresh(18)]) for _ in range(300)] + [np.concatenate([base[k:], fresh(k)]) for k in range(30)]
+    n, c = np.full(330, 146), np.array([132 + k % 4 for k in range(300)] + [140 + k % 7 for k in range(30)])
+    label = np.arange(330) % 320
+    bits = np.stack([setjoin.bitmap(s) for s in sets])
+    pairs = setjoin.possible_pairs(np.zeros(330, np.int64), np.arange(330), label, n, c, bits, most=64)
+    got = {(min(x), max(x)) for names, a, b in pairs for x in zip(names[a].tolist(), names[b].tolist())}
+    room = setjoin.slack(n, c)
+    far = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2, dtype=np.int64)
+    want = {(a, b) for b in range(330) for a in range(b) if label[a] != label[b] and 0 <= room[a] + room[b] >= 9 * far[a, b]}
+    assert got == want and 0 < len(want) < 330
+
+
 def test_hot_bucket_stays_linear(spark, monkeypatch):
     """50,000 fingerprints that agree on all but 17 bits, and far ones: one component each, rows in proportion."""
     rng = np.random.default_rng(3)

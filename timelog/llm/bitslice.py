@@ -15,9 +15,15 @@ _ONE, _ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 def planes_of(values: np.ndarray) -> np.ndarray:
     """[64 * lane words] or [64 * lane words, w] values of w words -> [lane words, 64 * w] planes: bit i of plane k is bit k of lane i."""
     wide = values.reshape(len(values), -1)
-    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(-1, 64, 8 * wide.shape[1]), axis=2, bitorder="little")
-    packed = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
-    return np.ascontiguousarray(packed).view(np.uint64).reshape(len(bits), -1)
+    wide = np.ascontiguousarray(wide).view(np.uint8).reshape(-1, 64, 8 * wide.shape[1])
+    planes = np.zeros((len(wide), 8 * wide.shape[2]), np.uint64)
+    # In pieces: a bit takes a byte meanwhile.
+    each = max(1, (1 << 23) // (512 * wide.shape[2]))
+    for at in range(0, len(wide), each):
+        bits = np.unpackbits(wide[at : at + each], axis=2, bitorder="little")
+        packed = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")
+        planes[at : at + each] = np.ascontiguousarray(packed).view(np.uint64).reshape(len(bits), -1)
+    return planes
 
 
 def near_lanes(queries: np.ndarray, planes: np.ndarray, words: np.ndarray, valid: np.ndarray, radius: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -191,8 +191,14 @@ def possible_pairs(token: np.ndarray, sig: np.ndarray, label: np.ndarray, n: np.
             row, lane = bitslice.near_lanes(bits[mine], lanes.planes, there, lanes.valid[there], np.minimum(radius, BITS))
             a, b = mine[row], lanes.index[there[row] * 64 + lane]
             fit = (label[a] != label[b]) & (room[a] + room[b] >= 0) & (NUM * np.maximum(n[a], n[b]) <= DEN * np.minimum(n[a], n[b]))
-            if fit.any():
-                yield sig, a[fit], b[fit]
+            a, b = a[fit], b[fit]
+            # The radius was that of the roomiest set in a word of lanes: a pair of sets has its own.
+            far = np.zeros(len(a), np.int64)
+            for k in range(bits.shape[1]):
+                far += np.bitwise_count(bits[a, k] ^ bits[b, k])
+            near = (NUM + DEN) * far <= room[a] + room[b]
+            if near.any():
+                yield sig, a[near], b[near]
 
 
 def hooks(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
