@@ -2,11 +2,12 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import xxhash
 
-from timelog.llm import exact, setjoin, simhash
+from timelog.llm import bitslice, exact, setjoin, simhash
 from timelog.llm.components import connected
 
 
@@ -189,6 +190,18 @@ def test_short_near_copies(documents):
     assert kept == plain_kept(rows) and not {38 + n for n in range(14, 38)} & kept
 
 
+def test_planes_take_little_memory():
+    """16 MB of bitmaps in lanes: planes of the same size, the same as word for word, without eight times as much meanwhile."""
+    values = np.random.default_rng(4).integers(0, 2**63, (64 * 4000, 8)).astype(np.uint64)
+    tracemalloc.start()
+    planes = bitslice.planes_of(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    for word in (0, 255, 256, 3999):
+        assert (planes[word] == bitslice.planes_of(values[64 * word : 64 * word + 64])[0]).all()
+
+
 def test_possible_pairs_have_their_own_bound():
     """One token's sets, a few with far more room than others: just the pairs whose own sizes, room and bitmaps allow a link, so that unlike sets of a group make no rows."""
     rng = np.random.default_rng(5)
