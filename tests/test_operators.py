@@ -123,6 +123,21 @@ def test_tenant_refund(spark):
     assert got == {1: (True, None), 2: (False, "storage"), 3: (True, None), 4: (True, None)}
 
 
+def test_fold_after_an_adaptive_join(spark):
+    """A key is one task even if the rows come from a join on it that turns into a broadcast while it runs, and is then read as the mappers wrote it."""
+    rows = spark.range(0, 400, 1, 8).select(F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("tenant"), F.col("id").alias("ts"), F.col("id").alias("arrival"), F.lit(1).alias("n"), F.lit(1).alias("bytes"))
+    limits = spark.createDataFrame([(f"t{i}", 0.0, 20, 0) for i in range(3)], "tenant string, max_events_per_second double, max_in_flight long, max_storage_bytes long")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = folds.tenant_reserve(rows, limits).where("reserved").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert sorted(r.arrival for r in got) == list(range(60))
+
+
 def test_breaker_opens_and_recovers(spark):
     oks = [False] * 10 + [True, True, False, True]
     times = list(range(10)) + [11, 40_000, 40_001, 40_002]

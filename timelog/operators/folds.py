@@ -35,7 +35,9 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[],
             cols = [pa.array(c, t) for c, t in zip(zip(*out), types)] if out else [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*names, *added])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, kinds)
+    # Dealt by a hash of its own: if `rows` came from a join on the keys, Spark would take a repartition by the keys themselves for
+    # done, and adaptive execution, which sees no need of mapInArrow, could then split a key over tasks (local reads, skewed joins).
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, kinds)
 
 
 def token_bucket(requests: DataFrame, keys: list[str], capacity: int, rate: int) -> DataFrame:
