@@ -1,6 +1,7 @@
 """Hand fixtures and plain models for operators that SQL does not cover."""
 
 import json
+import os
 import random
 
 import pytest
@@ -146,6 +147,37 @@ def test_breaker_opens_and_recovers(spark):
     assert got[9:] == [(True, "open"), (False, "open"), (True, "closed"), (True, "closed"), (True, "closed")]
 
 
+def test_acks_of_many_batches(spark, tmp_path):
+    """Deliveries end as a plain model of one state each says, over batches with timeouts between; the stream keeps a state for a bucket of them."""
+    rng = random.Random(11)
+    base, ids = 1_700_000_000, [f"d{i}" for i in range(200)] + [None]
+    batches = [[(rng.choice(ids), rng.choice(["sent", "ack", "ack", None]), rng.choice([True, False, False, False, None]), base + 100 * b) for _ in range(150)] for b in range(5)]
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows, "delivery_id string, kind string, ok boolean, at long").withColumn("at", F.timestamp_seconds("at")).coalesce(1).write.parquet(f"{tmp_path}/in/{b}")
+        for f in (tmp_path / "in" / str(b)).glob("*.parquet"):
+            os.utime(f, (base + b, base + b))
+    want, held, now = [], {}, 0
+    for rows in [*batches, []]:
+        due = {k: (n, t) for k, (n, t) in held.items() if k not in {r[0] for r in rows} and t < now}
+        for k in {r[0] for r in rows} | set(due):
+            said = [bool(r[2]) for r in rows if r[0] == k and r[1] == "ack"]
+            n = held.pop(k, (0, 0))[0] + (k in due) + said.count(False)
+            if any(said) or n >= 5:
+                want.append((k, "acked", n + 1) if any(said) else (k, "dead letter", n))
+            else:
+                held[k] = (n, now + 30_000 * max(1, n))
+        now = max([now, *(r[3] * 1000 for r in rows)])
+    got = []
+    stream = spark.readStream.schema("delivery_id string, kind string, ok boolean, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    run = jobs.ack_tracking(stream, late="0 seconds", buckets=8).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/state")
+    run = run.foreachBatch(lambda df, _: got.extend(map(tuple, df.collect()))).start()
+    run.awaitTermination()
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+    order = lambda r: (str(r[0]), *r[1:])
+    assert sorted(got, key=order) == sorted(want, key=order) and {r[1] for r in want} == {"acked", "dead letter"}
+    assert max(sizes) == 8 < len(held)
+
+
 def test_delivery_series(spark):
     rows = [("a", 1, 0, False, None)] * 0 + [("a", n, 0, n == 3, 5) for n in range(1, 5)] + [("b", n, 0, False, None) for n in range(1, 7)]
     df = spark.createDataFrame(rows, "delivery_id string, seq long, sent_at long, ok boolean, delay_ms long")

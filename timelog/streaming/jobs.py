@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -118,28 +119,55 @@ def timers(events: DataFrame, delay_ms: int = 60_000, cancels: DataFrame | None
     return wheel
 
 
-def ack_tracking(deliveries: DataFrame, timeout_ms: int = 30_000, max_attempts: int = 5, late: str = "1 day") -> DataFrame:
-    """Rows behind the watermark by more than `late` don't count. A stream of (delivery_id, kind: sent or ack, ok, at) -> one row per delivery that ends: acked, or dead letter after max_attempts timeouts or failures."""
+def ack_tracking(deliveries: DataFrame, timeout_ms: int = 30_000, max_attempts: int = 5, late: str = "1 day", buckets: int = 4096) -> DataFrame:
+    """Rows behind the watermark by more than `late` don't count. A stream of (delivery_id, kind: sent or ack, ok, at) -> one row per delivery that ends: acked, or dead letter after max_attempts timeouts or failures.
+
+    A call of Python for each delivery would cost milliseconds, for its rows and
+    again when it times out. State is kept by buckets of deliveries instead,
+    each a JSON list of [attempts, due, delivery ids]; a batch rewrites the open
+    deliveries of the buckets that it has rows for.
+    """
 
     def track(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, acked = (state.get[0], False) if state.exists else (0, False)
-        if state.hasTimedOut:
-            attempts += 1
+        now = state.getCurrentWatermarkMs()
+        held = json.loads(state.get[0]) if state.exists else []
+        failed: dict[str, int] = {}
+        acked: set[str] = set()
         for frame in rows:
-            for kind, ok in zip(frame["kind"], frame["ok"]):
-                attempts += kind == "ack" and not ok
-                acked |= kind == "ack" and bool(ok)
-        if acked or attempts >= max_attempts:
-            state.exists and state.remove()
-            yield pd.DataFrame({"delivery_id": [key[0]], "outcome": ["acked" if acked else "dead letter"], "attempts": [attempts + acked]})
-            return
-        state.update((attempts,))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + timeout_ms * max(1, attempts))
-        yield pd.DataFrame({"delivery_id": [], "outcome": [], "attempts": []})
-
-    return deliveries.withWatermark("at", late).groupBy("delivery_id").applyInPandasWithState(
-        track, "delivery_id string, outcome string, attempts long", "attempts long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+            for name, says in zip(frame["delivery_id"], frame["says"]):
+                failed[name] = failed.get(name, 0) + (says == 1)
+                if says == 2:
+                    acked.add(name)
+        ended, kept = [], {}
+
+        def settle(name: str, attempts: int) -> None:
+            if name in acked or attempts >= max_attempts:
+                ended.append((name, "acked" if name in acked else "dead letter", attempts + (name in acked)))
+            else:
+                kept.setdefault((attempts, now + timeout_ms * max(1, attempts)), []).append(name)
+
+        # Rows of a delivery put its timeout off; the others time out once in a batch.
+        for attempts, due, names in held:
+            for name in names:
+                if name in failed:
+                    failed[name] += attempts
+                elif due < now:
+                    settle(name, attempts + 1)
+                else:
+                    kept.setdefault((attempts, due), []).append(name)
+        for name, attempts in failed.items():
+            settle(name, attempts)
+        if kept:
+            state.update((json.dumps([[*at, names] for at, names in kept.items()]),))
+            state.setTimeoutTimestamp(min(due for _, due in kept))
+        elif state.exists:
+            state.remove()
+        if ended:
+            yield pd.DataFrame(ended, columns=["delivery_id", "outcome", "attempts"])
+
+    says = F.when(F.col("kind") == "ack", F.when(F.col("ok"), 2).otherwise(1)).otherwise(0).alias("says")
+    rows = deliveries.withWatermark("at", late).select(F.pmod(F.xxhash64("delivery_id"), F.lit(buckets)).alias("bucket"), "delivery_id", says, "at")
+    return rows.groupBy("bucket").applyInPandasWithState(track, "delivery_id string, outcome string, attempts long", "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
