@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timelog import schema as S
 from timelog.functions import bloom
 from timelog.functions import scalars as X
-from timelog.functions.running import with_highest_before, with_rank, with_running
+from timelog.functions.running import stretches, with_highest_before, with_rank, with_running, within
 from timelog.operators import cluster, folds, groups, lifecycle, publish, schemas
 from timelog.sources import files, wal
 from timelog.sources import log as L
@@ -31,6 +31,40 @@ def test_running_over_blocks(spark):
             high = v if high is None else max(high, v)
 
 
+def test_ranges_meet_rows_by_blocks(spark):
+    """Rows within ranges that touch, overlap, stand alone and span blocks; the join's keys hold the block, so rows don't meet all ranges of their partition."""
+    rng = random.Random(9)
+    ranges = [(p, a, a + rng.choice([0, 0, 3, 40])) for p in (0, 1) for a in rng.sample(range(600), 40)] + [(2, 0, 599)]
+    segs = spark.createDataFrame(ranges, "p int, a long, z long")
+    rows = spark.range(4 * 700).select((F.col("id") % 4).cast("int").alias("p"), F.floor(F.col("id") / 4).alias("o"))
+    got = within(rows, "o", segs, ["p"], "a", "z", block=16)
+    want = [(p, o) for p in range(4) for o in range(700) if any(q == p and a <= o <= z for q, a, z in ranges)]
+    assert sorted(map(tuple, got.collect())) == want
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftSemi" in x]
+    assert joins and all("FLOOR" in x.split("LeftSemi")[0] for x in joins)
+    held = [r for r in stretches(segs, ["p"], "a", "z").orderBy("p", "a").collect()]
+    assert all(x.p != y.p or x.z + 1 < y.a for x, y in zip(held, held[1:])) and held[-1][:] == (2, 0, 599)
+
+
+def test_restore_shuffles_once(spark, tmp_path):
+    """Backups that overlap give each row back once, by one shuffle, in files sorted by offset."""
+    log = spark.range(900).select((F.col("id") % 3).cast("int").alias("partition_id"), F.floor(F.col("id") / 3).alias("offset"), F.create_map(F.lit("k"), F.col("id").cast("string")).alias("meta"))
+    for checkpoint in (250, 90):
+        segs = spark.createDataFrame([(p, n, n + 9) for p in range(3) for n in range(checkpoint, 300, 20)], "partition_id int, first_offset long, last_offset long")
+        files.backup(log, segs, f"{tmp_path}/b")
+    seen = []
+    write = files._write_ranges
+    try:
+        files._write_ranges = lambda ranges, *a: (seen.append(ranges._jdf.queryExecution().executedPlan().toString()), write(ranges, *a))
+        files.restore(spark, f"{tmp_path}/b", f"{tmp_path}/r", log.schema)
+    finally:
+        files._write_ranges = write
+    assert len(seen) == 1 and seen[0].count("Exchange ") == 1
+    got = files.read_log(spark, f"{tmp_path}/r", log.schema).collect()
+    spans = {o for c in (250, 90) for n in range(c, 300, 20) for o in range(n, n + 10)}
+    assert sorted((r.partition_id, r.offset, r.meta["k"]) for r in got) == sorted((p, o, str(3 * o + p)) for p in range(3) for o in spans)
+
+
 def test_validation_order_and_lengths(spark):
     rows = [("", "t", b"x", 1), ("i" * 128, "t", b"x", 1), ("ä" * 65, "t", b"x", 1), ("i", "t" * 255, b"x", 1), ("i", "t" * 256, b"x", 1), ("i", "t", b"x", 0), ("i", "t", b"", 1), ("", "t" * 256, b"", 0)]
     df = spark.createDataFrame(rows, "message_id string, topic string, payload binary, schedule_ts long")

@@ -7,6 +7,9 @@ each block's start, and the window runs inside blocks.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,3 +47,20 @@ def with_highest_before(df: DataFrame, keys: list[str], order: str, value: str,
     inside = Window.partitionBy(*keys, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     out = df.join(starts, [*keys, "__block"])
     return out.withColumn(name, F.greatest("__s", F.max(value).over(inside))).drop("__block", "__s")
+
+
+def stretches(ranges: DataFrame, keys: list[str], first: str, last: str) -> DataFrame:
+    """(keys, first, last) of the ranges with those that follow each other or overlap as one; both ends belong to a range."""
+    order = Window.partitionBy(*keys).orderBy(first)
+    new = F.coalesce(F.col(first) > F.max(last).over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    runs = ranges.withColumn("__new", new.cast("int")).withColumn("__run", F.sum("__new").over(order))
+    return runs.groupBy(*keys, "__run").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("__run")
+
+
+def within(rows: DataFrame, order: str, ranges: DataFrame, keys: list[str], first: str, last: str, block: int = 1 << 12) -> DataFrame:
+    """The rows whose `order` lies in a range of the same keys. Rows meet the stretches of their block only, not all of their keys."""
+    found = stretches(ranges, keys, first, last).withColumn("__block", F.explode(F.sequence(F.floor(F.col(first) / block), F.floor(F.col(last) / block))))
+    found = found.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col(first).alias("__first"), F.col(last).alias("__last"), "__block")
+    same = [F.col(k) == F.col(f"__k_{k}") for k in keys]
+    inside = reduce(and_, same, (F.floor(F.col(order) / block) == F.col("__block")) & F.col(order).between(F.col("__first"), F.col("__last")))
+    return rows.join(found, inside, "left_semi")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timelog.functions.running import with_rank, with_running
+from timelog.functions.running import stretches, with_rank, with_running
 from timelog.functions.scalars import key_in_bounds, partition_key
 
 
@@ -72,10 +72,7 @@ def compacted_by_consumers(segs: DataFrame, consumed: DataFrame, marks: DataFram
 def without_segments(log: DataFrame, gone: DataFrame) -> DataFrame:
     """The log without the offsets of the segments in `gone`: what a retention or compaction job writes back."""
     # Segments that follow each other are one range: what jobs remove is a few stretches of a partition.
-    order = Window.partitionBy("partition_id").orderBy("first_offset")
-    new = F.coalesce(F.col("first_offset") > F.max("last_offset").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
-    runs = gone.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(order))
-    runs = runs.groupBy("partition_id", "run").agg(F.min("first_offset").alias("first_offset"), F.max("last_offset").alias("last_offset"))
+    runs = stretches(gone, ["partition_id"], "first_offset", "last_offset")
     ranges = runs.groupBy("partition_id").agg(F.array_sort(F.collect_list(F.struct("first_offset", "last_offset"))).alias("__gone"))
     inside = F.exists("__gone", lambda r: F.col("offset").between(r["first_offset"], r["last_offset"]))
     return log.join(ranges, "partition_id", "left").where(F.col("__gone").isNull() | ~inside).drop("__gone")

@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from timelog import schema as S
+from timelog.functions.running import within
 
 
 def write_log(log: DataFrame, path: str, mode: str = "append", rows_per_file: int = 1_000_000) -> None:
     """Parquet by partition, in ranges of (partition, offset) that are sorted inside files: partitions of any size are written by many tasks, and statistics of files and row groups prune offset and time scans."""
-    sorted_rows = log.repartitionByRange("partition_id", "offset").sortWithinPartitions("partition_id", "offset")
+    _write_ranges(log.repartitionByRange("partition_id", "offset"), path, mode, rows_per_file)
+
+
+def _write_ranges(ranges: DataFrame, path: str, mode: str, rows_per_file: int = 1_000_000) -> None:
+    sorted_rows = ranges.sortWithinPartitions("partition_id", "offset")
     sorted_rows.write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("partition_id").parquet(path)
 
 
@@ -67,14 +72,14 @@ def snapshot(log: DataFrame, offsets: DataFrame, version: int = 1) -> DataFrame:
 
 def backup(log: DataFrame, segs: DataFrame, path: str) -> None:
     """Write the rows of some segments to a backup, which grows by one folder each time."""
-    ranges = segs.select(F.col("partition_id").alias("__p"), "first_offset", "last_offset")
-    inside = (F.col("partition_id") == F.col("__p")) & F.col("offset").between(F.col("first_offset"), F.col("last_offset"))
-    write_log(log.join(ranges, inside, "left_semi"), path)
+    write_log(within(log, "offset", segs.select("partition_id", "first_offset", "last_offset"), ["partition_id"], "first_offset", "last_offset"), path)
 
 
 def restore(spark: SparkSession, path: str, to: str, schema: StructType | None = None) -> None:
     """Write a log from its backups; rows that several of them hold stand once."""
-    write_log(read_log(spark, path, schema).dropDuplicates(["partition_id", "offset"]), to, mode="overwrite")
+    # Ranges of (partition, offset) hold all copies of a row, so one shuffle serves to find them and to write.
+    ranges = read_log(spark, path, schema).repartitionByRange("partition_id", "offset")
+    _write_ranges(ranges.dropDuplicates(["partition_id", "offset"]), to, "overwrite")
 
 
 def write_checkpoints(marks: DataFrame, path: str) -> None:
